@@ -46,3 +46,9 @@ def word_count(column: Column) -> Column:
 def parts(spark: SparkSession, rows: int, per_task: int) -> int:
     """Number of shuffle partitions that keeps about per_task rows in a task, never fewer than the session's own."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+
+
+def small(spark: SparkSession, rows: list, schema: str, most: int = 100_000) -> DataFrame:
+    """A table of rows that the driver holds; it is broadcast in joins as long as it has no more than ``most`` rows."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= most else df
