@@ -25,6 +25,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # whole texts go to Python tasks: a batch is to stay at some MB
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
