@@ -53,3 +53,10 @@ def small(spark: SparkSession, rows: list, schema: str, most: int = 100_000) ->
     """A table of rows that the driver holds; it is broadcast in joins as long as it has no more than ``most`` rows."""
     df = spark.createDataFrame(rows, schema)
     return F.broadcast(df) if len(rows) <= most else df
+
+
+def without(docs: DataFrame, keys: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
+    """docs without the rows whose ``on`` is in keys (one column of that name, no nulls). Up to ``most`` keys, which
+    are counted first, are broadcast, so that texts needn't move; more are joined by a shuffle."""
+    held = durable(keys.distinct())
+    return docs.join(F.broadcast(held) if held.count() <= most else held, on, "left_anti")
