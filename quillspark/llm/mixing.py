@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable, table, word_count
+from quillspark.llm.common import durable, small, table, word_count
 
 #: Base weights, repeated over the ordered sources.
 WEIGHTS = (1, 2, 3)
@@ -98,8 +98,8 @@ def plan(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id:
     targets = capped_targets([r[2] for r in sums], [weights[i % len(weights)] for i in range(len(sums))], total)
     quotas = sainte_lague(targets, round(total / block_words), [math.ceil(3 * r[2] / block_words) for r in sums])
     per_source = {key: (target, quota, words, min(max_shards, max(1, -(-n // shard_docs)))) for (key, n, words), target, quota in zip(sums, targets, quotas)}
-    small = spark.createDataFrame([(k, v[3], v[2], float(v[0])) for k, v in per_source.items()], "skey string, shards int, source_size long, target double")
-    sharded = base.join(small, "skey").withColumn("shard", F.pmod("place", F.col("shards")).cast("int"))
+    by_key = small(spark, [(k, v[3], v[2], float(v[0])) for k, v in per_source.items()], "skey string, shards int, source_size long, target double")
+    sharded = base.join(by_key, "skey").withColumn("shard", F.pmod("place", F.col("shards")).cast("int"))
     by_source: dict[str, list[tuple[int, int]]] = {}
     for r in sharded.groupBy("skey", "shard").agg(F.sum("size").alias("words")).collect():
         by_source.setdefault(r.skey, []).append((r.shard, r.words))
@@ -110,7 +110,7 @@ def plan(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id:
         for (shard, words), q in zip(own, got):
             taken = min(q * block_words, 3 * words)
             rows.append((key, per_source[key][3], shard, taken // words if words else 0, taken % words if words else 0))
-    quota = spark.createDataFrame(rows, "skey string, shards int, shard int, passes long, rest long")
+    quota = small(spark, rows, "skey string, shards int, shard int, passes long, rest long")
     line = Window.partitionBy("skey", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         sharded.join(quota.drop("shards"), ["skey", "shard"])
@@ -128,9 +128,9 @@ def apply_mix(docs: DataFrame, shards: DataFrame, *, source: str = "source", doc
     in part is rounded to whole copies. Rows don't move: a document finds its number of copies from its place."""
     names = docs.columns
     spark = docs.sparkSession
-    rows = shards.collect()  # one row a shard, as in plan(); made a local table so that its size is known to the optimizer
-    info = spark.createDataFrame([(r.skey, r.shard, r.passes, r.edge) for r in rows], "__skey string, __shard int, __passes long, __edge long")
-    counts = spark.createDataFrame(sorted({(r.skey, r.shards) for r in rows}), "__skey string, __shards int")
+    rows = shards.collect()  # one row a shard, as in plan(); made a table of known size
+    info = small(spark, [(r.skey, r.shard, r.passes, r.edge) for r in rows], "__skey string, __shard int, __passes long, __edge long")
+    counts = small(spark, sorted({(r.skey, r.shards) for r in rows}), "__skey string, __shards int")
     tagged = docs.select("*", _source_key(source).alias("__skey"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("__place"))
     keyed = tagged.join(counts, "__skey").withColumn("__shard", F.pmod("__place", F.col("__shards")).cast("int"))
     again = F.col("__passes") + (F.col("__place") < F.col("__edge")).cast("int")
