@@ -151,7 +151,7 @@ def link_shard(fps: np.ndarray, build: np.ndarray, probe: np.ndarray, radius: in
     return forest.root
 
 
-def links(vertices: DataFrame, *, radius: int = RADIUS, shard_rows: int = 4096, most_build: int = 8192, most_probe: int = 65536, sample: int = 4096, most_depth: int = 10) -> DataFrame:
+def links(vertices: DataFrame, *, radius: int = RADIUS, shard_rows: int = 32768, most_build: int = 65536, most_probe: int = 262144, sample: int = 4096, most_depth: int = 10) -> DataFrame:
     """Edges (a, b) that connect all ids of vertices (fp, id) whose fingerprints differ in radius bits or fewer."""
     n = vertices.count()
     depth = min(most_depth, max(0, int(np.ceil(np.log2(max(1, n / shard_rows))))))
