@@ -54,9 +54,10 @@ def build_excerpt(words: Column, start: Column, length: Column, locations: Colum
     begin = F.coalesce(not_before, F.lit(0)) if not_before is not None else F.lit(0)
     size = F.greatest(F.least(length, end - begin), F.lit(0))
     at = F.greatest(F.when(start + size > end, end - size).otherwise(start), begin)
-    marked = F.transform(words, lambda w, i: F.when(F.array_contains(locations, i), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
+    shown = F.slice(words, at + 1, size)
+    marked = F.transform(shown, lambda w, i: F.when(F.array_contains(locations, (i + at).cast("int")), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
     joiner = F.lit(joiner) if isinstance(joiner, str) else joiner
-    return X.trim_ws(F.aggregate(F.slice(marked, at + 1, size), F.struct(F.lit("").alias("s"), F.lit(True).alias("first")), lambda a, w: F.struct(F.when(a["first"], w).otherwise(F.concat(a["s"], joiner, w)).alias("s"), F.lit(False).alias("first")), lambda a: a["s"]))
+    return X.trim_ws(F.aggregate(marked, F.struct(F.lit("").alias("s"), F.lit(True).alias("first")), lambda a, w: F.struct(F.when(a["first"], w).otherwise(F.concat(a["s"], joiner, w)).alias("s"), F.lit(False).alias("first")), lambda a: a["s"]))
 
 
 def joiner_of(content: Column) -> Column:
@@ -98,12 +99,13 @@ def sub_results(word_locations: DataFrame, anchors: DataFrame, docs: DataFrame,
     end = F.when(F.col("anchor").isNull(), F.col("first")).otherwise(F.col("anchor.end"))
     rows = keyed.select("query_id", "doc_id", "anchor", begin.alias("begin"), end.alias("end"), "location", "balanced_score")
     grouped = rows.groupBy("query_id", "doc_id", "anchor", "begin", "end").agg(F.array_sort(F.collect_list(F.struct("location", "balanced_score"))).alias("hits"))
-    full = grouped.join(docs, "doc_id").withColumn("words", X.words(F.col("content")))
+    split = docs.select("doc_id", "url", "title", X.words(F.col("content")).alias("words"), joiner_of(F.col("content")).alias("joiner"))  # once a document
+    full = grouped.join(split, "doc_id")
     size = F.least(F.coalesce(F.col("end"), F.size("words")) - F.col("begin"), F.lit(length))
     relative = F.transform("hits", lambda h: h["location"] - F.col("begin"))
     start = excerpt_start(relative, F.col("hits.balanced_score"), size) + F.col("begin")
     full = full.withColumn("size", size).withColumn("start", start)
-    excerpt = build_excerpt(F.col("words"), F.col("start"), F.col("size"), F.col("hits.location"), F.col("begin"), F.col("end"), joiner_of(F.col("content")))
+    excerpt = build_excerpt(F.col("words"), F.col("start"), F.col("size"), F.col("hits.location"), F.col("begin"), F.col("end"), F.col("joiner"))
     url = F.when(F.col("anchor.id") != "", X.anchor_url(F.col("url"), F.col("anchor.id"))).otherwise(F.col("url"))
     return full.select("query_id", "doc_id", F.col("anchor.ordinal").alias("ordinal"), F.coalesce("anchor.text", "title").alias("title"), url.alias("url"), F.col("hits.location").alias("locations"), excerpt.alias("excerpt"))
 

@@ -186,9 +186,9 @@ def w05_excerpt_start(spark, d):
 @query(f"""SELECT doc_id, {sql.trim("array_to_string([CASE WHEN (i - 1) % 7 = 0 THEN '<mark>' || w[i] || '</mark>' ELSE w[i] END FOR i IN range(greatest(least(20, len(w) - 30), 0) + 1, least(greatest(least(20, len(w) - 30), 0) + 30, len(w)) + 1)], ' ')")} AS excerpt
 FROM (SELECT doc_id, string_split_regex(text, '{sql.WS}+') AS w FROM documents)""")
 def x01_build_excerpt(spark, d):
-    w = X.words(F.col("text"))
-    at = F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / 7).cast("int")), lambda i: i * 7)
-    return table(spark, d, "documents").select("doc_id", E.build_excerpt(w, F.lit(20), F.lit(30), at).alias("excerpt"))
+    rows = table(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
+    rows = rows.select("doc_id", "w", F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 7).cast("int")), lambda i: i * 7).alias("at"))
+    return rows.select("doc_id", E.build_excerpt(F.col("w"), F.lit(20), F.lit(30), F.col("at")).alias("excerpt"))
 
 
 @query("""SELECT * FROM (SELECT user_id AS doc_id, start, length FROM (SELECT *, coalesce(max(start + length) OVER (PARTITION BY user_id ORDER BY start, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b

@@ -13,7 +13,7 @@ SITEMAP = T.StructType([T.StructField("loc", T.StringType()), T.StructField("las
 
 
 def _whole(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return files.select("value", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"))
 
 
@@ -51,7 +51,7 @@ def read_robots(spark: SparkSession, path: str) -> DataFrame:
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """version, lang, hash, wasm, page_count: one row a language."""
-    parsed = spark.read.option("wholetext", True).text(path).select(F.from_json("value", REGISTRY).alias("r"))
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", REGISTRY).alias("r"))
     return parsed.select("r.version", F.explode("r.languages").alias("lang", "v")).select("version", "lang", "v.hash", "v.wasm", "v.page_count")
 
 

@@ -19,7 +19,7 @@ def debounce(events: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     following = F.lead("ts").over(order)
-    quiet = F.unix_micros(following) - F.unix_micros("ts") > gap_ms * 1000
+    quiet = following > F.col("ts") + F.make_dt_interval(secs=F.lit(gap_ms / 1000))
     return events.withColumn("_emit", following.isNull() | quiet).filter("_emit").select("user_id", "ts", "event_id", "term")
 
 

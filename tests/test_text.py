@@ -1,0 +1,91 @@
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as X
+
+IDEOGRAPHIC, NBSP = "　", " "
+
+
+def one(spark, f, *values):
+    """f over columns of one row."""
+    df = spark.createDataFrame([values], ", ".join(f"c{i} {'array<string>' if isinstance(v, list) else 'string'}" for i, v in enumerate(values)))
+    return df.select(f(*[F.col(f"c{i}") for i in range(len(values))]).alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    "f, values, expected",
+    [
+        (X.page_title, ["<TITLE lang='x'>A\nb</TITLE><title>c</title>"], "A\nb"),
+        (X.page_title, ["<p>no title"], None),
+        (X.page_title, [None], None),
+        (X.page_h1, ["<body><body><h1 class='a'>T <b>x</b></h1></body></body><h1>y</h1>"], "T x"),
+        (X.page_lang, ["<style></style><HTML dir=ltr LANG='JA-jp'>"], "ja-jp"),
+        (X.page_lang, ["<html>"], "unknown"),
+        (X.body_text, ["<title>t</title><script>a<b</script>x<!-- c -->y<br/>z<p>w &lt;&amp;lt;"], "xy\nz\nw <&lt;"),
+        (X.body_text, ["<script>only</script>"], ""),
+        (X.strip_boilerplate, ["<nav><a>x</a></nav>text<div class='ad'>buy</div><footer>f</footer>"], "text"),
+        (X.link_kind, ["https://a/b"], "absolute"),
+        (X.link_kind, ["#x"], "fragment"),
+        (X.link_kind, ["../x"], "relative"),
+        (X.dir_of, ["/a/b/c.html"], "/a/b/"),
+        (X.resolve_url, ["/book/a.html", "../other/x.html"], "/other/x.html"),
+        (X.resolve_url, ["http://h/a/b/c.html?q#f", "../../../x"], "http://h/x"),
+        (X.resolve_url, ["http://h/a.html#f", "#g"], "http://h/a.html#g"),
+        (X.resolve_url, ["http://h/a/b.html", "./x/./y"], "http://h/a/x/y"),
+        (X.full_url, ["//cdn/x", "http://h"], "//cdn/x"),
+        (X.full_url, ["/a//b", "http://h/"], "http://h/a/b"),
+        (X.loc_to_page, ["https://h/Index%20-%20a+b.html"], "Index - a+b.html"),
+        (X.page_to_loc, ["Index - a+b.html", "https://h/"], "https://h/Index%20-%20a%2Bb.html"),
+        (lambda u: X.with_param(u, "r", "1 2"), ["a.html?x=1#f"], "a.html?x=1&r=1+2#f"),
+        (lambda u: X.query_param(u, "q"), ["a?q=x%20y&q=z#q=no"], "x y"),
+        (lambda u: X.query_param(u, "p"), ["a?q=x"], None),
+        (lambda u: X.query_params(u, "q"), ["a?q=x&xq=no&q=z"], ["x", "z"]),
+        (lambda u, t: X.highlight_url(u, t, "hl"), ["a#f", f" b{IDEOGRAPHIC}c "], "a?hl=b&hl=c#f"),
+        (lambda u, t: X.highlight_url(u, t, None), ["a#f", "b"], "a#f"),
+        (X.anchor_url, ["a/b#old", "new"], "/a/b#new"),
+        (X.anchor_url, ["https://h/b", "n"], "https://h/b#n"),
+        (X.section_code, ["4-4-2.html"], [4, 4, 2]),
+        (X.section_code, ["Word050701.html"], [5, 7, 1]),
+        (X.section_code, ["index.html"], None),
+        (X.stem_date, ["000818b.html"], date(2000, 8, 18)),
+        (X.stem_date, ["011029-1108.html"], date(2001, 10, 29)),
+        (X.stem_date, ["019999.html"], None),
+        (X.kanji_int, ["二一一"], 211),
+        (X.kanji_int, ["三〇"], 30),
+        (X.kanji_int, ["x"], None),
+        (X.citation_date, ["一九七〇・二・二八"], date(1970, 2, 28)),
+        (X.citation_date, ["89.6.19"], date(1989, 6, 19)),
+        (X.citation_date, [""], None),
+        (X.words, ["a b\n c"], ["a", "b", "c"]),
+        (X.words, [f"a b{X.ZWSP}c"], ["a b", "c"]),
+        (X.words, [f"a{IDEOGRAPHIC}b{NBSP}c"], ["a", "b", "c"]),
+        (X.normalize_term, [f'{IDEOGRAPHIC} "Foo-Bar\\  baz" '], "foobar baz"),
+        (X.normalize_term, ["a\tb"], "a\tb"),
+        (X.normalize_term, ["。！"], "。！"),
+        (X.normalize_term, ["?!"], ""),
+        (X.is_exact, [' "a b" '], True),
+        (X.is_exact, ['""'], False),
+        (X.facet_selection, [["a:1", "b:2", "a:x:y", "none"]], {"a": ["1", "x:y"], "b": ["2"]}),
+        (X.ordered_keywords, [["b", "ccc", " ", "b", "aa"]], ["ccc", "aa", "b"]),
+        (lambda k: X.ordered_keywords(k, True), [["b ccc", "aa"]], ["ccc", "aa", "b"]),
+        (X.escape_content, ["<a>"], "&lt;a&gt;"),
+        (X.clean_content, [f"a{X.ZWSP}b"], "ab"),
+    ],
+)
+def test_scalar(spark, f, values, expected):
+    assert one(spark, f, *values) == expected
+
+
+def test_structs(spark):
+    assert tuple(one(spark, X.page_code, "0301050055.html")) == (3, 1, 5, 55)
+    assert one(spark, X.page_code, "index.html") is None
+    assert tuple(one(spark, X.title_parts, "book_part_x/site")) == ("book", "part_x")
+    assert one(spark, X.page_meta, '<meta charset="UTF-8"><meta property="og:image" content="i.png">') == {"charset": "utf-8", "og_image": "i.png"}
+    assert one(spark, lambda s: X.facet_flatten(X.facet_selection(s)), ["a:1", "b:2", "a:3"]) == ["a:1", "a:3", "b:2"]
+
+
+def test_heading_anchors(spark):
+    df = spark.createDataFrame([([("h2", "x"), ("H3", "　"), ("p", "y")],)], "a array<struct<element:string,text:string>>")
+    assert [tuple(x) for x in df.select(X.heading_anchors(F.col("a")).alias("a")).first().a] == [("h2", "x")]
