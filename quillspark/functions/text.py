@@ -163,7 +163,7 @@ def page_code(page: Column) -> Column:
 
 
 def section_code(page: Column) -> Column:
-    """Numbers of names such as 4-4-2.html or Word050701.html (two digits each); null for other names."""
+    """Numbers of names such as 4-4-2.html or Part050701.html (two digits each); null for other names."""
     dashed = F.when(page.rlike(r"^\d+(?:-\d+)+(?:\.|$)"), F.regexp_extract_all(F.regexp_replace(page, r"\..*$", ""), F.lit(r"\d+"), F.lit(0)))
     paired = F.when(page.rlike(r"^[A-Za-z]+(?:\d{2})+(?:\.|$)"), F.regexp_extract_all(F.regexp_replace(page, r"\..*$", ""), F.lit(r"\d{2}"), F.lit(0)))
     return F.transform(F.coalesce(dashed, paired), lambda x: x.cast("int"))

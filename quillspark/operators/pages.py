@@ -86,7 +86,7 @@ def page_anchors(pages: DataFrame, key: str = "page_id", html: str = "html") ->
 
 def content_pages(pages: DataFrame, page: str = "page") -> DataFrame:
     """pages without index, random-picker and site-verification files."""
-    return pages.filter(~F.col(page).rlike(r"(?i)^(?:index|random|gacha)[^/]*\.html?$|^google[0-9a-f]+\.html$"))
+    return pages.filter(~F.col(page).rlike(r"(?i)^(?:index|random)[^/]*\.html?$|^google[0-9a-f]+\.html$"))
 
 
 def map_terms(queries: DataFrame, rewrite: Callable[[Column], Column], term: str = "term") -> DataFrame:

@@ -34,8 +34,8 @@ def test_sections_with_one_start_page_are_both_found(spark):
 
 
 def test_contents_and_editions(spark):
-    toc = spark.createDataFrame([("a", 0, "../a/0301050055.html#x", 55), ("a", 1, "0301050056.html", 55), ("a", 2, None, 3)], "collection string, ordinal int, href string, printed_page int")
-    listed = spark.createDataFrame([("a", "0301050055.html")], "collection string, page string")
+    toc = spark.createDataFrame([("a", 0, "../a/0201030045.html#x", 45), ("a", 1, "0201030046.html", 45), ("a", 2, None, 3)], "collection string, ordinal int, href string, printed_page int")
+    listed = spark.createDataFrame([("a", "0201030045.html")], "collection string, page string")
     assert {(r.ordinal, r.listed, r.agrees) for r in W.toc_vs_pages(toc, listed).collect()} == {(0, True, True), (1, False, False), (2, False, None)}
     old = spark.createDataFrame([("1.htm", "<p>a b</p><nav>n</nav>"), ("2.htm", "x")], "page string, html string")
     new = spark.createDataFrame([("1.html", "a<br>b"), ("3.html", "x")], "page string, html string")

@@ -58,5 +58,5 @@ def test_page_rows(spark):
     assert anchors == [("h2", "q", "Head & x", 5), ("h3", "", "", 10)]
     toc = [(r.level, r.title, r.href, r.printed_page) for r in P.toc_rows(spark.createDataFrame([("c", 'A…3<br>　<a href="x.html">B</a> P12<br>C')], "collection string, html string")).collect()]
     assert toc == [(0, "A", None, 3), (1, "B", "x.html", 12), (0, "C", None, None)]
-    cited = P.citations(spark.createDataFrame([(1, "x（六四―二一一）y（一一―二四七、一九六一・一一・一）(190-227、89.6.19)（注）")], "k long, t string"), "k", "t").collect()
-    assert [(r.volume, r.src_page, str(r.date)) for r in cited] == [(64, 211, "None"), (11, 247, "1961-11-01"), (190, 227, "1989-06-19")]
+    cited = P.citations(spark.createDataFrame([(1, "x（五二―三〇四）y（一二―二五八、一九六二・一〇・三）(19-22、88.5.4)（注）")], "k long, t string"), "k", "t").collect()
+    assert [(r.volume, r.src_page, str(r.date)) for r in cited] == [(52, 304, "None"), (12, 258, "1962-10-03"), (19, 22, "1988-05-04")]

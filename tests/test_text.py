@@ -47,10 +47,10 @@ def one(spark, f, *values):
         (X.anchor_url, ["a/b#old", "new"], "/a/b#new"),
         (X.anchor_url, ["https://h/b", "n"], "https://h/b#n"),
         (X.section_code, ["4-4-2.html"], [4, 4, 2]),
-        (X.section_code, ["Word050701.html"], [5, 7, 1]),
+        (X.section_code, ["Part050701.html"], [5, 7, 1]),
         (X.section_code, ["index.html"], None),
-        (X.stem_date, ["000818b.html"], date(2000, 8, 18)),
-        (X.stem_date, ["011029-1108.html"], date(2001, 10, 29)),
+        (X.stem_date, ["010203b.html"], date(2001, 2, 3)),
+        (X.stem_date, ["020304-0506.html"], date(2002, 3, 4)),
         (X.stem_date, ["019999.html"], None),
         (X.kanji_int, ["二一一"], 211),
         (X.kanji_int, ["三〇"], 30),
@@ -79,7 +79,7 @@ def test_scalar(spark, f, values, expected):
 
 
 def test_structs(spark):
-    assert tuple(one(spark, X.page_code, "0301050055.html")) == (3, 1, 5, 55)
+    assert tuple(one(spark, X.page_code, "0201030045.html")) == (2, 1, 3, 45)
     assert one(spark, X.page_code, "index.html") is None
     assert tuple(one(spark, X.title_parts, "book_part_x/site")) == ("book", "part_x")
     assert one(spark, X.page_meta, '<meta charset="UTF-8"><meta property="og:image" content="i.png">') == {"charset": "utf-8", "og_image": "i.png"}
