@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import durable, id_crc, table
 from quillspark.llm.tokens import coded_words
 
-BLOCK_CHARS, SHARD_KEYS, BUCKETS, STEP, ROUNDS = 12 << 20, 2_000_000, 24, 4, 200
+BLOCK_CHARS, SHARD_KEYS, BUCKETS, STEP, ROUNDS = 5 << 20, 1_000_000, 24, 4, 200
 END_HASH, START_HASH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -109,8 +109,9 @@ class Block:
         ends = np.cumsum(counts)
         self.token = np.insert(codes, ends, v)
         self.context = np.insert(codes, ends - counts, v + 1)
-        self.doc = np.repeat(np.arange(len(counts)), self.lengths)
+        self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), self.lengths)
         pairs, self.pair = np.unique(self.context * (v + 2) + self.token, return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
         self.pair_context, self.pair_token = np.divmod(pairs, v + 2)
         with np.errstate(over="ignore"):
             keys = (hashes[self.pair_context] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (hashes[self.pair_token] * np.uint64(0x165667B19E3779F9) + np.uint64(0x27D4EB2F165667C5))
