@@ -99,7 +99,7 @@ def resolve_url(base: Column, href: Column, levels: int = 8) -> Column:
     rooted = F.concat(F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/]*)?", 0), href)
     joined = F.regexp_replace(F.concat(dir_of(F.regexp_replace(base, r"[?#].*$", "")), href), r"(^|/)\./", "$1")
     for _ in range(levels):
-        joined = F.regexp_replace(joined, r"(^|[^/:]/)(?!\.\./)[^/]+/\.\./", "$1")
+        joined = F.regexp_replace(joined, r"(^/?|[^/:]/)(?!\.\./)[^/]+/\.\./", "$1")
     joined = F.regexp_replace(joined, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*)?/(?:\.\./)+", "$1/")
     return F.when(link_kind(href) == "absolute", href).when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href)).when(href.startswith("/"), rooted).otherwise(joined)
 
