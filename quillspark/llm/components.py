@@ -11,17 +11,17 @@ from quillspark.llm.common import durable
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id that can be reached) of every id in edges (a, b).
 
-    In each round a vertex moves to the one of its neighbourhood that comes first in an order drawn
-    anew, which shrinks even long chains by a constant factor; edges between different targets form
-    the next round's graph. Rows a vertex has are combined before they are shuffled. Self-loops and
-    repeated edges are allowed.
+    In each round a vertex moves to the one of its neighbourhood that comes first: by id, which makes an
+    end of stars around their smallest vertex, and in every other round in an order drawn anew, which
+    shrinks even long chains by a constant factor. Edges between different targets form the next round's
+    graph. Rows a vertex has are combined before they are shuffled. Self-loops and repeated edges are allowed.
     """
     now = durable(edges.filter("a <> b").select("a", "b").distinct())
     moves: list[DataFrame] = []
     while not now.isEmpty():
-        seed = F.lit(len(moves))
+        drawn = len(moves) % 2 == 1
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c: F.struct(F.xxhash64(seed, F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
+        order = lambda c: F.struct((F.xxhash64(F.lit(len(moves)), F.col(c)) if drawn else F.lit(0)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
         to = durable(both.groupBy("a").agg(F.min(order("b")).alias("best")).select("a", F.least(F.col("best"), order("a"))["id"].alias("to")))
         moves.append(to)
         left = now.join(to, "a").select(F.col("to").alias("x"), "b")
