@@ -10,6 +10,7 @@ ZWSP = "\u200b"
 WS = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: Punctuation that is deleted from a search term (fixed values).
 TERM_PUNCTUATION = r"""[.`~!@#$%^&*(){}\[\]\\|:;'",<>/?-]"""
+PUNCTUATION = ".`~!@#$%^&*(){}[]\\|:;'\",<>/?-"
 #: Elements whose text isn't shown.
 HIDDEN = r"(?is)<(script|style|noscript|title)\b[^>]*>.*?</\1\s*>"
 KANJI = "〇一二三四五六七八九"
@@ -217,6 +218,13 @@ def normalize_term(term: Column) -> Column:
     return trim_ws(F.regexp_replace(bare, rf"{WS}{{2,}}", " "))
 
 
+def index_words(content: Column) -> Column:
+    """words(content), each under normalize_term; without regular expressions where words can't hold white space."""
+    spaced = F.transform(F.split(content, ZWSP), normalize_term)
+    plain = F.transform(F.split(content, rf"{WS}+"), lambda w: F.translate(F.lower(w), PUNCTUATION, ""))
+    return F.when(F.contains(content, F.lit(ZWSP)), spaced).otherwise(plain)
+
+
 def is_exact(term: Column) -> Column:
     """Whether the term as typed is quoted."""
     return term.rlike(rf'(?s)^{WS}*".+"{WS}*$')

@@ -10,8 +10,8 @@ from quillspark.functions import text as X
 
 def index_terms(documents: DataFrame, content: str = "content") -> DataFrame:
     """lang, doc_id, location, term: every word under the same normalisation as search terms; words of punctuation alone keep their place, but have no row."""
-    rows = documents.select(F.coalesce(F.lower("lang"), F.lit("unknown")).alias("lang"), "doc_id", F.posexplode(X.words(F.col(content))).alias("location", "word"))
-    return rows.select("lang", "doc_id", "location", X.normalize_term(F.col("word")).alias("term")).filter("term <> ''")
+    terms = X.index_words(F.col(content))  # before the explode, so that it carries no texts along
+    return documents.select(F.coalesce(F.lower("lang"), F.lit("unknown")).alias("lang"), "doc_id", F.posexplode(terms).alias("location", "term")).filter("term <> ''")
 
 
 def build_postings(documents: DataFrame, content: str = "content") -> DataFrame:

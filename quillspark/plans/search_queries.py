@@ -147,9 +147,9 @@ def t02_sort_by_meta(spark, d):
     return S.sort_by_meta(found(spark, d), corpus(spark, d), {"source": "desc"}).select("query_id", "doc_id", "rank")
 
 
-@query(f"""WITH {sql.HITS}, both AS (SELECT query_id, doc_id, round(score, 9) AS score, 0 AS index_ordinal FROM hits
+@query(f"""WITH {sql.HITS}, together AS (SELECT query_id, doc_id, round(score, 9) AS score, 0 AS index_ordinal FROM hits
 UNION ALL SELECT query_id, doc_id, round(score, 9) * 0.5, 1 FROM hits)
-SELECT query_id, doc_id, index_ordinal, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_ordinal, doc_id) AS rank FROM both) WHERE rank <= 10""")
+SELECT query_id, doc_id, index_ordinal, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_ordinal, doc_id) AS rank FROM together) WHERE rank <= 10""")
 def u01_merge_indexes(spark, d):
     hits = found(spark, d).withColumn("score", F.round("score", 9))
     return S.page_of_results(S.merge_indexes([(hits, 1.0), (hits, 0.5)]), 5, 2).select("query_id", "doc_id", "index_ordinal", "rank")
