@@ -221,7 +221,7 @@ def normalize_term(term: Column) -> Column:
 def index_words(content: Column) -> Column:
     """words(content), each under normalize_term; without regular expressions where words can't hold white space."""
     spaced = F.transform(F.split(content, ZWSP), normalize_term)
-    plain = F.transform(F.split(content, rf"{WS}+"), lambda w: F.translate(F.lower(w), PUNCTUATION, ""))
+    plain = F.transform(F.split(F.lower(content), rf"{WS}+"), lambda w: F.translate(w, PUNCTUATION, ""))
     return F.when(F.contains(content, F.lit(ZWSP)), spaced).otherwise(plain)
 
 
