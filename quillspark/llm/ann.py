@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by inner product: vantage-point trees per shard.
 
-Every vector gets one more coordinate, sqrt(M^2 - |x|^2) with M the largest length of all, and a query
-gets 0 there: the nearest by Euclidean distance is then the one of largest inner product, so the
-triangle inequality holds. Rows are dealt into shards by hash; each shard builds a vantage-point tree
-whose leaves hold some hundred vectors. For every query the path to a leaf gives a lower bound of its
-distance; a leaf is skipped where ``factor`` times the bound exceeds the distance of the query's k-th
-best so far. Factor 1 skips only what can't matter, so its result is exact; larger factors skip more.
+Rows are dealt into shards by hash, and those of a shard into bands of nearly equal length, longest first.
+In a band every vector gets one more coordinate, sqrt(M^2 - |x|^2) with M the band's largest length, and
+a query is stretched to length M and gets 0 there: the nearest by Euclidean distance is then the one of
+largest inner product, so the triangle inequality holds, and no length outside the band bears on it. Each
+band gets a vantage-point tree whose leaves hold some hundred vectors. For every query the path to a leaf
+gives a lower bound of its distance; a leaf is skipped where ``factor`` times the bound exceeds the
+distance of the query's k-th best so far, and a band where M times the query's length is below that k-th
+best. Factor 1 skips only what can't matter, so its result is exact; larger factors skip more.
 
 All rows are in a tree. A stated set of queries meets all shards in blocks; a shard hands on k rows a
 query, scored anew on the original vectors by adding products in component order.
@@ -27,6 +29,7 @@ from quillspark.llm.common import durable, table
 from quillspark.llm.vectors import Best, grid, matrix, ranked, valid_vectors
 
 FACTOR = 1.5
+BAND = 1.1
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,17 +86,24 @@ class VantageTree:
         return out
 
 
+def bands(length: np.ndarray, ratio: float = BAND) -> list[np.ndarray]:
+    """Row numbers by length, longest first: a band's longest row is less than ratio times as long as its shortest, or as long."""
+    order = np.argsort(-length, kind="stable")
+    out, at = [], 0
+    while at < len(order):
+        end = max(at + 1, int(np.searchsorted(-length[order], -length[order[at]] / ratio)))
+        out.append(order[at:end])
+        at = end
+    return out
+
+
 def search_shard(q_ids, q, c_ids, c, top: float, k: int, factor: float, leaf: int = 128, first: int = 4) -> pd.DataFrame:
     """query_id, vec_id, score: each query's k nearest found in the shard. top: the largest length of all rows."""
     _, at = np.unique(np.column_stack([c_ids.astype(float), c]), axis=0, return_index=True)
     c_ids, c = c_ids[at], c[at]
-    lift = np.sqrt(np.maximum(top**2 - (c**2).sum(axis=1), 0))
-    tree = VantageTree(np.column_stack([c, lift]), leaf)
-    bound = tree.bounds(np.column_stack([q, np.zeros(len(q))]))
-    q_length = np.sqrt((q**2).sum(axis=1))
+    length, q_length = np.sqrt((c**2).sum(axis=1)), np.sqrt((q**2).sum(axis=1))
     slack = 1e-9 * (q_length * top + 1)
     best = Best(len(q), k, float)
-    seat = bound.argsort(axis=1).argsort(axis=1)  # each query begins with its nearest leaves
 
     def look(own: np.ndarray, members: np.ndarray) -> None:
         score = q[own] @ c[members].T
@@ -102,15 +112,24 @@ def search_shard(q_ids, q, c_ids, c, top: float, k: int, factor: float, leaf: in
         i, j = np.nonzero((score >= (np.maximum(kth, best.least[own]) - slack[own])[:, None]) & np.isfinite(score))
         best.add(own[i], dots(q[own[i]], c[members[j]]), c_ids[members[j]])
 
-    for n, members in enumerate(tree.leaves):
-        own = np.flatnonzero(seat[:, n] < first)
-        if len(own):
-            look(own, members)
-    for n, members in enumerate(tree.leaves):
-        reach = np.sqrt(np.maximum(q_length**2 + top**2 - 2 * best.least, 0))  # infinite until k are found
-        own = np.flatnonzero((seat[:, n] >= first) & (factor * bound[:, n] <= reach + slack))
-        if len(own):
-            look(own, members)
+    for band in bands(length):
+        m = length[band[0]]
+        own = np.flatnonzero(q_length * m >= best.least - slack)  # for others no row of this length can do
+        if not len(own):
+            continue
+        stretch = m / q_length[own]  # queries as long as the longest row: all lie on one sphere
+        tree = VantageTree(np.column_stack([c[band], np.sqrt(np.maximum(m**2 - length[band] ** 2, 0))]), leaf)
+        bound = tree.bounds(np.column_stack([q[own] * stretch[:, None], np.zeros(len(own))]))
+        seat = bound.argsort(axis=1).argsort(axis=1)  # each query begins with its nearest leaves
+        for n, members in enumerate(tree.leaves):
+            some = np.flatnonzero(seat[:, n] < first)
+            if len(some):
+                look(own[some], band[members])
+        for n, members in enumerate(tree.leaves):
+            reach = np.sqrt(np.maximum(2 * m * m - 2 * stretch * (best.least[own] - slack[own]), 0))  # infinite until k are found
+            some = np.flatnonzero((seat[:, n] >= first) & (factor * bound[:, n] <= reach + 1e-7 * m))
+            if len(some):
+                look(own[some], band[members])
     return pd.DataFrame({"query_id": q_ids[best.query], "vec_id": best.id, "score": best.score})
 
 

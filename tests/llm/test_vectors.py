@@ -90,3 +90,23 @@ def test_recall_at_the_default_factor():
     best = np.argsort(-score, axis=1)[:, :20]
     own = found.groupby("query_id")["vec_id"].agg(set)
     assert np.mean([len(own[i] & set(best[i])) / 20 for i in range(100)]) >= 0.9
+
+
+@pytest.mark.parametrize("lengths", ["outlier of 4", "outlier of 10", "clusters and an outlier", "lognormal"])
+def test_recall_where_lengths_differ(lengths):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    if lengths == "clusters and an outlier":
+        x = x[rng.integers(50, size=6000)] + 0.5 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths == "lognormal":
+        x *= rng.lognormal(0, 2, size=(6000, 1))
+    else:
+        x[3000] *= 10 if lengths == "outlier of 10" else 4
+    ids = np.arange(6000)
+    found = A.search_shard(ids[:100], x[:100], ids, x, float(np.linalg.norm(x, axis=1).max()), 20, A.FACTOR)
+    score = x[:100] @ x.T
+    score[np.arange(100), np.arange(100)] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    own = found.groupby("query_id")["vec_id"].agg(set)
+    assert np.mean([len(own[i] & set(best[i])) / 20 for i in range(100)]) >= 0.9
