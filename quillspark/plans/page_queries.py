@@ -8,7 +8,7 @@ from quillspark.functions import text as X
 from quillspark.operators import pages as P
 from quillspark.operators import search as S
 from quillspark.plans import sql
-from quillspark.plans.registry import query, table
+from quillspark.plans.registry import query, table, whole_texts
 from quillspark.sources import corpus as C
 
 LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>"""
@@ -104,10 +104,10 @@ def p14_query_params(spark, d):
 
 
 @query("""SELECT doc_id, '/' || source || '?hl=' || array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], '&hl=') || '#x' AS marked, '/' || source || '#s' || doc_id AS anchored FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z]+')) > 0""")
-def p16_highlight_url(spark, d):
+def p16_highlight_url(spark, d, whole=False):
     """P16 and P17."""
     found = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    term = F.array_join(F.slice(found, 1, 2), " ")
+    term = F.array_join(found if whole else F.slice(found, 1, 2), " ")
     url = F.concat(F.lit("/"), "source", F.lit("#x"))
     docs = table(spark, d, "documents").filter(F.size(found) > 0)
     return docs.select("doc_id", X.highlight_url(url, term, "hl").alias("marked"), X.anchor_url(F.concat("source", F.lit("#x")), F.concat(F.lit("s"), F.col("doc_id").cast("string"))).alias("anchored"))
@@ -231,3 +231,6 @@ def t05_ordered_keywords(spark, d):
 def p34_map_terms(spark, d):
     queries = P.map_terms(table(spark, d, "documents").select("doc_id", F.upper("lang").alias("term")), F.lower)
     return S.prepare_queries(queries).select("doc_id", F.col("term_norm").alias("term"))
+
+
+whole_texts(p16_highlight_url)

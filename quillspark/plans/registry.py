@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,12 @@ def query(sql: str | None = None):
     return enter
 
 
+def whole_texts(*fs) -> None:
+    """Registers queries whose SQL asks for the first two words of each text once more, as NAME_whole: they take whole texts."""
+    for f in fs:
+        QUERIES[f"{f.__name__}_whole"] = partial(f, whole=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, dealt out over the cores where its files give fewer tasks than that (one small file is one task)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,7 +9,7 @@ from quillspark.functions import text as X
 from quillspark.operators import index as I
 from quillspark.operators import search as S
 from quillspark.plans import sql
-from quillspark.plans.registry import query, table
+from quillspark.plans.registry import query, table, whole_texts
 
 LANGS, SOURCES = ("en", "de"), ("src0", "src1", "src2")
 _SEL = "lang IN ('en', 'de') AND source IN ('src0', 'src1', 'src2')"
@@ -22,13 +22,15 @@ def corpus(spark, d) -> DataFrame:
     return docs.select("doc_id", "lang", "source", F.col("text").alias("content"), filters.alias("filters"), meta.alias("meta"), F.concat_ws("/", F.lit(""), "source", F.col("doc_id").cast("string")).alias("url"))
 
 
-def asked(spark, d) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", rf"{X.WS}+"), 1, 2), " ").alias("term"))
+def asked(spark, d, whole: bool = False) -> DataFrame:
+    """query_id, term: the whole benchmark texts, or their first two words, which is what the SQL asks."""
+    term = F.col("text") if whole else F.array_join(F.slice(F.split("text", rf"{X.WS}+"), 1, 2), " ")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), term.alias("term"))
 
 
-def found(spark, d, ranking: S.Ranking = S.Ranking()) -> DataFrame:  # noqa: B008
+def found(spark, d, ranking: S.Ranking = S.Ranking(), whole: bool = False) -> DataFrame:  # noqa: B008
     postings = I.build_postings(corpus(spark, d))
-    return S.score(S.match_terms(S.drop_empty_queries(S.prepare_queries(asked(spark, d))), postings), I.term_stats(postings), I.document_lengths(postings), ranking)
+    return S.score(S.match_terms(S.drop_empty_queries(S.prepare_queries(asked(spark, d, whole))), postings), I.term_stats(postings), I.document_lengths(postings), ranking)
 
 
 def chosen(queries: DataFrame) -> DataFrame:
@@ -37,9 +39,9 @@ def chosen(queries: DataFrame) -> DataFrame:
 
 
 @query(f"WITH {sql.HITS} SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits) WHERE rank <= 5")
-def search_top_pages(spark, d):
+def search_top_pages(spark, d, whole=False):
     """The flagship, first page of five results of every query."""
-    hits = found(spark, d).withColumn("score", F.round("score", 9))  # sums in any order rank alike
+    hits = found(spark, d, whole=whole).withColumn("score", F.round("score", 9))  # sums in any order rank alike
     return S.page_of_results(S.rank(hits)).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -62,8 +64,8 @@ def a02_term_stats(spark, d):
 
 
 @query(f"WITH {sql.TOKS}, {sql.ASKED} SELECT query_id, doc_id, count(DISTINCT ordinal) AS terms, count(*) AS tf FROM toks JOIN asked USING (term) GROUP BY ALL")
-def j01_match_terms(spark, d):
-    matches = S.match_terms(S.drop_empty_queries(S.prepare_queries(asked(spark, d))), I.build_postings(corpus(spark, d)))
+def j01_match_terms(spark, d, whole=False):
+    matches = S.match_terms(S.drop_empty_queries(S.prepare_queries(asked(spark, d, whole))), I.build_postings(corpus(spark, d)))
     return matches.groupBy("query_id", "doc_id").agg(F.count_distinct("ordinal").alias("terms"), F.sum("tf").alias("tf"))
 
 
@@ -71,20 +73,20 @@ def j01_match_terms(spark, d):
   SELECT item_id AS query_id, [x FOR x IN string_split_regex({sql.norm("array_to_string(string_split_regex(text, '" + sql.WS + "+')[1:2], ' ')")}, '{sql.WS}+') IF x <> ''] AS w FROM benchmark)
 SELECT query_id, a.doc_id, count(*) AS n_phrases FROM q JOIN toks a ON a.term = w[1] LEFT JOIN toks b ON b.doc_id = a.doc_id AND b.location = a.location + 1 AND b.term = w[2]
 WHERE len(w) = 1 OR b.term IS NOT NULL GROUP BY ALL""")
-def j02_match_phrase(spark, d):
-    quoted = asked(spark, d).withColumn("term", F.concat(F.lit('"'), "term", F.lit('"')))
+def j02_match_phrase(spark, d, whole=False):
+    quoted = asked(spark, d, whole).withColumn("term", F.concat(F.lit('"'), "term", F.lit('"')))
     return S.match_phrase(S.match_terms(S.drop_empty_queries(S.prepare_queries(quoted)), I.build_postings(corpus(spark, d))))
 
 
 @query(f"WITH {sql.HITS} SELECT query_id, doc_id, source, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits) JOIN documents USING (doc_id) WHERE rank <= 5")
-def j03_attach_documents(spark, d):
-    hits = S.page_of_results(S.rank(found(spark, d).withColumn("score", F.round("score", 9))))
+def j03_attach_documents(spark, d, whole=False):
+    hits = S.page_of_results(S.rank(found(spark, d, whole=whole).withColumn("score", F.round("score", 9))))
     return S.attach_documents(hits, corpus(spark, d)).select("query_id", "doc_id", "source", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {sql.HITS} SELECT query_id, doc_id, round(score, 6) AS score FROM hits JOIN documents USING (doc_id) WHERE {_SEL}")
-def f01_filter_hits(spark, d):
-    hits = S.filter_hits(found(spark, d), I.facet_membership(corpus(spark, d)), chosen(asked(spark, d)))
+def f01_filter_hits(spark, d, whole=False):
+    hits = S.filter_hits(found(spark, d, whole=whole), I.facet_membership(corpus(spark, d)), chosen(asked(spark, d)))
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -107,26 +109,26 @@ counted AS (SELECT query_id, filter, value, count(*) AS n FROM hits JOIN member
 facets AS (SELECT query_id, filter, value, coalesce(n, 0) AS n FROM frame LEFT JOIN counted USING (query_id, filter, value))"""
 
 
-def _facets(spark, d):
+def _facets(spark, d, whole=False):
     membership = I.facet_membership(corpus(spark, d))
-    return S.facet_counts(found(spark, d), membership, membership.select("filter", "value").distinct(), asked(spark, d))
+    return S.facet_counts(found(spark, d, whole=whole), membership, membership.select("filter", "value").distinct(), asked(spark, d))
 
 
 @query(f"{_FACETS} SELECT * FROM facets")
-def a04_facet_counts(spark, d):
-    return _facets(spark, d)
+def a04_facet_counts(spark, d, whole=False):
+    return _facets(spark, d, whole)
 
 
 @query(f"{_FACETS} SELECT * FROM facets WHERE n > 0 OR (filter = 'lang' AND value IN ('en', 'de')) OR (filter = 'source' AND value IN ('src0', 'src1', 'src2'))")
-def f05_visible_facets(spark, d):
-    return S.visible_facets(_facets(spark, d), chosen(asked(spark, d)))
+def f05_visible_facets(spark, d, whole=False):
+    return S.visible_facets(_facets(spark, d, whole), chosen(asked(spark, d)))
 
 
 @query(f"""{_FACETS}, rows AS (SELECT query_id, filter, value, n, CASE value WHEN 'fr' THEN 1 WHEN 'src7' THEN 2 ELSE 1000 END AS place FROM facets
 UNION ALL SELECT query_id, filter, 'All', sum(n), -1 FROM facets GROUP BY query_id, filter)
 SELECT query_id, filter, value, n::BIGINT AS n, row_number() OVER (PARTITION BY query_id, filter ORDER BY place, value) - 1 AS position FROM rows""")
-def t04_order_facet_values(spark, d):
-    return S.order_facet_values(_facets(spark, d), ["fr", "src7"])
+def t04_order_facet_values(spark, d, whole=False):
+    return S.order_facet_values(_facets(spark, d, whole), ["fr", "src7"])
 
 
 @query("SELECT 'lang' AS filter, lang AS value, count(DISTINCT doc_id) * 2 AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(DISTINCT doc_id) FROM documents GROUP BY source")
@@ -137,21 +139,21 @@ def a11_merge_facets(spark, d):
 
 @query(f"""WITH {sql.HITS} SELECT item_id AS query_id, count(hits.doc_id) AS unfiltered, count(*) FILTER (WHERE {_SEL}) AS filtered
 FROM benchmark LEFT JOIN hits ON query_id = item_id LEFT JOIN documents ON documents.doc_id = hits.doc_id GROUP BY item_id""")
-def a05_result_counts(spark, d):
-    hits = found(spark, d)
+def a05_result_counts(spark, d, whole=False):
+    hits = found(spark, d, whole=whole)
     return S.result_counts(hits, S.filter_hits(hits, I.facet_membership(corpus(spark, d)), chosen(asked(spark, d))), asked(spark, d))
 
 
 @query(f"WITH {sql.HITS} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY source DESC, doc_id)::INTEGER AS rank FROM hits JOIN documents USING (doc_id)")
-def t02_sort_by_meta(spark, d):
-    return S.sort_by_meta(found(spark, d), corpus(spark, d), {"source": "desc"}).select("query_id", "doc_id", "rank")
+def t02_sort_by_meta(spark, d, whole=False):
+    return S.sort_by_meta(found(spark, d, whole=whole), corpus(spark, d), {"source": "desc"}).select("query_id", "doc_id", "rank")
 
 
 @query(f"""WITH {sql.HITS}, together AS (SELECT query_id, doc_id, round(score, 9) AS score, 0 AS index_ordinal FROM hits
 UNION ALL SELECT query_id, doc_id, round(score, 9) * 0.5, 1 FROM hits)
 SELECT query_id, doc_id, index_ordinal, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_ordinal, doc_id) AS rank FROM together) WHERE rank <= 10""")
-def u01_merge_indexes(spark, d):
-    hits = found(spark, d).withColumn("score", F.round("score", 9))
+def u01_merge_indexes(spark, d, whole=False):
+    hits = found(spark, d, whole=whole).withColumn("score", F.round("score", 9))
     return S.page_of_results(S.merge_indexes([(hits, 1.0), (hits, 0.5)]), 5, 2).select("query_id", "doc_id", "index_ordinal", "rank")
 
 
@@ -170,3 +172,6 @@ def j12_choose_language(spark, d):
     registry = docs.groupBy(F.lower("lang").alias("lang")).agg(F.count("*").alias("page_count"))
     lang = F.when(F.col("source") < "src3", F.concat(F.upper("lang"), F.lit("-x"))).when(F.col("source") < "src6", "ja").otherwise(F.col("lang"))
     return S.choose_language(docs.select("source", lang.alias("lang")).distinct(), registry)
+
+
+whole_texts(search_top_pages, j01_match_terms, j02_match_phrase, j03_attach_documents, f01_filter_hits, a04_facet_counts, f05_visible_facets, t04_order_facet_values, a05_result_counts, t02_sort_by_meta, u01_merge_indexes)

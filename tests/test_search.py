@@ -82,3 +82,39 @@ def test_choose_language(spark):
     assert {r.id: r.chosen for r in S.choose_language(requests, registry).collect()} == {1: "pt-br", 2: "de", 3: "pt-br", 4: "pt-br"}
     with pytest.raises(Exception, match="no language"):
         S.choose_language(requests, registry.filter("false")).collect()
+
+
+TEXTS = {1: "red green blue", 2: "red green blue grey", 3: "red green grey blue", 4: "red green", 5: "grey blue green red"}
+ASKED = {1: "red green blue grey", 2: "Red, green blue!", 3: "red green white"}
+WORDS = {i: t.split() for i, t in TEXTS.items()}
+TERMS = {q: t.lower().replace(",", "").replace("!", "").split() for q, t in ASKED.items()}
+EVERY = {(q, d) for q, a in TERMS.items() for d, w in WORDS.items() if set(a) <= set(w)}
+
+
+@pytest.fixture(scope="module")
+def run(spark, tmp_path_factory):
+    from quillspark.plans import page_queries, search_queries  # noqa: F401  they enter themselves
+    from quillspark.plans.registry import QUERIES
+
+    folder = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([(i, t, "en" if i < 5 else "de", f"src{i % 2}", len(t)) for i, t in TEXTS.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(ASKED.items()), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return lambda name: QUERIES[name](spark, folder).collect()
+
+
+@pytest.mark.parametrize("name", ["search_top_pages", "j03_attach_documents", "t02_sort_by_meta", "f01_filter_hits", "u01_merge_indexes"])
+def test_hits_of_whole_texts(run, name):
+    assert {(r.query_id, r.doc_id) for r in run(f"{name}_whole")} == EVERY
+
+
+@pytest.mark.parametrize("name", ["a04_facet_counts", "f05_visible_facets", "t04_order_facet_values"])
+def test_facets_of_whole_texts(run, name):
+    counts = {(r.query_id, r.value): r.n for r in run(f"{name}_whole") if r["filter"] == "lang" and r.value in ("en", "de")}
+    assert counts == {(q, v): sum(p == q and (d < 5) == (v == "en") for p, d in EVERY) for q in ASKED for v in ("en", "de")}
+
+
+def test_terms_phrases_counts_and_marks_of_whole_texts(run):
+    assert {(r.query_id, r.doc_id) for r in run("j02_match_phrase_whole")} == {(q, d) for q, a in TERMS.items() for d, w in WORDS.items() if any(w[i : i + len(a)] == a for i in range(len(w)))}
+    assert {(r.query_id, r.doc_id): r.terms for r in run("j01_match_terms_whole")} == {(q, d): n for q, a in TERMS.items() for d, w in WORDS.items() if (n := len(set(a) & set(w)))}
+    assert {r.query_id: r.unfiltered for r in run("a05_result_counts_whole")} == {q: sum(p == q for p, _ in EVERY) for q in ASKED}
+    assert {r.doc_id: r.marked for r in run("p16_highlight_url_whole")}[2] == "/src0?hl=red&hl=green&hl=blue&hl=grey#x"
