@@ -33,8 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines that occurred before, in the order of doc_id, go from the texts."""
-    out = substring_dedup.dedup(docs)
+    """Long lines and passages of 50 words or more that occurred before, in the order of doc_id, go from the texts."""
+    out = substring_dedup.dedup(docs, passage_words=50)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

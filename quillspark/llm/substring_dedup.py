@@ -8,13 +8,21 @@ line break. Offsets of removed spans are code points of the original text.
 Units are aggregated to one row a digest before anything is joined back, so a line that a third of
 all documents share is combined on the map side, and the join can be split where it is skewed.
 
+With ``passage_words`` (the pipeline's stage; the query's SQL knows lines only) passages that repeat go too,
+wherever they lie in lines: of every passage_words - 37 consecutive runs of 38 words the one of the least
+hash is a unit (winnowing), so two equal passages of passage_words words or more share a unit. A unit's
+earliest occurrence is kept, and so is what overlaps it in its own text; all words of the others are removed.
+Up to passage_words - 38 words at either end of a repeated passage can stay.
+
 Defined cases: null text stays null; empty text stays empty; documents with a null doc_id keep their
-text; rows that repeat a doc_id count as one document and lose the same spans; shorter lines always
-stay; an empty table gives an empty result; other columns of the input pass through untouched.
+text; rows that repeat a doc_id and text count as one document and lose the same spans, rows of one doc_id
+with different texts are documents of their own, in the order of a hash of the text; shorter lines stay where
+no passage covers them; an empty table gives an empty result; other columns of the input pass through untouched.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,38 +33,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import durable, table
+from quillspark.llm.common import WORD, durable, table
 
 MIN_WORDS = 16
+RUN_WORDS = 38
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def _units(min_words: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, ends, highs, lows = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, keys, starts, ends, highs, lows = [], [], [], [], [], []
+            for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 at = 0
                 for line in text.split("\n"):
                     words = line.encode().lower().split()
                     if len(words) >= min_words:
                         digest = xxhash.xxh3_128_intdigest(b" ".join(words))
                         ids.append(doc)
+                        keys.append(key)
                         starts.append(at)
                         ends.append(at + len(line))
                         highs.append(digest >> 64)
                         lows.append(digest & 0xFFFFFFFFFFFFFFFF)
                     at += len(line) + 1
             signed = [np.array(x, dtype=np.uint64).view(np.int64) for x in (highs, lows)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[0]), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), *map(pa.array, signed)], names=["doc_id", "start", "end", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[0]), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), *map(pa.array, signed)], names=["doc_id", "key", "start", "end", "d1", "d2"])
 
     return cut
 
 
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers 0 to n - 1 of each base and of its inverse, modulo 2^64."""
+    return [tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, dtype=np.uint64)]) for x in (base, pow(base, -1, 1 << 64))) for base in _BASES]
+
+
+def chosen_runs(words: np.ndarray, powers, within: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The winnowed runs of RUN_WORDS words: first words, and two 64-bit hashes of each. words: a hash of each word."""
+    n = len(words) - RUN_WORDS + 1
+    hashes = []
+    for (up, down), x in zip(powers, (words, words * np.uint64(0xFF51AFD7ED558CCD) ^ words >> np.uint64(29))):
+        total = np.r_[np.uint64(0), np.cumsum(x * up[: len(x)])]
+        h = (total[RUN_WORDS:] - total[:n]) * down[:n]
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53)
+        hashes.append(h ^ h >> np.uint64(29))
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(hashes[0], within).argmin(axis=1) + np.arange(n - within + 1))
+    return at, [h[at].view(np.int64) for h in hashes]
+
+
+def _runs(passage_words: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        powers = _powers(1 << 15)
+        for batch in batches:
+            ids, keys, starts, hashes = [], [], [np.zeros(0, dtype=np.int64)], [[np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]]
+            for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = text.encode().lower().split()
+                if len(words) < passage_words:
+                    continue
+                if len(words) > len(powers[0][0]):
+                    powers = _powers(2 * len(words))
+                if len(known) > 200_000:
+                    known.clear()
+                for w in set(words).difference(known):
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+                at, found = chosen_runs(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)), powers, passage_words - RUN_WORDS + 1)
+                ids += [doc] * len(at)
+                keys += [key] * len(at)
+                starts.append(at)
+                for column, h in zip(hashes, found):
+                    column.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[0]), pa.array(keys, pa.int64()), pa.array(np.concatenate(starts)).cast(pa.int32()), *(pa.array(np.concatenate(h)) for h in hashes)], names=["doc_id", "key", "word", "d1", "d2"])
+
+    return cut
+
+
+def _cut(text: str, spans: list[tuple[int, int]], runs: list[int]) -> str:
+    """text without spans (of characters) and without runs (numbers of their first words); lines that end up empty go too."""
+    words = [m.span() for m in re.finditer(WORD, text)]
+    kept, at, end = [], 0, 0
+    for start, end in sorted([*spans, *((words[r][0], words[r + RUN_WORDS - 1][1]) for r in runs)]):
+        if end <= at:
+            continue
+        start = max(start, at)
+        while end < len(text) and text[end] in " \t":
+            end += 1
+        kept.append(text[at:start])
+        before = next((x[-1] for x in reversed(kept) if x), "\n")
+        if before == "\n" and text[end : end + 1] == "\n":
+            end += 1
+        at = end
+    out = "".join(kept) + text[at:]
+    return out[:-1] if end == len(text) and out.endswith("\n") else out
+
+
 @F.pandas_udf(T.StringType())
-def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
-    """text without the spans, each removed with the line break that follows it, or precedes it at the end."""
+def _without(text: pd.Series, spans: pd.Series, runs: pd.Series) -> pd.Series:
+    """text without the spans, each removed with the line break that follows it, or precedes it at the end, and without the runs."""
 
-    def one(t, s):
+    def one(t, s, r):
+        if t is not None and r is not None and len(r):
+            return _cut(t, [(int(x["start"]), int(x["end"])) for x in s], [int(x) for x in r])
         if t is None or s is None or not len(s):
             return t
         gone = {int(x["start"]) for x in s}
@@ -67,24 +144,34 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
             at += len(line) + 1
         return "\n".join(kept)
 
-    return pd.Series([one(t, s) for t, s in zip(text, spans)], dtype=object)
+    return pd.Series([one(*x) for x in zip(text, spans, runs)], dtype=object)
+
+
+def repeated_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, passage_words: int | None = None) -> DataFrame:
+    """doc_id, key (hash of the text), spans: array of (start, end), runs: array of first words, both ascending; only documents that lose something."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
+    key = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, key long"
 
+    def repeated(units: DataFrame, place: str, apart: int) -> DataFrame:
+        first = units.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "key", place)).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("key") != F.col("first.key"))
+        return units.join(first, ["d1", "d2"]).filter(other | (F.col(place) >= F.col(f"first.{place}") + apart))
 
-def repeated_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, spans: array of (start, end), ascending; only documents that lose something."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    units = durable(own.mapInArrow(_units(min_words), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, start long, end long, d1 long, d2 long"))
-    first = units.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = units.join(first, ["d1", "d2"]).filter(F.struct("doc_id", "start") != F.col("first"))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    lines = durable(own.mapInArrow(_units(min_words), f"{key}, start long, end long, d1 long, d2 long"))
+    gone = repeated(lines, "start", 1).select("doc_id", "key", F.struct("start", "end").alias("span"), F.lit(None).cast("int").alias("word"))
+    if passage_words:
+        runs = durable(own.mapInArrow(_runs(passage_words), f"{key}, word int, d1 long, d2 long"))
+        gone = gone.unionByName(repeated(runs, "word", RUN_WORDS).select("doc_id", "key", F.lit(None).cast(gone.schema["span"].dataType).alias("span"), "word"))
+    return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("word")).alias("runs"))
 
 
-def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the text's repeated lines removed, and a column __spans of what was removed (null: nothing)."""
+def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, passage_words: int | None = None) -> DataFrame:
+    """docs with the text's repeated lines (and passages) removed, and a column __spans of the lines removed (null: nothing was)."""
     names = docs.columns
-    spans = repeated_spans(docs, text=text, doc_id=doc_id, min_words=min_words).select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, docs[doc_id] == spans["__doc"], "left").drop("__doc")
-    return joined.select(*[_without(F.col(text), F.col("__spans")).alias(c) if c == text else F.col(c) for c in names], "__spans")
+    spans = repeated_spans(docs, text=text, doc_id=doc_id, min_words=min_words, passage_words=passage_words).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__own"), F.col("spans").alias("__spans"), F.col("runs").alias("__runs"))
+    keyed = docs.withColumn("__key", F.xxhash64(text))
+    joined = keyed.join(spans, (keyed[doc_id] == spans["__doc"]) & (keyed["__key"] == spans["__own"]), "left")
+    return joined.select(*[_without(F.col(text), F.col("__spans"), F.col("__runs")).alias(c) if c == text else F.col(c) for c in names], "__spans")
 
 
 def op4_substring_dedup(spark, sf_dir) -> DataFrame:

@@ -113,3 +113,34 @@ def test_lines(spark):
         6: [("", [(0, n)])], 7: [("é", [(2, 2 + n)])] * 2,
     }
     assert D.dedup(df.filter("false")).count() == 0
+
+
+def test_passages(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"{rng.choice('bdfgk')}{rng.randrange(5000)}" for _ in range(n))
+    shared, wrapped, short = words(55), words(60), words(37)
+    a, b, c = words(30), words(30), words(30)
+    broken = "\n".join(" ".join(wrapped.split()[i : i + 10]) for i in range(0, 60, 10))
+    rows = [(1, f"{a} {shared} {b}"), (2, f"{c} {shared.upper()} {a}\nend"), (3, f"top\n{broken}\nx"), (4, f"y {wrapped} z"), (5, f"{c} {short}"), (6, f"{b} {short} q"), (7, "la " * 300), (8, "la " * 300 + "x"), (9, None), (10, ""), (10, words(70)), (None, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in D.dedup(df, passage_words=50).collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    whole = [rows[i][1] for i in (0, 2, 4, 5, 8)]
+    assert [got[i][0] for i in (1, 3, 5, 6, 9)] == whole and got[None] == [shared] and set(got[10]) == {"", rows[10][1]}
+    seen = set()
+    for i in sorted(i for i in got if i is not None):
+        for t in got[i]:
+            w = (t or "").lower().split()
+            own = {tuple(w[n : n + 50]) for n in range(len(w) - 49)}
+            assert not own & seen, i
+            seen |= own
+    assert got[2][0].startswith(c) and got[2][0].endswith(f"{a}\nend") and len(got[2][0].split()) <= 61 + 2 * 12
+    assert got[4][0].startswith("y ") and got[4][0].endswith(" z") and 38 <= len(got[7][0].split()) <= 50
+    assert D.dedup(df.filter("false"), passage_words=50).count() == 0
+
+
+def test_cut():
+    w = " ".join(f"w{i}" for i in range(38))
+    assert D._cut(f"a {w} b", [], [1]) == "a b" and D._cut(f"a\n{w}\nb", [], [1]) == "a\nb" and D._cut(f"a\n{w}", [], [1]) == "a" and D._cut(w, [], [0]) == ""
+    assert D._cut(f"a\n{w} x\nb", [], [1]) == "a\nx\nb" and D._cut(f"L L\n{w}\nb", [(0, 3)], [2]) == "b" and D._cut(f"a {w} b c", [], [1, 2]) == "a c"
