@@ -21,15 +21,20 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document of the smallest id stays, once."""
-    found = durable(simhash.near_duplicates(docs))
-    named = found.filter("doc_id is not null")
-    kept = without(docs, named.filter("doc_id <> component_id").select("doc_id"), "doc_id")
-    again = durable(named.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    """Of each component of linked fingerprints the document of the smallest id stays, once. Rows of one id with different texts are documents of their own."""
+    keyed = docs.withColumn("__row_key", F.xxhash64("doc_id", "text"))
+    found = durable(simhash.near_duplicates(keyed.filter("doc_id is not null"), doc_id="__row_key")).withColumnRenamed("doc_id", "__row_key")
+    members = found.groupBy("__row_key", "component_id").agg(F.count("*").alias("n"))
+    ids = keyed.filter("doc_id is not null").select("__row_key", "doc_id").distinct()
+    named = members.join(ids, "__row_key")
+    stays = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row_key")).alias("stays"))
+    named = durable(named.join(stays, "component_id").withColumn("first", F.col("__row_key") == F.col("stays.__row_key")))
+    kept = without(keyed, named.filter("not first").select("__row_key"), "__row_key")
+    again = durable(named.filter("first and n > 1").select("__row_key"))
     if again.isEmpty():
         return kept.select(*docs.columns)
-    once = docs.join(again, "doc_id", "left_semi").join(named.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without(kept, again, "doc_id").select(*docs.columns).unionByName(once.select(*docs.columns))
+    once = keyed.join(again, "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return without(kept, again, "__row_key").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,18 @@ def test_stages(spark):
         assert stage(spark, docs.filter("false"), "").count() == 0, name
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(rng.choice("abcdefgh") * 2 + str(rng.randrange(99)) for _ in range(n))
+    a, b, c, d, e, repeated = line(40), line(40), line(40), line(40), line(40), line(20)
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (None, a)], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=lambda x: (x[0] or 0, x[1]))
+    assert kept == [(None, a), (1, a), (2, b), *sorted([(3, c), (3, d)])]
+    other = line(20)
+    docs = spark.createDataFrame([(1, repeated), (2, f"{repeated}\nx"), (2, f"{other}\ny")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()) == sorted([(1, repeated), (2, "x"), (2, f"{other}\ny")])
+
+
 def test_every_operator_has_one_query():
     names = [n.split("_")[0] for n in queries.queries()]
     assert sorted(names) == sorted(f"op{n}" for n in range(1, 11))
