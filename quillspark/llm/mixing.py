@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Every source's target is a number of words. Blocks of ``block_words`` words are allocated to the
+Every source's target is a number of words. Blocks of ``block_words`` words, or of a quarter of the smallest
+positive target where that is less (one word at least), are allocated to the
 sources by highest quotients target / (2 seats + 1); a source's quota is then allocated in the same
 way to its shards (hash groups of about ``shard_docs`` documents), giving each an integer number of
 blocks. Inside a shard the documents lie in a seeded order on one line of words, cut into equal
@@ -96,6 +97,8 @@ def plan(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id:
     sums = sorted(((r.skey, r.n, r.words) for r in base.groupBy("skey").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()), key=lambda r: (r[0][0] == "n", r[0]))
     total = sum(r[2] for r in sums)
     targets = capped_targets([r[2] for r in sums], [weights[i % len(weights)] for i in range(len(sums))], total)
+    least = min((t for t in targets if t > 0), default=0)
+    block_words = max(1, min(block_words, int(least / 4)))  # the smallest source has some blocks of its own
     quotas = sainte_lague(targets, round(total / block_words), [math.ceil(3 * r[2] / block_words) for r in sums])
     per_source = {key: (target, quota, words, min(max_shards, max(1, -(-n // shard_docs)))) for (key, n, words), target, quota in zip(sums, targets, quotas)}
     by_key = small(spark, [(k, v[3], v[2], float(v[0])) for k, v in per_source.items()], "skey string, shards int, source_size long, target double")

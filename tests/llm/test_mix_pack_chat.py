@@ -77,6 +77,13 @@ def test_mix(spark, shard_docs):
     assert empty.count() == 0 and M.apply_mix(df.filter("false"), none).count() == 0
 
 
+def test_tiny_sources_take_part(spark):
+    rows = [(i, "w " * (3 + i % 19), f"tiny{i:03}") for i in range(200)] + [(1000 + i, "w " * 500, "big") for i in range(40)]
+    own = M.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"))[0].groupBy("skey").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(own) == 201 and all(r.taken > 0 and abs(r.taken - r.target) <= max(1, r.target / 4) for r in own)
+
+
+
 def plain_padding(lengths, buckets):
     distinct = sorted(set(lengths))
     best = None
