@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.stored import stored as durable  # noqa: F401  the operators' name for it
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: The two names that state ASCII letters for translate().
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of text that a Python task takes out of an Arrow batch at a time (one text may be longer).
+AT_ONCE = 2 << 20
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read back, so that later steps survive lost executors.
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    The folder is that of spark.checkpoint.dir; only where it is unset (tests) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-"))
-    return df.checkpoint(eager=True)
 
+def pieces(batches: Iterator[pa.RecordBatch], text: str, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about at_once bytes of the column ``text``, so that a task's memory doesn't depend on the session's batch size."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+        part = np.cumsum(sizes) // at_once
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # whole texts go to Python tasks: a batch is to stay at some MB
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def id_crc(column: str | Column, modulus: int) -> Column:
@@ -35,18 +50,17 @@ def id_crc(column: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % modulus
 
 
-def ascii_lower(column: Column) -> Column:
-    return F.translate(column, UPPER, LOWER)
-
-
 def word_count(column: Column) -> Column:
     """Number of words; null counts as no text."""
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def parts(spark: SparkSession, rows: int, per_task: int) -> int:
-    """Number of shuffle partitions that keeps about per_task rows in a task, never fewer than the session's own."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+def sampled(rows: int, wanted: int, seed: int, *by: str) -> Column:
+    """True for about ``wanted`` of ``rows`` rows, by a hash of the columns ``by``; for all of them where there are no more. 62 bits
+    of the hash are used and the share is rounded up, so that it doesn't become zero however many rows there are."""
+    if rows <= wanted:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 62)) < -(-wanted * (1 << 62) // rows)
 
 
 def small(spark: SparkSession, rows: list, schema: str, most: int = 100_000) -> DataFrame:
@@ -55,8 +69,13 @@ def small(spark: SparkSession, rows: list, schema: str, most: int = 100_000) ->
     return F.broadcast(df) if len(rows) <= most else df
 
 
+def counted(df: DataFrame, most: int) -> DataFrame:
+    """df, kept as a table; it is broadcast in joins if it turns out to have no more than ``most`` rows, else joined by a shuffle."""
+    held = durable(df)
+    return F.broadcast(held) if held.count() <= most else held
+
+
 def without(docs: DataFrame, keys: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
     """docs without the rows whose ``on`` is in keys (one column of that name, no nulls). Up to ``most`` keys, which
     are counted first, are broadcast, so that texts needn't move; more are joined by a shuffle."""
-    held = durable(keys.distinct())
-    return docs.join(F.broadcast(held) if held.count() <= most else held, on, "left_anti")
+    return docs.join(counted(keys.distinct(), most), on, "left_anti")

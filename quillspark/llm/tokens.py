@@ -23,14 +23,26 @@ def slices(texts: list[str | None], at_once: int = AT_ONCE) -> Iterator[tuple[in
             at, total = i + 1, 0
 
 
-def coded_words(texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(codes of all words in order, vocabulary, number of words of each text). ASCII letters are lower-cased, null is empty."""
+def split_words(texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts, one a line and more where they have line breaks, begins and ends of their words in it, text number of each word).
+    ASCII letters are lower-cased, null is empty."""
     data = [(t or "").encode().lower() for t in texts]
     joined = b"\n".join([*data, b""])
     space = _SPACE[np.frombuffer(joined, dtype=np.uint8)]
     edge = np.flatnonzero(np.diff(np.r_[True, space]))  # begin and end of each word, in turn
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), max(0, len(edge) - 1), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(joined)])
-    coded = words.take(pa.array(np.arange(0, len(words), 2))).dictionary_encode()
     ends = np.cumsum([len(x) + 1 for x in data])
-    counts = np.bincount(np.searchsorted(ends, edge[::2], side="right"), minlength=len(texts))
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), counts
+    return joined, edge[::2], edge[1::2], np.searchsorted(ends, edge[::2], side="right")
+
+
+def encode(joined: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(codes of the words, vocabulary)."""
+    edge = np.column_stack([begins, ends]).ravel().astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), max(0, len(edge) - 1), [None, pa.py_buffer(edge), pa.py_buffer(joined)])
+    coded = words.take(pa.array(np.arange(0, len(words), 2))).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
+def coded_words(texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(codes of all words in order, vocabulary, number of words of each text)."""
+    joined, begins, ends, owner = split_words(texts)
+    return *encode(joined, begins, ends), np.bincount(owner, minlength=len(texts))
