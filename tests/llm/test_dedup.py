@@ -1,5 +1,6 @@
 """SimHash, components and line dedup against plain versions."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -101,30 +102,90 @@ def test_components(spark):
 LONG = " ".join(f"w{i}" for i in range(20))
 
 
+def spans_of(docs, **options):
+    out = {}
+    for r in D.dedup(docs, spans="gone", **options).collect():
+        out.setdefault(r.doc_id, []).append((r.text, [tuple(x) for x in r["gone"] or []]))
+    return out
+
+
 def test_lines(spark):
     rows = [(2, f"a\n{LONG}\nb"), (1, f"{LONG.upper()}\nx\n  {LONG}"), (3, "a\nb"), (4, None), (5, ""), (None, LONG), (6, LONG), (7, f"é\n{LONG}"), (7, f"é\n{LONG}")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, start int")
-    got = {}
-    for r in D.dedup(df).collect():
-        got.setdefault(r.doc_id, []).append((r.text, [tuple(s) for s in r["__spans"] or []]))
     n = len(LONG)
-    assert got == {
-        2: [("a\nb", [(2, 2 + n)])], 1: [(f"{LONG.upper()}\nx", [(n + 3, 2 * n + 5)])], 3: [("a\nb", [])], 4: [(None, [])], 5: [("", [])], None: [(LONG, [])],
+    assert spans_of(df) == {
+        2: [("a\nb", [(2, 2 + n)])], 1: [(f"{LONG.upper()}\nx", [(n + 5, 2 * n + 5)])], 3: [("a\nb", [])], 4: [(None, [])], 5: [("", [])], None: [(LONG, [])],
         6: [("", [(0, n)])], 7: [("é", [(2, 2 + n)])] * 2,
     }
     assert D.dedup(df.filter("false")).count() == 0
 
 
+def test_columns_of_any_name_pass_through(spark):
+    names = ["key", "d", "k", "islands", "cut", "_key", "n", "word", "first", "d1"]
+    df = spark.createDataFrame([(1, LONG, *range(10)), (2, LONG, *range(10))], "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    out = sorted(D.dedup(df).collect())
+    assert [tuple(r) for r in out] == [(1, LONG, *range(10)), (2, "", *range(10))] and out[0].__fields__ == df.columns
+
+
+def plain_units(words, lines):
+    """(first word, words, text) of a text's units, step by step."""
+    found, at = [], 0
+    for line in lines:
+        if len(line) >= 16:
+            found.append((at, len(line), b" ".join(line)))
+        at += len(line)
+    numbers = [int(hashlib.md5(w).hexdigest()[:8], 16) for w in words]
+    sums = [sum(numbers[i : i + 38]) % 2**32 for i in range(len(words) - 37)]
+    for i in sorted({min(range(p, p + 13), key=lambda x: (sums[x], x)) for p in range(len(words) - 49)}):
+        found.append((i, 38, b" ".join(words[i : i + 38])))
+    return found
+
+
+def plain_dedup(rows):
+    """Words that each (doc_id, text) keeps."""
+    units = []
+    for doc, text in sorted({r for r in rows if r[0] is not None and r[1] is not None}):
+        data = text.encode().lower()
+        units += [(u, doc, text, at, n) for at, n, u in plain_units(data.split(), [x.split() for x in data.split(b"\n")])]
+    first, gone = {}, {}
+    for u, doc, text, at, n in sorted(units, key=lambda x: (x[1], x[3])):
+        _, d, t, a = first.setdefault(u, (u, doc, text, at))
+        if (d, t) != (doc, text) or at >= a + n:
+            gone.setdefault((doc, text), set()).update(range(at, at + n))
+    return {(doc, text): [w for i, w in enumerate(text.split()) if i not in gone.get((doc, text), ())] for doc, text in rows if text is not None and doc is not None}
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"{rng.choice('bdfgk')}{rng.randrange(900)}" for _ in range(n))
+    shared = [words(rng.randint(30, 120)) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(shared) if rng.random() < 0.4 else words(rng.randint(1, 60)) for _ in range(rng.randint(1, 6))]
+        rows.append((i, "".join(p + rng.choice(["\n", " ", "  ", "\n\n", " \t\r\n"]) for p in parts)))
+    rows += [(70, "la " * 400), (71, "la " * 90 + "x"), (72, rows[3][1]), (73, " ".join(shared) * 20), (None, shared[0])]
+    expected = plain_dedup(rows)
+    got = spans_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    for (doc, text), kept in expected.items():
+        [(out, spans)] = got[doc]
+        assert out.split() == kept, doc
+        assert len("".join(text[a:b] for a, b in spans).split()) <= len(text.split()) - len(kept) + len(spans)
+        inside = "".join(text[a:b] + " " for a, b in spans).split()
+        assert len(inside) == len(text.split()) - len(kept)
+    assert sum(len(k) for k in expected.values()) < 0.9 * sum(len(t.split()) for _, t in expected)
+
+
 def test_passages(spark):
     rng = random.Random(3)
     words = lambda n: " ".join(f"{rng.choice('bdfgk')}{rng.randrange(5000)}" for _ in range(n))
     shared, wrapped, short = words(55), words(60), words(37)
     a, b, c = words(30), words(30), words(30)
     broken = "\n".join(" ".join(wrapped.split()[i : i + 10]) for i in range(0, 60, 10))
-    rows = [(1, f"{a} {shared} {b}"), (2, f"{c} {shared.upper()} {a}\nend"), (3, f"top\n{broken}\nx"), (4, f"y {wrapped} z"), (5, f"{c} {short}"), (6, f"{b} {short} q"), (7, "la " * 300), (8, "la " * 300 + "x"), (9, None), (10, ""), (10, words(70)), (None, shared)]
+    one = f"{a} {shared} {b}"
+    rows = [(1, one), (2, f"{c} {shared.upper()} {words(30)}\nend"), (3, f"top\n{broken}\nx"), (4, f"y {wrapped} z"), (5, f"{words(9)} {short}"), (6, f"{words(9)} {short} q"), (7, "la " * 300), (8, "la " * 300 + "x"), (9, None), (10, ""), (10, words(70)), (None, shared)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {}
-    for r in D.dedup(df, passage_words=50).collect():
+    for r in D.dedup(df).collect():
         got.setdefault(r.doc_id, []).append(r.text)
     whole = [rows[i][1] for i in (0, 2, 4, 5, 8)]
     assert [got[i][0] for i in (1, 3, 5, 6, 9)] == whole and got[None] == [shared] and set(got[10]) == {"", rows[10][1]}
@@ -135,12 +196,13 @@ def test_passages(spark):
             own = {tuple(w[n : n + 50]) for n in range(len(w) - 49)}
             assert not own & seen, i
             seen |= own
-    assert got[2][0].startswith(c) and got[2][0].endswith(f"{a}\nend") and len(got[2][0].split()) <= 61 + 2 * 12
+    assert got[2][0].startswith(c) and got[2][0].endswith("\nend") and len(got[2][0].split()) <= 61 + 2 * 12
     assert got[4][0].startswith("y ") and got[4][0].endswith(" z") and 38 <= len(got[7][0].split()) <= 50
-    assert D.dedup(df.filter("false"), passage_words=50).count() == 0
 
 
 def test_cut():
     w = " ".join(f"w{i}" for i in range(38))
-    assert D._cut(f"a {w} b", [], [1]) == "a b" and D._cut(f"a\n{w}\nb", [], [1]) == "a\nb" and D._cut(f"a\n{w}", [], [1]) == "a" and D._cut(w, [], [0]) == ""
-    assert D._cut(f"a\n{w} x\nb", [], [1]) == "a\nx\nb" and D._cut(f"L L\n{w}\nb", [(0, 3)], [2]) == "b" and D._cut(f"a {w} b c", [], [1, 2]) == "a c"
+    cut = lambda t, *islands: D.cut_words(t, list(islands))[0]
+    assert cut(f"a {w} b", (1, 38)) == "a b" and cut(f"a\n{w}\nb", (1, 38)) == "a\nb" and cut(f"a\n{w}", (1, 38)) == "a" and cut(w, (0, 38)) == ""
+    assert cut(f"a\n{w} x\nb", (1, 38)) == "a\nx\nb" and cut(f"a {w}\nb", (1, 38)) == "a\nb" and cut(f"  {w} a {w}", (0, 38), (39, 38)) == "a" and cut("a b\n\nc", (0, 2)) == "\nc"
+    assert D.cut_words("é  x y", [(1, 1)]) == ("é  y", [(3, 4)])
