@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import durable, table
 from quillspark.llm.vectors import Best, grid, matrix, ranked, valid_vectors
 
-FACTOR = 1.5
+FACTOR = 6.0
 BAND = 1.1
+LEAF = 128
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,7 +44,7 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class VantageTree:
     """Median splits by distance to a vantage point; leaves are index arrays into the given points."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 128):
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.points, self.leaves, self.nodes = points, [], []
         self.rng = np.random.default_rng(11)
         self.root = self._grow(np.arange(len(points)), leaf)
@@ -97,15 +98,20 @@ def bands(length: np.ndarray, ratio: float = BAND) -> list[np.ndarray]:
     return out
 
 
-def search_shard(q_ids, q, c_ids, c, top: float, k: int, factor: float, leaf: int = 128, first: int = 4) -> pd.DataFrame:
-    """query_id, vec_id, score: each query's k nearest found in the shard. top: the largest length of all rows."""
+def search_shard(q_ids, q, c_ids, c, top: float, k: int, factor: float, leaf: int = LEAF, first: int = 4, tally: dict | None = None) -> pd.DataFrame:
+    """query_id, vec_id, score: each query's k nearest found in the shard. top: the largest length of all rows.
+
+    tally, if given, is told the number of pairs, and of those that were compared.
+    """
     _, at = np.unique(np.column_stack([c_ids.astype(float), c]), axis=0, return_index=True)
     c_ids, c = c_ids[at], c[at]
     length, q_length = np.sqrt((c**2).sum(axis=1)), np.sqrt((q**2).sum(axis=1))
     slack = 1e-9 * (q_length * top + 1)
-    best = Best(len(q), k, float)
+    best, looked = Best(len(q), k, float), 0
 
     def look(own: np.ndarray, members: np.ndarray) -> None:
+        nonlocal looked
+        looked += len(own) * len(members)
         score = q[own] @ c[members].T
         score[q_ids[own, None] == c_ids[None, members]] = -np.inf
         kth = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(own), -np.inf)
@@ -120,20 +126,20 @@ def search_shard(q_ids, q, c_ids, c, top: float, k: int, factor: float, leaf: in
         stretch = m / q_length[own]  # queries as long as the longest row: all lie on one sphere
         tree = VantageTree(np.column_stack([c[band], np.sqrt(np.maximum(m**2 - length[band] ** 2, 0))]), leaf)
         bound = tree.bounds(np.column_stack([q[own] * stretch[:, None], np.zeros(len(own))]))
-        seat = bound.argsort(axis=1).argsort(axis=1)  # each query begins with its nearest leaves
-        for n, members in enumerate(tree.leaves):
-            some = np.flatnonzero(seat[:, n] < first)
-            if len(some):
-                look(own[some], band[members])
-        for n, members in enumerate(tree.leaves):
+        seat = bound.argsort(axis=1, kind="stable").argsort(axis=1)  # each query goes to its nearest leaves first, some at a time
+        low, high = 0, first
+        while low < len(tree.leaves):
             reach = np.sqrt(np.maximum(2 * m * m - 2 * stretch * (best.least[own] - slack[own]), 0))  # infinite until k are found
-            some = np.flatnonzero((seat[:, n] >= first) & (factor * bound[:, n] <= reach + 1e-7 * m))
-            if len(some):
-                look(own[some], band[members])
+            due = (seat >= low) & (seat < high) & (factor * bound <= (reach + 1e-7 * m)[:, None])
+            for n in np.flatnonzero(due.any(axis=0)):
+                look(own[due[:, n]], band[tree.leaves[n]])
+            low, high = high, high + max(first, (high - low) * 3 // 2)
+    if tally is not None:
+        tally["pairs"], tally["compared"] = tally.get("pairs", 0) + len(q) * len(c), tally.get("compared", 0) + looked
     return pd.DataFrame({"query_id": q_ids[best.query], "vec_id": best.id, "score": best.score})
 
 
-def nearest(vectors: DataFrame, is_query, *, k: int = 20, factor: float = FACTOR, shard_rows: int = 16384, query_rows: int = 8192) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, *, k: int = 20, factor: float = FACTOR, shard_rows: int = 16384, query_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score. vectors: vec_id, v (doubles); is_query: a column on vec_id."""
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = durable(vectors.withColumn("length", length).filter("length > 0"))

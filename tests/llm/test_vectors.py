@@ -84,12 +84,48 @@ def test_recall_at_the_default_factor():
     x = rng.normal(size=(6000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     ids = np.arange(6000)
-    found = A.search_shard(ids[:100], x[:100], ids, x, 1.0, 20, A.FACTOR)
+    tally = {}
+    found = A.search_shard(ids[:100], x[:100], ids, x, 1.0, 20, A.FACTOR, tally=tally)
     score = x[:100] @ x.T
     score[np.arange(100), np.arange(100)] = -9
     best = np.argsort(-score, axis=1)[:, :20]
     own = found.groupby("query_id")["vec_id"].agg(set)
     assert np.mean([len(own[i] & set(best[i])) / 20 for i in range(100)]) >= 0.9
+    assert tally["pairs"] == 600_000 and tally["compared"] < 0.97 * tally["pairs"]
+
+
+def test_recall_of_the_query_over_several_shards(spark):
+    """op6 as registered and in shards of 400 rows, on a whole table of embeddings."""
+    folder = "/root/testdata/sf0.1"
+    df = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    fine = {r.vec_id: np.array(r.embedding, dtype=float) for r in df if r.embedding is not None and np.isfinite(np.array(r.embedding, dtype=float)).all()}
+    ids = np.array(sorted(fine))
+    x = np.stack([fine[i] for i in ids])
+    queries = [i for i in ids if i % 20 == 0]
+    for got in (A.op6_ann(spark, folder), A.nearest(valid_vectors(spark.read.parquet(f"{folder}/embeddings.parquet")), F.col("vec_id") % 20 == 0, shard_rows=400, query_rows=60)):
+        rows = {}
+        for r in got.collect():
+            assert abs(r.score - float(fine[r.query_id] @ fine[r.vec_id])) < 1e-9
+            rows.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+        assert set(rows) == set(queries) and all(sorted(n for n, _ in v) == list(range(1, 21)) for v in rows.values())
+        hits = 0
+        for q in queries:
+            score = x @ fine[q]
+            score[ids == q] = -np.inf
+            hits += len({v for _, v in rows[q]} & set(ids[np.argsort(-score, kind="stable")[:20]]))
+        assert hits >= 0.9 * 20 * len(queries)
+
+
+def test_partial_sums_leave_few_pairs():
+    rng = np.random.default_rng(7)
+    x = np.floor(256 * rng.normal(size=(4000, 64)) * np.linspace(1.5, 0.2, 64))
+    rotation, ids, tally = np.linalg.eigh(x.T @ x)[1][:, ::-1], np.arange(4000), {}
+    found = E.search_block(ids[:80], x[:80], ids, x, 5, rotation, np.full(80, -np.inf), step=500, tally=tally)
+    score = (x[:80] @ x.T).astype(np.int64)
+    score[np.arange(80), np.arange(80)] = -(1 << 62)
+    for i, own in found.groupby("query_id"):
+        assert set(zip(own["score"], own["vec_id"])) == {(score[i, j], j) for j in sorted(range(4000), key=lambda j: (-score[i, j], j))[:5]}
+    assert tally["pairs"] == 320_000 and tally["scored"] < 0.3 * tally["pairs"]
 
 
 @pytest.mark.parametrize("lengths", ["outlier of 4", "outlier of 10", "clusters and an outlier", "lognormal"])
