@@ -14,7 +14,7 @@ corpus counts of everything in it. A frequent word is asked for once a block, ho
 Only block and shard totals and a histogram of bounded size, on which the weights are learned, reach the driver.
 
 Defined cases: null text is empty and is the end token alone; a null id counts as the empty text for the fold;
-rows that repeat an id are scored, and teach, each for itself; without training documents every token has
+rows that repeat an id are scored, and teach, each for itself; a very long text is a block of its own; without training documents every token has
 probability 1 / (V + 1) with V = 0; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable, id_crc, table
+from quillspark.llm.common import durable, id_crc, pieces, table
 from quillspark.llm.tokens import coded_words
 
 BLOCK_CHARS, SHARD_KEYS, BUCKETS, STEP, ROUNDS = 5 << 20, 1_000_000, 24, 4, 200
@@ -77,7 +77,7 @@ def _blocks(block_chars: int):
 
         held: dict[bool, list] = {False: [], True: []}
         size = {False: 0, True: 0}
-        for b in batches:
+        for b in pieces(batches, "text"):
             for doc, fold, text in zip(*(c.to_pylist() for c in b.columns)):
                 deleted = fold == 1
                 held[deleted].append((doc, fold, text))
@@ -123,12 +123,12 @@ class Block:
     def own_counts(self, kind: int, rows: np.ndarray) -> np.ndarray:
         """Occurrences, in the documents of ``rows`` (a mask), of each word (0) or bigram (1)."""
         use = rows[self.doc]
-        return np.bincount((self.pair if kind else self.token)[use], minlength=len(self.keys[kind])).astype(np.uint32)
+        return np.bincount((self.pair if kind else self.token)[use], minlength=len(self.keys[kind])).astype(np.uint64)
 
     def answers(self, kind: int, replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Corpus counts of each word or bigram: (training without the deleted, deleted)."""
         own = replies[replies["kind"] == kind].sort_values("shard")
-        fit, dev = (np.concatenate(x) if len(own) else np.zeros(0, np.uint32) for x in (zip(*(_expand(r.payload, r.n, "<u4", "<u4") for r in own.itertuples())) if len(own) else ((), ())))
+        fit, dev = (np.concatenate(x) if len(own) else np.zeros(0, np.uint64) for x in (zip(*(_expand(r.payload, r.n, "<u8", "<u8") for r in own.itertuples())) if len(own) else ((), ())))
         out = []
         for x in (fit, dev):
             y = np.zeros(len(x), dtype=np.int64)
@@ -163,10 +163,12 @@ def _requests(shards: int):
 
 def _total(pdf: pd.DataFrame) -> pd.DataFrame:
     """Adds up one hash range's counts, and answers each block in its own order."""
-    parts = [_expand(r.payload, r.n, "<u8", "<u4", "<u4") for r in pdf.itertuples()]
+    parts = [_expand(r.payload, r.n, "<u8", "<u8", "<u8") for r in pdf.itertuples()]
     keys = np.concatenate([np.cumsum(p[0]) for p in parts])
     distinct, at = np.unique(keys, return_inverse=True)
-    fit, dev = (np.bincount(at, weights=np.concatenate([p[k] for p in parts]), minlength=len(distinct)).astype(np.uint32) for k in (1, 2))
+    fit, dev = np.zeros((2, len(distinct)), dtype=np.uint64)  # counts of a corpus: a common word passes 2^32
+    for total, k in ((fit, 1), (dev, 2)):
+        np.add.at(total, at, np.concatenate([p[k] for p in parts]))
     cuts = np.cumsum([0, *pdf["n"]])
     known = [int(((fit + dev) > 0).sum()), int((fit > 0).sum())]
     payloads = [_squeeze(fit[at[a:b]], dev[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
@@ -205,13 +207,15 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", block_
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), id_crc(doc_id, 10).cast("int").alias("fold"), F.col(text).alias("text"))
     blocks = durable(rows.mapInArrow(_blocks(block_chars), _BLOCK))
-    tokens, taught, deleted = blocks.agg(F.sum(F.col("n_codes") + F.size("ids")), F.sum("taught"), F.sum(F.when(F.col("deleted"), F.col("taught")))).first()
+    n_blocks, tokens, taught, deleted = blocks.agg(F.count("*"), F.sum(F.col("n_codes") + F.size("ids")), F.sum("taught"), F.sum(F.when(F.col("deleted"), F.col("taught")))).first()
     n, n_fit = float(taught or 0), float((taught or 0) - (deleted or 0))
     shards = max(1, -(-(tokens or 0) // shard_keys))
-    asked = blocks.mapInPandas(_requests(shards), "kind int, shard int, block long, n long, payload binary")
+    asked = blocks.mapInPandas(_requests(shards), "kind int, shard int, block long, n long, payload binary").repartition(2 * shards, "kind", "shard")  # a hash range or two a task
     replies = durable(asked.groupBy("kind", "shard").applyInPandas(_total, "kind int, shard int, block long, n long, payload binary, known long, known_fit long"))
     v, v_fit = (float(x or 0) for x in replies.filter("kind = 0").agg(F.sum("known"), F.sum("known_fit")).first())
 
+    together = lambda df: df.repartition(max(1, n_blocks // 2), "block").groupBy("block")  # noqa: E731  a block or few a task
+
     def gather(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in mine.itertuples():
@@ -225,7 +229,7 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", block_
         return pd.concat(out) if out else pd.DataFrame({"bucket": [], "b2": [], "b1": [], "n": [], "s2": [], "s1": []})
 
     odd = F.col("block") % 2 == 1  # blocks of deleted documents
-    told = blocks.filter(odd).groupBy("block").cogroup(replies.filter(odd).groupBy("block")).applyInPandas(gather, "bucket long, b2 long, b1 long, n long, s2 double, s1 double")
+    told = together(blocks.filter(odd)).cogroup(together(replies.filter(odd))).applyInPandas(gather, "bucket long, b2 long, b1 long, n long, s2 double, s1 double")
     hist = told.groupBy("bucket", "b2", "b1").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")).toPandas()  # a bounded number of bins
     weights = learn(hist.assign(bigram=hist["s2"] / hist["n"], unigram=hist["s1"] / hist["n"]))
 
@@ -244,7 +248,7 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", block_
             }))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return together(blocks).cogroup(together(replies)).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scoring(spark, sf_dir) -> DataFrame:
