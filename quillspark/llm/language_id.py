@@ -15,7 +15,8 @@ since they grow with the hosts; rows travel without their texts.
 A text without a trigram of letters, or whose likeliest language has less than ``least`` probability, is rejected.
 
 Defined cases: null texts and addresses are empty; a null declaration, suffix or host is a value of its own that
-tells nothing special; repeated rows count each for itself; without labelled texts nothing is identified; an
+tells nothing special; repeated rows count each for itself; equal languages fall to the first by name; very long texts
+count as a whole, some thousand trigrams at a time; without labelled texts nothing is identified; an
 empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import durable, table
+from quillspark.llm.common import durable, pieces, sampled, table
 
 BUCKETS, SAMPLE, MOST_GRAMS, LEAST, PSEUDO = 1 << 15, 4000, 150, 0.5, 5.0
 #: ASCII bytes that aren't letters, as spaces; letters in lower case; other bytes as they are.
@@ -52,8 +53,7 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE) -> tuple[list[str], np.nda
     """(languages, log probabilities of the buckets: one row a bucket). labelled: text, lang. About ``sample`` rows are used;
     the driver receives at most one number a bucket and language."""
     known = labelled.filter("lang is not null and text is not null")
-    n = known.count()
-    share = F.pmod(F.xxhash64(F.lit(4), F.col("text")), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))
+    share = sampled(known.count(), sample, 4, "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -80,7 +80,7 @@ def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], *, marku
     kept = [f for f in rows.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             out = []
             for x in batch.column("text").to_pylist():
                 g = grams(_MARKUP.sub(" ", x) if markup and x else x)

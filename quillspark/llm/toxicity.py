@@ -9,7 +9,8 @@ The classifier is fitted on a bounded sample of labelled rows: about ``sample``
 of doc_id, dealt into shards of about ``shard_rows`` that learn on their own and are averaged. Every row is scored.
 
 Defined cases: null and empty texts have no features and get the score of the bias; a null label teaches
-nothing; where labels repeat an id the larger counts; rows that repeat an id are scored each for itself;
+nothing; where labels repeat an id the larger counts; rows that repeat an id are scored each for itself, and
+teach once a text (a sample of them where they are more than twice ``sample``); very long texts count as a whole;
 a null id counts as the empty text for the fold; without labelled rows every score is 0.5; an empty table
 gives an empty result; other columns of the input are ignored.
 """
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import id_crc, table
+from quillspark.llm.common import durable, id_crc, pieces, sampled, table
 from quillspark.llm.tokens import coded_words, slices
 
 BITS, SAMPLE, SHARD_ROWS, THRESHOLD = 20, 16_000, 4_000, 0.3
@@ -71,12 +72,13 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, shard_row
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.count()
     shards = max(1, round(min(total, sample) / shard_rows))
-    share = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(1 << 20)) < int(min(1.0, sample / max(1, total)) * (1 << 20))
-    chosen = known.filter(share)  # about ``sample`` rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    chosen = durable(known.filter(sampled(total, sample, 3, "doc_id")))  # about ``sample`` rows of two numbers
+    held = docs.select("doc_id").join(F.broadcast(chosen), "doc_id").count()  # more where ids repeat: those are thinned by text
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(sampled(held, 2 * sample, 4, "doc_id", "text")).dropDuplicates()
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable").sample(frac=1.0, random_state=9)
+        pdf = pdf.sort_values(["doc_id", "text"], kind="stable").sample(frac=1.0, random_state=9)
         examples = []
         texts, toxic = pdf["text"].tolist(), pdf["toxic"].to_numpy()
         for a, b in slices(texts):
@@ -106,14 +108,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, bits:
         at, w, bias = shared.value
         weights = np.zeros(1 << bits)
         weights[at] = w
-        for batch in batches:
-            out = np.full(batch.num_rows, bias)
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                row, found = features(texts[a:b], bits)
-                hit = weights[found] != 0
-                keys = np.unique(row[hit] << bits | found[hit])  # each feature once a text
-                out[a:b] += np.bincount(keys >> bits, weights=weights[keys & (1 << bits) - 1], minlength=b - a)
+        for batch in pieces(batches, "text"):
+            row, found = features(batch.column(1).to_pylist(), bits)
+            hit = weights[found] != 0
+            keys = np.unique(row[hit] << bits | found[hit])  # each feature once a text
+            out = bias + np.bincount(keys >> bits, weights=weights[keys & (1 << bits) - 1], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], names=["doc_id", "score"])
 
     own = docs.select("doc_id", "text")
