@@ -17,7 +17,7 @@ A role that isn't plain letters, digits, "_", "." or "-" is written as "x:" and
 
 Defined cases: null text and null role are empty; rows of a conversation are in the order of turn (null
 first), then role, then text; repeated rows are repeated turns; a null conv_id is a conversation of its
-own; an empty table gives an empty result; other columns of the input are ignored. One conversation is
+own; very long texts are formatted whole; an empty table gives an empty result; other columns of the input are ignored. One conversation is
 one row, as its digests need all of it.
 """
 

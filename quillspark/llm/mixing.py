@@ -13,7 +13,7 @@ vocabulary (names of collections), shards are at most ``max_shards`` a source.
 
 Defined cases: null text has size 0; a null source is a source of its own, ordered last; a source
 without words has target 0; documents without words take 0; repeated rows count and take each for
-themselves; an empty table gives an empty result; other columns of the input are ignored.
+themselves; a very long text is one document, and takes at most three times its size; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable, small, table, word_count
+from quillspark.llm.common import WORD, durable, fresh, small, table, word_count
 
 #: Base weights, repeated over the ordered sources.
 WEIGHTS = (1, 2, 3)
@@ -132,13 +132,15 @@ def apply_mix(docs: DataFrame, shards: DataFrame, *, source: str = "source", doc
     names = docs.columns
     spark = docs.sparkSession
     rows = shards.collect()  # one row a shard, as in plan(); made a table of known size
-    info = small(spark, [(r.skey, r.shard, r.passes, r.edge) for r in rows], "__skey string, __shard int, __passes long, __edge long")
-    counts = small(spark, sorted({(r.skey, r.shards) for r in rows}), "__skey string, __shards int")
-    tagged = docs.select("*", _source_key(source).alias("__skey"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("__place"))
-    keyed = tagged.join(counts, "__skey").withColumn("__shard", F.pmod("__place", F.col("__shards")).cast("int"))
-    again = F.col("__passes") + (F.col("__place") < F.col("__edge")).cast("int")
-    taken = keyed.join(info, ["__skey", "__shard"]).withColumn("__copies", F.when(word_count(F.col(text)) > 0, again).otherwise(0))
-    return taken.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    skey, place, shard, n, passes, edge, copy = fresh(docs, "skey", "place", "shard", "shards", "passes", "edge", "copy")
+    info = small(spark, [(r.skey, r.shard, r.passes, r.edge) for r in rows], f"{skey} string, {shard} int, {passes} long, {edge} long")
+    counts = small(spark, sorted({(r.skey, r.shards) for r in rows}), f"{skey} string, {n} int")
+    worded = docs.filter(F.col(text).rlike(WORD))
+    tagged = worded.withColumn(skey, _source_key(source)).withColumn(place, F.xxhash64(F.lit(seed), F.col(doc_id)))
+    keyed = tagged.join(counts, skey).withColumn(shard, F.pmod(place, F.col(n)).cast("int"))
+    again = F.col(passes) + (F.col(place) < F.col(edge)).cast("int")
+    taken = keyed.join(info, [skey, shard])
+    return taken.withColumn(copy, F.explode(F.when(again > 0, F.sequence(F.lit(1), again.cast("int"))))).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op10_mixing(spark, sf_dir) -> DataFrame:

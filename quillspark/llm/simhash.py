@@ -13,7 +13,7 @@ visitors are cut into a grid of hash groups, so a task's rows are bounded whatev
 components of all forests together are found by contraction.
 
 Defined cases: null or blank text has fingerprint zero, linked like any other; a text of fewer than
-four words is one shingle; repeated rows come out once each, with the same component; rows with a null
+four words is one shingle; very long texts are hashed whole, some thousand shingles at a time; repeated rows come out once each, with the same component; rows with a null
 doc_id make no links, but get the component of their fingerprint where another row has it; an empty
 table gives an empty result; other columns of the input are ignored.
 """
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable, table
+from quillspark.llm.common import durable, pieces, table
 from quillspark.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """doc_id, fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             prints = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
