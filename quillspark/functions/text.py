@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,8 +65,20 @@ def page_meta(html: Column) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull() & (v != ""))
 
 
+def _numeric_entity(text: Column, entity: Column) -> Column:
+    """text with one numeric entity decoded, where it is a character of the first 65,535 and not &."""
+    digits = F.regexp_extract(entity, "&#[xX]?([0-9A-Fa-f]+);", 1)
+    code = F.when(entity.rlike("&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    letter = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+    return F.when((code.between(1, 0xD7FF) | code.between(0xE000, 0xFFFF)) & (code != 38), F.replace(text, entity, letter)).otherwise(text)
+
+
 def decode_entities(text: Column) -> Column:
-    for name, value in ENTITIES:
+    """Named entities of the list and numeric ones up to five digits decoded; & last, so that nothing is decoded twice."""
+    found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit("&#(?:[0-9]{1,5}|[xX][0-9A-Fa-f]{1,4});"), F.lit(0)))
+    numeric = lambda t: F.when(F.contains(t, F.lit("&#")), F.aggregate(found(t), t, _numeric_entity)).otherwise(t)
+    text = F.transform(F.array(text), numeric)[0]  # bound once, as the text is an expression itself
+    for name, value in (*ENTITIES[:-1], ("&#38;", "&"), ("&#x26;", "&"), ENTITIES[-1]):
         text = F.replace(text, F.lit(name), F.lit(value))
     return text
 
@@ -111,9 +125,19 @@ def full_url(raw: Column, base: Column) -> Column:
     return F.when(raw.rlike(r"^(?:https?:)?//"), raw).otherwise(F.regexp_replace(joined, r"^(https?:)/", "$1//"))
 
 
+def decoded(text: Column) -> Column:
+    """Percent signs and plus signs decoded; a text with a stray % stays as it is."""
+    return F.coalesce(F.try_url_decode(text), text)
+
+
+def decoded_path(path: Column) -> Column:
+    """The same for a path, in which a plus sign is one."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 def loc_to_page(loc: Column) -> Column:
     """The file name of a location, decoded; a literal + stays."""
-    return F.url_decode(F.replace(F.regexp_extract(loc, r"[^/]*$", 0), F.lit("+"), F.lit("%2B")))
+    return decoded_path(F.regexp_extract(loc, r"[^/]*$", 0))
 
 
 def page_to_loc(page: Column, base: Column) -> Column:
@@ -128,9 +152,9 @@ def with_param(url: Column, key: str, value: Column | str) -> Column:
 
 
 def query_params(url: Column, key: str) -> Column:
-    """All values of a query parameter, decoded, in order."""
+    """All values of a query parameter, decoded, in order; a value with a stray % stays as it is."""
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    return F.transform(F.regexp_extract_all(query, F.lit(rf"(?:^|&){key}=([^&]*)"), F.lit(1)), F.url_decode)
+    return F.transform(F.regexp_extract_all(query, F.lit(rf"(?:^|&){re.escape(key)}=([^&]*)"), F.lit(1)), decoded)
 
 
 def query_param(url: Column, key: str) -> Column:
@@ -254,3 +278,8 @@ def ordered_keywords(keywords: Column, split_words: bool = False) -> Column:
     kept = F.array_distinct(F.filter(keywords, lambda k: trim_ws(k) != ""))
     keyed = F.transform(kept, lambda k, i: F.struct((-F.length(k)).alias("n"), i.alias("i"), k.alias("k")))
     return F.transform(F.array_sort(keyed), lambda x: x["k"])
+
+
+def term_bucket(term: Column, buckets: int) -> Column:
+    """The bucket that a term's postings are stored in."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")

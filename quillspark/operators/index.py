@@ -2,33 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 
 
+@dataclass(frozen=True)
+class Index:
+    """What a search reads. buckets: the number of term buckets that stored postings and statistics are kept by; None where they aren't stored."""
+
+    postings: DataFrame
+    stats: DataFrame
+    membership: DataFrame | None = None
+    documents: DataFrame | None = None
+    buckets: int | None = None
+
+
+def language() -> Column:
+    return F.coalesce(F.lower("lang"), F.lit("unknown"))
+
+
 def index_terms(documents: DataFrame, content: str = "content") -> DataFrame:
-    """lang, doc_id, location, term: every word under the same normalisation as search terms; words of punctuation alone keep their place, but have no row."""
-    terms = X.index_words(F.col(content))  # before the explode, so that it carries no texts along
-    return documents.select(F.coalesce(F.lower("lang"), F.lit("unknown")).alias("lang"), "doc_id", F.posexplode(terms).alias("location", "term")).filter("term <> ''")
+    """lang, doc_id, length, location, term: every word under the same normalisation as search terms; words of punctuation alone keep their place, but have no row.
+
+    length: the document's words that have a row. With a column ``weights`` of documents (array of doubles by location) also weight, 1.0 where it ends.
+    """
+    ready = documents.select(language().alias("lang"), "doc_id", X.index_words(F.col(content)).alias("words"), *(["weights"] if "weights" in documents.columns else []))
+    length = F.size(F.filter("words", lambda w: w != "")).alias("length")  # in the row, so that no window or join is needed for it
+    weight = [F.coalesce(F.get("weights", F.col("location")), F.lit(1.0)).alias("weight")] if "weights" in ready.columns else []
+    rows = ready.select("*", length).select("lang", "doc_id", "length", *(["weights"] if weight else []), F.posexplode("words").alias("location", "term"))
+    return rows.filter("term <> ''").select("lang", "doc_id", "length", "location", "term", *weight)
 
 
 def build_postings(documents: DataFrame, content: str = "content") -> DataFrame:
-    """lang, term, doc_id, tf, locations (ascending). A group is one document's, so frequent terms don't make large groups."""
-    grouped = index_terms(documents, content).groupBy("lang", "term", "doc_id")
-    return grouped.agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("location")).alias("locations"))
+    """lang, term, doc_id, length (the document's), tf, locations (ascending); with weights also weights, in the order of locations.
+
+    A group is one document's, so frequent terms don't make large groups.
+    """
+    rows = index_terms(documents, content)
+    grouped = rows.groupBy("lang", "term", "doc_id", "length")
+    if "weight" not in rows.columns:
+        return grouped.agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("location")).alias("locations"))
+    placed = grouped.agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list(F.struct("location", "weight"))).alias("at"))
+    return placed.select("lang", "term", "doc_id", "length", "tf", F.col("at.location").alias("locations"), F.col("at.weight").alias("weights"))
 
 
 def document_lengths(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    return postings.select("doc_id", "length").distinct()
+
 
+def corpus_stats(documents: DataFrame, content: str = "content") -> DataFrame:
+    """lang, n_docs, mean_length over the documents that have a word; one row a language."""
+    length = F.size(F.filter(X.index_words(F.col(content)), lambda w: w != ""))
+    return documents.select(language().alias("lang"), length.alias("length")).filter("length > 0").groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
 
-def term_stats(postings: DataFrame) -> DataFrame:
-    """lang, term, df (documents that have it), n_docs and mean_length of the language's corpus."""
+
+def term_stats(postings: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """lang, term, df (documents that have it), n_docs and mean_length of the language's corpus. corpus: corpus_stats of the documents; without it the postings tell."""
     df = postings.groupBy("lang", "term").agg(F.count("*").alias("df"))
-    lengths = postings.groupBy("lang", "doc_id").agg(F.sum("tf").alias("length"))
-    corpus = lengths.groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    if corpus is None:
+        lengths = postings.groupBy("lang", "doc_id").agg(F.max("length").alias("length"))
+        corpus = lengths.groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     return df.join(corpus, "lang")
 
 
@@ -45,3 +82,9 @@ def with_merge_filter(membership: DataFrame, documents: DataFrame, filters: dict
         return membership
     added = F.explode(F.array(*[F.struct(F.lit(k).alias("filter"), F.lit(v).alias("value")) for k, v in pairs]))
     return membership.unionByName(documents.select("doc_id", added.alias("x")).select("doc_id", "x.filter", "x.value")).distinct()
+
+
+def build_index(documents: DataFrame, content: str = "content") -> Index:
+    """The index of documents (doc_id, lang, content, perhaps filters), as a plan; sources.corpus stores it."""
+    postings = build_postings(documents, content)
+    return Index(postings, term_stats(postings, corpus_stats(documents, content)), facet_membership(documents) if "filters" in documents.columns else None, documents)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 
-LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>"""
+#: A link; its address is in one of the first three groups, its markup in the fourth.
+LINK = r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
+LINK_OPEN = LINK[: LINK.index("[^>]*>(")]
 VOLUME = rf"[{X.KANJI}0-9]+"
 #: Volume, page and perhaps a date, in brackets of full or half width.
 CITATION = rf"[（(]({VOLUME})[―-]({VOLUME})(?:、([^（()）]*))?[)）]"
@@ -22,20 +24,25 @@ def paragraphs(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     return pages.select(key, F.posexplode(kept).alias("ordinal", "text"))
 
 
-def page_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, ordinal, href, anchor_text (without tags), kind."""
-    hrefs, texts = (F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(k)) for k in (1, 2))
-    rows = pages.select(key, F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("text"))).alias("ordinal", "x"))
-    return rows.select(key, "ordinal", "x.href", X.trim_ws(X.strip_tags(F.col("x.text"))).alias("anchor_text"), X.link_kind(F.col("x.href")).alias("kind"))
+def _href(parts) -> Column:
+    """The address in the first three groups of LINK, of which two are empty."""
+    return X.decode_entities(F.concat(*parts))
+
+
+def page_links(pages: DataFrame, key: str = "page_id", html: str = "html", keep: Sequence[str] = ()) -> DataFrame:
+    """key, the columns of keep, ordinal, href, anchor_text (without tags), kind. Links in comments don't count; entities are decoded."""
+    shown = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", "")
+    groups = [F.regexp_extract_all(shown, F.lit(LINK), F.lit(k)).alias(f"g{k}") for k in range(1, 5)]
+    rows = pages.select(key, *keep, F.posexplode(F.arrays_zip(*groups)).alias("ordinal", "x")).withColumn("href", _href([F.col(f"x.g{k}") for k in (1, 2, 3)]))
+    return rows.select(key, *keep, "ordinal", "href", X.trim_ws(X.decode_entities(X.strip_tags(F.col("x.g4")))).alias("anchor_text"), X.link_kind(F.col("href")).alias("kind"))
 
 
 def page_marks(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, ordinal, printed_page, position: marks such as P.55 or P64, with their offset in the text (from 0)."""
-    pieces = F.split(F.col(text), r"(?=P\.?\s?[0-9])")
-    sized = rows.select(key, F.posexplode(pieces).alias("piece", "part"))
-    before = F.coalesce(F.sum(F.length("part")).over(Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    number = F.regexp_extract("part", r"^P\.?\s?([0-9]+)", 1)
-    found = sized.select(key, "piece", number.alias("number"), before.alias("position")).filter("number <> ''")
+    """key, ordinal, printed_page, position: marks such as P.55 or P64, with their offset in the text (from 0). Texts stay where they are; their pieces' sizes are shuffled."""
+    pieces = F.transform(F.split(F.col(text), r"(?=P\.?\s?[0-9])"), lambda p: F.struct(F.length(p).alias("size"), F.regexp_extract(p, r"^P\.?\s?([0-9]+)", 1).alias("number")))
+    sized = rows.select(key, F.posexplode(pieces).alias("piece", "p")).select(key, "piece", "p.*")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = sized.select(key, "piece", "number", before.alias("position")).filter("number <> ''")
     return found.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("piece")) - 1).alias("ordinal"), F.col("number").try_cast("int").alias("printed_page"), "position")
 
 
@@ -55,15 +62,16 @@ def toc_rows(pages: DataFrame, key: str = "collection", html: str = "html") -> D
     return rows.select(
         key, "ordinal", F.length(F.regexp_extract(shown, rf"^{X.WS}*", 0)).alias("level"),
         X.trim_ws(F.regexp_replace(shown, rf"[…・.\s]*P?\.?[0-9]+{X.WS}*$", "")).alias("title"),
-        F.nullif(F.regexp_extract("line", r"""(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)\"""", 1), F.lit("")).alias("href"), page.try_cast("int").alias("printed_page"),
+        F.nullif(_href([F.regexp_extract("line", LINK_OPEN, k) for k in (1, 2, 3)]), F.lit("")).alias("href"), page.try_cast("int").alias("printed_page"),
     )
 
 
 def site_index(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, ordinal, title, href of the links in list items."""
-    items = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))
+    items = F.regexp_extract_all(F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", ""), F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))
     rows = pages.select(key, F.posexplode(F.filter(items, lambda x: x.rlike(LINK))).alias("ordinal", "item"))
-    return rows.select(key, "ordinal", X.trim_ws(X.strip_tags(F.regexp_extract("item", LINK, 2))).alias("title"), F.regexp_extract("item", LINK, 1).alias("href"))
+    part = lambda k: F.regexp_extract("item", LINK, k)
+    return rows.select(key, "ordinal", X.trim_ws(X.decode_entities(X.strip_tags(part(4)))).alias("title"), _href([part(1), part(2), part(3)]).alias("href"))
 
 
 def tokens(rows: DataFrame, key: str, content: str) -> DataFrame:
@@ -72,16 +80,20 @@ def tokens(rows: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def page_anchors(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, ordinal, element, id, text, location (words before the heading in the visible text) of the headings."""
-    pieces = pages.select(key, F.posexplode(F.split(F.regexp_replace(F.col(html), X.HIDDEN, ""), r"(?i)(?=<h[1-6]\b)")).alias("piece", "part"))
-    size = F.size(F.filter(X.words(X.body_text(F.col("part"))), lambda w: w != ""))
-    line = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("location", F.coalesce(F.sum(size).over(line), F.lit(0)).cast("int")).filter(F.col("part").rlike(r"(?i)^<h[1-6]\b"))
+    """key, ordinal, element, id, text, location (words before the heading in the visible text) of the headings. Of the texts, only headings are shuffled."""
     head = r"(?is)^<(h[1-6])\b([^>]*)>(.*?)</\1\s*>"
-    return placed.select(
-        key, (F.row_number().over(Window.partitionBy(key).orderBy("piece")) - 1).alias("ordinal"), F.lower(F.regexp_extract("part", head, 1)).alias("element"),
-        F.regexp_extract(F.regexp_extract("part", head, 2), r"""(?i)\bid\s*=\s*["']([^"']*)""", 1).alias("id"), X.trim_ws(X.decode_entities(X.strip_tags(F.regexp_extract("part", head, 3)))).alias("text"), "location",
-    )
+
+    def piece(p: Column) -> Column:
+        return F.struct(
+            F.size(F.filter(X.words(X.body_text(p)), lambda w: w != "")).alias("size"), p.rlike(r"(?i)^<h[1-6]\b").alias("heading"), F.lower(F.regexp_extract(p, head, 1)).alias("element"),
+            F.regexp_extract(F.regexp_extract(p, head, 2), r"""(?i)\bid\s*=\s*["']([^"']*)""", 1).alias("id"), X.trim_ws(X.decode_entities(X.strip_tags(F.regexp_extract(p, head, 3)))).alias("text"),
+        )
+
+    cut = F.split(F.regexp_replace(F.col(html), X.HIDDEN, ""), r"(?i)(?=<h[1-6]\b)")
+    pieces = pages.select(key, F.posexplode(F.transform(cut, piece)).alias("piece", "p")).select(key, "piece", "p.*")
+    line = Window.partitionBy(key).orderBy("piece")
+    placed = pieces.withColumn("location", F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")).filter("heading")
+    return placed.select(key, (F.row_number().over(line) - 1).alias("ordinal"), "element", "id", "text", "location")
 
 
 def content_pages(pages: DataFrame, page: str = "page") -> DataFrame:

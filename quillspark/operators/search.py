@@ -6,6 +6,7 @@ score is BM25, whose parameters the ranking weights are.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -14,10 +15,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.operators.index import Index
+from quillspark.sources.stored import stored
 
+#: Rows of a small side that are broadcast at most, and of values by key that meet in one row; both are counted.
+MOST_ROWS = 100_000
+#: Queries without term and selection that meet the documents at a time.
+OPEN_AT_ONCE = 1000
 
-#: Queries without term and selection that one batch may hold: each returns every document.
-MOST_OPEN = 1000
+
+def counted(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """df for the small side of a join: a broadcast if it has no more than ``most`` rows, which are counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 @dataclass(frozen=True)
@@ -49,18 +58,39 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def match_terms(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """query_id, doc_id, lang, ordinal, term, tf, locations, n_terms, exact: the postings of each query's terms.
+    """query_id, doc_id, lang, ordinal, term, tf, locations, n_terms, exact (and length, weights, where postings have them): the postings of each query's terms.
 
-    An equi-join on the term (and the language, where queries have one); the side of query terms is small and
-    becomes a broadcast at run time if it is under the session's threshold, else skewed terms are split.
+    An equi-join on the term (and the language, where queries have one). The side of query terms is broadcast if it is
+    small, which is counted, else skewed terms are split at run time.
+    """
+    terms = counted(query_terms(queries))
+    shown = [c for c in ("length", "weights") if c in postings.columns]
+    return postings.join(terms, [c for c in ("lang", "term") if c in terms.columns]).select("query_id", "doc_id", "lang", "ordinal", "term", "tf", "locations", "n_terms", "exact", *shown)
+
+
+def match_index(queries: DataFrame, index: Index) -> DataFrame:
+    """The same over an index, with the terms' statistics (df, n_docs, mean_length), which meet the query terms first, as both are few.
+
+    Of stored postings and statistics only the languages and buckets of the queries' terms are read, and postings don't move.
     """
     terms = query_terms(queries)
-    return postings.join(terms, [c for c in ("lang", "term") if c in terms.columns]).select("query_id", "doc_id", "lang", "ordinal", "term", "tf", "locations", "n_terms", "exact")
+    if index.buckets:
+        terms = terms.withColumn("term_bucket", X.term_bucket(F.col("term"), index.buckets))
+    terms = counted(terms)
+    wanted = counted(index.stats.join(terms, [c for c in ("lang", "term_bucket", "term") if c in terms.columns]))
+    shown = [c for c in ("length", "weights") if c in index.postings.columns]
+    found = index.postings.join(wanted, [c for c in ("lang", "term_bucket", "term") if c in wanted.columns])
+    return found.select("query_id", "doc_id", "lang", "ordinal", "term", "tf", "locations", "n_terms", "exact", "df", "n_docs", "mean_length", *shown)
+
 
+def hit_locations(matches: DataFrame) -> DataFrame:
+    """query_id, doc_id, location, weight, balanced_score of every place of a hit: what excerpts are chosen by.
 
-def all_terms(matches: DataFrame) -> DataFrame:
-    """query_id, doc_id where every term of the query is in the document."""
-    return matches.groupBy("query_id", "doc_id").agg(F.count_distinct("ordinal").alias("n"), F.max("n_terms").alias("of")).filter("n = of").select("query_id", "doc_id")
+    The balanced score is ours: the word's weight over the number of the term's places in the document, so that each term of a query counts alike.
+    """
+    weights = "weights" if "weights" in matches.columns else F.transform("locations", lambda _: F.lit(1.0)).alias("weights")
+    rows = matches.select("query_id", "doc_id", "locations", weights).select("query_id", "doc_id", F.size("locations").alias("n"), F.explode(F.arrays_zip("locations", "weights")).alias("x"))
+    return rows.select("query_id", "doc_id", F.col("x.locations").alias("location"), F.col("x.weights").alias("weight"), (F.col("x.weights") / F.col("n")).alias("balanced_score"))
 
 
 def match_phrase(matches: DataFrame) -> DataFrame:
@@ -70,17 +100,23 @@ def match_phrase(matches: DataFrame) -> DataFrame:
     return runs.filter("n = of").groupBy("query_id", "doc_id").agg(F.count("*").alias("n_phrases"))
 
 
-def score(matches: DataFrame, stats: DataFrame, lengths: DataFrame, ranking: Ranking = Ranking()) -> DataFrame:  # noqa: B008
-    """query_id, doc_id, score, of documents with all terms (and the phrase of an exact query)."""
+def score(matches: DataFrame, stats: DataFrame | None = None, lengths: DataFrame | None = None, ranking: Ranking = Ranking()) -> DataFrame:  # noqa: B008
+    """query_id, doc_id, score, of documents with all terms (and the phrase of an exact query), in one pass over the matches.
+
+    stats: term_stats, and lengths: doc_id, length; each is needed only where the matches don't have it already. Only exact queries' locations are gathered, those of one document.
+    """
     k, b = ranking.term_saturation, ranking.page_length
-    rows = matches.join(stats, ["lang", "term"]).join(lengths, "doc_id")
+    rows = matches if "df" in matches.columns else matches.join(stats, ["lang", "term"])
+    if "length" not in matches.columns:
+        rows = rows.join(lengths, "doc_id")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("length") / F.col("mean_length")))
     gain = ranking.term_similarity * idf * (ranking.term_frequency * tf + (1 - ranking.term_frequency))
-    summed = rows.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"), F.count_distinct("ordinal").alias("n"), F.max("n_terms").alias("of"), F.max("exact").alias("exact")).filter("n = of")
-    phrases = match_phrase(matches)
-    loose = summed.filter("not exact")
-    return loose.unionByName(summed.filter("exact").join(phrases, ["query_id", "doc_id"], "left_semi")).select("query_id", "doc_id", "score")
+    starts = F.when(F.col("exact"), F.transform("locations", lambda x: x - F.col("ordinal")))
+    gained = rows.select("query_id", "doc_id", "ordinal", "n_terms", "exact", gain.alias("gain"), starts.alias("starts"))
+    summed = gained.groupBy("query_id", "doc_id").agg(F.sum("gain").alias("score"), F.count_distinct("ordinal").alias("n"), F.max("n_terms").alias("of"), F.max("exact").alias("exact"), F.collect_list("starts").alias("starts"))
+    common = F.aggregate(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.get("starts", F.lit(0)), F.array_intersect)  # where the whole phrase starts
+    return summed.filter((F.col("n") == F.col("of")) & (~F.col("exact") | (F.size(common) > 0))).select("query_id", "doc_id", "score")
 
 
 def selections(queries: DataFrame) -> DataFrame:
@@ -101,27 +137,31 @@ def filter_hits(hits: DataFrame, membership: DataFrame, selection: DataFrame) ->
 def browse(queries: DataFrame, documents: DataFrame, membership: DataFrame) -> DataFrame:
     """query_id, doc_id, score 0 of the queries with a null term: all documents that pass their filters.
 
-    The documents of a selection come through membership; only queries without a selection return all of them.
+    The documents of a selection come through membership; only queries without a selection return all of them: these
+    are put into rows of a thousand, and each of those rows, which are as few, meets every document.
     """
     empty = queries.filter("term is null")
     picked = selections(empty)
     n = picked.groupBy("query_id").agg(F.count_distinct("filter").alias("wanted"))
     met = membership.join(picked, ["filter", "value"]).groupBy("query_id", "doc_id").agg(F.count_distinct("filter").alias("met")).join(n, "query_id").filter("met = wanted")
-    open_ = [r[0] for r in empty.join(n, "query_id", "left_anti").select("query_id").distinct().limit(MOST_OPEN + 1).collect()]
-    if len(open_) > MOST_OPEN:
-        raise ValueError(f"more than {MOST_OPEN} queries ask for all documents")
-    asked = F.array(*map(F.lit, open_)) if open_ else F.array().cast("array<bigint>")
-    everything = documents.select(F.explode(asked).alias("query_id"), "doc_id")
+    open_ = empty.select("query_id").distinct().join(n, "query_id", "left_anti")
+    bundles = max(1, -(-open_.count() // OPEN_AT_ONCE))
+    bundled = open_.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(bundles)).cast("int").alias("bundle")).agg(F.collect_list("query_id").alias("ids"))
+    everything = documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))).alias("bundle")).join(counted(bundled), "bundle").select(F.explode("ids").alias("query_id"), "doc_id")
     return met.select("query_id", "doc_id", F.lit(0.0).alias("score")).unionByName(everything.select("query_id", "doc_id", F.lit(0.0).alias("score")))
 
 
 def facet_counts(hits: DataFrame, membership: DataFrame, vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, filter, value, n: documents among the hits, for every known value, 0 included. vocabulary: filter, value (small)."""
-    counted = hits.select("query_id", "doc_id").distinct().join(membership, "doc_id").groupBy("query_id", "filter", "value").agg(F.count("*").alias("n"))
-    known = vocabulary.agg(F.collect_set(F.struct("filter", "value")).alias("known")).withColumn("one", F.lit(1))  # one row
-    asked = queries.select("query_id").distinct().withColumn("one", F.lit(1)).join(F.broadcast(known), "one")
+    """query_id, filter, value, n: documents among the hits, for every known value, 0 included. vocabulary: filter, value.
+
+    The result has a row for each query and value; values are dealt to the queries in rows of about a thousand.
+    """
+    counts = hits.select("query_id", "doc_id").distinct().join(membership, "doc_id").groupBy("query_id", "filter", "value").agg(F.count("*").alias("n"))
+    bundles = max(1, -(-vocabulary.count() // OPEN_AT_ONCE))
+    known = vocabulary.groupBy(F.pmod(F.xxhash64("filter", "value"), F.lit(bundles)).cast("int").alias("bundle")).agg(F.collect_set(F.struct("filter", "value")).alias("known"))
+    asked = queries.select("query_id").distinct().select("query_id", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))).alias("bundle")).join(counted(known), "bundle")
     frame = asked.select("query_id", F.explode("known").alias("k")).select("query_id", "k.filter", "k.value")
-    return frame.join(counted, ["query_id", "filter", "value"], "left").select("query_id", "filter", "value", F.coalesce("n", F.lit(0)).alias("n"))
+    return frame.join(counts, ["query_id", "filter", "value"], "left").select("query_id", "filter", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def all_facets(membership: DataFrame) -> DataFrame:
@@ -157,11 +197,11 @@ def rank(hits: DataFrame) -> DataFrame:
 
 
 def sort_by_meta(hits: DataFrame, docs: DataFrame, sort: dict[str, str]) -> DataFrame:
-    """hits with rank by the first key of sort, a meta entry of docs; its direction is asc or desc."""
+    """hits with rank by the first key of sort, a meta entry of docs; its direction is asc or desc; another is warned about and taken as asc."""
     key, direction = next(iter(sort.items()))
     if direction not in ("asc", "desc"):
-        raise ValueError(f"sort direction must be asc or desc, not {direction!r}")
-    value = F.col("sort_value").asc_nulls_last() if direction == "asc" else F.col("sort_value").desc_nulls_last()
+        warnings.warn(f"sort direction is neither asc nor desc, taken as asc: {direction!r}", stacklevel=2)
+    value = F.col("sort_value").desc_nulls_last() if direction == "desc" else F.col("sort_value").asc_nulls_last()
     return _numbered(hits.join(docs.select("doc_id", F.col("meta")[key].alias("sort_value")), "doc_id"), [value, "doc_id"])
 
 
@@ -209,20 +249,23 @@ def choose_language(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """
     exact = registry.select(F.lower("lang").alias("x_lang"))
     base = registry.select(F.lower("lang").alias("b_lang"))
-    largest = registry.agg(F.max(F.struct("page_count", F.col("lang").alias("lang")))["lang"].alias("largest"))
+    exact, base = counted(exact), counted(base)
+    largest = registry.agg(F.max(F.struct("page_count", F.col("lang").alias("lang")))["lang"].alias("largest")).withColumn("one", F.lit(1))  # one row
     asked = requests.withColumn("_l", F.lower(F.coalesce("lang", F.lit("")))).withColumn("_b", F.split_part("_l", F.lit("-"), F.lit(1)))
-    found = asked.join(exact, F.col("_l") == F.col("x_lang"), "left").join(base, F.col("_b") == F.col("b_lang"), "left").withColumn("one", F.lit(1)).join(largest.withColumn("one", F.lit(1)), "one")
+    found = asked.join(exact, F.col("_l") == F.col("x_lang"), "left").join(base, F.col("_b") == F.col("b_lang"), "left").withColumn("one", F.lit(1)).join(F.broadcast(largest), "one")
     return found.select(*requests.columns, F.coalesce("x_lang", "b_lang", "largest", F.raise_error(F.lit("the registry has no language"))).alias("chosen"))
 
 
-def search(queries: DataFrame, postings: DataFrame, stats: DataFrame, lengths: DataFrame, *, membership: DataFrame | None = None, documents: DataFrame | None = None, ranking: Ranking = Ranking()) -> dict[str, DataFrame]:  # noqa: B008
-    """hits (filtered, ranked), unfiltered and counts of a batch of queries (query_id, term, perhaps lang and filters)."""
+def search(queries: DataFrame, index: Index, *, ranking: Ranking = Ranking()) -> dict[str, DataFrame]:  # noqa: B008
+    """hits (filtered, ranked), unfiltered and counts of a batch of queries (query_id, term, perhaps lang and filters).
+
+    Hits, a row for each query and document found, are kept as a table, as filters, counts and order all read them.
+    """
     ready = prepare_queries(queries)
-    hits = score(match_terms(drop_empty_queries(ready), postings), stats, lengths, ranking)
-    filtered = hits
-    if membership is not None and "filters" in queries.columns:
-        filtered = filter_hits(hits, membership, selections(queries))
-        if documents is not None:
-            everything = browse(queries, documents, membership)
-            hits, filtered = hits.unionByName(everything), filtered.unionByName(everything)
+    hits = score(match_index(drop_empty_queries(ready), index), ranking=ranking)
+    if "filters" in queries.columns and index.membership is not None and index.documents is not None:
+        hits = hits.unionByName(browse(queries, index.documents, index.membership))
+    hits = filtered = stored(hits)
+    if "filters" in queries.columns and index.membership is not None:
+        filtered = filter_hits(hits, index.membership, selections(queries))
     return {"hits": rank(filtered), "unfiltered": hits, "counts": result_counts(hits, filtered, queries)}

@@ -57,13 +57,14 @@ def locate_printed_page(lookups: DataFrame, sections: DataFrame) -> DataFrame:
     """lookups (lookup_id, book, printed_page) with the sections (book, unit, item, start_page) that hold the page.
 
     A section ends where the next larger start page of its book begins; sections with one start page all hold it.
-    As of each lookup, the last start page is found by a union and a window, then joined on equality.
+    As of each page asked for, once however often it is asked, the last start page is found by a union and a window, then joined on equality.
     """
-    starts = sections.select("book", F.col("start_page").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(lookups.schema["lookup_id"].dataType).alias("lookup_id")).distinct()
-    asked = lookups.select("book", F.col("printed_page").alias("at"), F.lit(1).alias("kind"), "lookup_id")
+    starts = sections.select("book", F.col("start_page").alias("at"), F.lit(0).alias("kind")).distinct()
+    asked = lookups.select("book", F.col("printed_page").alias("at"), F.lit(1).alias("kind")).distinct()
     order = Window.partitionBy("book").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     found = starts.unionByName(asked).withColumn("start_page", F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(order)).filter("kind = 1")
-    return found.select("lookup_id", "book", F.col("at").alias("printed_page"), "start_page").join(sections, ["book", "start_page"]).select("lookup_id", "book", "printed_page", "unit", "item", "start_page")
+    placed = lookups.join(found.select("book", F.col("at").alias("printed_page"), "start_page"), ["book", "printed_page"])
+    return placed.join(sections, ["book", "start_page"]).select("lookup_id", "book", "printed_page", "unit", "item", "start_page")
 
 
 def match_editions(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -113,10 +114,18 @@ def citation_counts(citations: DataFrame, by_page: bool = False) -> DataFrame:
     return citations.groupBy("volume", *(["src_page"] if by_page else [])).agg(F.count("*").alias("n"))
 
 
-def neighbours(manifest: DataFrame) -> DataFrame:
-    """manifest with prev and next page of the collection, null at its ends."""
-    order = Window.partitionBy("collection").orderBy("ordinal")
-    return manifest.withColumn("prev", F.lag("page").over(order)).withColumn("next", F.lead("page").over(order))
+def neighbours(manifest: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """manifest with prev and next page of the collection, null at its ends.
+
+    A collection is ordered in chunks of ordinals, so that a large one isn't one task; chunks' first and last pages meet in a second, small step.
+    """
+    rows = manifest.withColumn("_chunk", F.floor(F.col("ordinal") / chunk))
+    order = Window.partitionBy("collection", "_chunk").orderBy("ordinal")
+    edges = rows.groupBy("collection", "_chunk").agg(F.min(F.struct("ordinal", "page"))["page"].alias("_head"), F.max(F.struct("ordinal", "page"))["page"].alias("_tail"))
+    chunks = Window.partitionBy("collection").orderBy("_chunk")
+    around = edges.select("collection", "_chunk", F.lag("_tail").over(chunks).alias("_before"), F.lead("_head").over(chunks).alias("_after"))
+    near = rows.withColumn("prev", F.lag("page").over(order)).withColumn("next", F.lead("page").over(order)).join(around, ["collection", "_chunk"])
+    return near.select(*manifest.columns, F.coalesce("prev", "_before").alias("prev"), F.coalesce("next", "_after").alias("next"))
 
 
 def audit_navigation(manifest: DataFrame, footers: DataFrame) -> DataFrame:
@@ -126,9 +135,14 @@ def audit_navigation(manifest: DataFrame, footers: DataFrame) -> DataFrame:
     return joined.select(*KEY, "prev", "next", "declared_prev", "declared_next", agrees.alias("agrees"))
 
 
+def _draw(seed: int):
+    """A page's lot in a draw: md5 of seed, collection and ordinal."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), "collection", F.col("ordinal").cast("string")))
+
+
 def random_page(manifest: DataFrame, seed: int) -> DataFrame:
     """One page of each collection, uniform over seeds."""
-    drawn = F.struct(F.xxhash64(F.lit(seed), "collection", "page", "ordinal").alias("h"), "ordinal", "page")
+    drawn = F.struct(_draw(seed).alias("h"), "ordinal", "page")
     return manifest.groupBy("collection").agg(F.min(drawn).alias("d")).select("collection", "d.ordinal", "d.page")
 
 
@@ -140,7 +154,7 @@ def page_at(manifest: DataFrame, u: float) -> DataFrame:
 
 def random_site_page(manifest: DataFrame, seed: int) -> DataFrame:
     """One page of all, uniform over seeds."""
-    return manifest.orderBy(F.xxhash64(F.lit(seed), "collection", "page", "ordinal"), "collection", "ordinal").limit(1).select(*KEY)
+    return manifest.orderBy(_draw(seed), "collection", "ordinal").limit(1).select(*KEY)
 
 
 def union_site(*parts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from quillspark.functions import text as X
 from quillspark.operators import pages as P
 from quillspark.operators import search as S
 from quillspark.plans import sql
-from quillspark.plans.registry import query, table, whole_texts
+from quillspark.plans.registry import query, table
 from quillspark.sources import corpus as C
 
 LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>"""
@@ -78,7 +78,7 @@ SELECT page_id, ordinal, dir, host || href AS rooted, CASE WHEN dir = host || '/
 FROM u WHERE starts_with(href, '/') AND NOT starts_with(href, '//')""")
 def p11_resolve_url(spark, d):
     """Link targets that begin with a slash, as they are, below ../x/./ and joined to a base."""
-    links = P.page_links(table(spark, d, "pages")).join(table(spark, d, "pages").select("page_id", "url"), "page_id")
+    links = P.page_links(table(spark, d, "pages"), keep=["url"])
     kept = links.filter(F.col("href").startswith("/") & ~F.col("href").startswith("//"))
     url, href = F.col("url"), F.col("href")
     return kept.select(
@@ -103,7 +103,10 @@ def p14_query_params(spark, d):
     return table(spark, d, "pages").select("page_id", X.with_param(url, "random", "1").alias("scrolled"), X.query_param(url, "page").alias("first"), F.size(X.query_params(X.with_param(url, "page", "9"), "page")).alias("n"))
 
 
-@query("""SELECT doc_id, '/' || source || '?hl=' || array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], '&hl=') || '#x' AS marked, '/' || source || '#s' || doc_id AS anchored FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z]+')) > 0""")
+_P16 = """SELECT doc_id, '/' || source || '?hl=' || array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], '&hl=') || '#x' AS marked, '/' || source || '#s' || doc_id AS anchored FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z]+')) > 0"""
+
+
+@query(_P16, _P16.replace("[1:2]", ""))
 def p16_highlight_url(spark, d, whole=False):
     """P16 and P17."""
     found = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
@@ -231,6 +234,3 @@ def t05_ordered_keywords(spark, d):
 def p34_map_terms(spark, d):
     queries = P.map_terms(table(spark, d, "documents").select("doc_id", F.upper("lang").alias("term")), F.lower)
     return S.prepare_queries(queries).select("doc_id", F.col("term_norm").alias("term"))
-
-
-whole_texts(p16_highlight_url)

@@ -11,26 +11,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under its name, with SQL that gives the same rows."""
+def query(sql: str | None = None, whole_sql: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under its name, with SQL that gives the same rows.
+
+    With whole_sql it is registered once more, as NAME_whole, to be called with whole=True.
+    """
 
     def enter(f):
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
+        if whole_sql:
+            QUERIES[f"{f.__name__}_whole"], ORACLES[f"{f.__name__}_whole"] = partial(f, whole=True), whole_sql
         return f
 
     return enter
 
 
-def whole_texts(*fs) -> None:
-    """Registers queries whose SQL asks for the first two words of each text once more, as NAME_whole: they take whole texts."""
-    for f in fs:
-        QUERIES[f"{f.__name__}_whole"] = partial(f, whole=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, dealt out over the cores where its files give fewer tasks than that (one small file is one task)."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,7 +9,10 @@ from quillspark.functions import text as X
 from quillspark.operators import index as I
 from quillspark.operators import search as S
 from quillspark.plans import sql
-from quillspark.plans.registry import query, table, whole_texts
+from quillspark.plans.registry import query, table
+from quillspark.sources import corpus as C
+from quillspark.sources.stored import new_path, stored
+from quillspark.streaming import debounce as R
 
 LANGS, SOURCES = ("en", "de"), ("src0", "src1", "src2")
 _SEL = "lang IN ('en', 'de') AND source IN ('src0', 'src1', 'src2')"
@@ -28,9 +31,27 @@ def asked(spark, d, whole: bool = False) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), term.alias("term"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark, d) -> I.Index:
+    """The stored index of the documents; an application builds it once and searches it from then on."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = new_path(spark, "index")
+        built = I.build_index(corpus(spark, d).drop("filters", "meta", "url"))
+        C.write_index(I.Index(built.postings, built.stats), path)
+        _INDEXES[key] = path
+    return C.read_index(spark, _INDEXES[key], membership=False, documents=False)
+
+
+def prepared(spark, d, whole: bool) -> DataFrame:
+    return S.drop_empty_queries(S.prepare_queries(asked(spark, d, whole)))
+
+
 def found(spark, d, ranking: S.Ranking = S.Ranking(), whole: bool = False) -> DataFrame:  # noqa: B008
-    postings = I.build_postings(corpus(spark, d))
-    return S.score(S.match_terms(S.drop_empty_queries(S.prepare_queries(asked(spark, d, whole))), postings), I.term_stats(postings), I.document_lengths(postings), ranking)
+    """The hits, a row for each query and document, kept as a table: what follows reads them more than once."""
+    return stored(S.score(S.match_index(prepared(spark, d, whole), index_of(spark, d)), ranking=ranking))
 
 
 def chosen(queries: DataFrame) -> DataFrame:
@@ -38,7 +59,10 @@ def chosen(queries: DataFrame) -> DataFrame:
     return S.selections(queries.select("query_id", both.alias("filters")))
 
 
-@query(f"WITH {sql.HITS} SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits) WHERE rank <= 5")
+_TOP = f"WITH {sql.HITS} SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits) WHERE rank <= 5"
+
+
+@query(_TOP, sql.whole(_TOP))
 def search_top_pages(spark, d, whole=False):
     """The flagship, first page of five results of every query."""
     hits = found(spark, d, whole=whole).withColumn("score", F.round("score", 9))  # sums in any order rank alike
@@ -60,31 +84,45 @@ def a01_postings(spark, d):
 c AS (SELECT lang, count(*) AS n_docs, avg(n) AS mean_length FROM (SELECT lang, doc_id, sum(tf) AS n FROM p GROUP BY ALL) GROUP BY ALL)
 SELECT lang, term, count(*) AS df, n_docs, round(mean_length, 6) AS mean_length FROM p JOIN c USING (lang) GROUP BY lang, term, n_docs, mean_length""")
 def a02_term_stats(spark, d):
-    return I.term_stats(I.build_postings(corpus(spark, d))).select("lang", "term", "df", "n_docs", F.round("mean_length", 6).alias("mean_length"))
+    docs = corpus(spark, d)
+    return I.term_stats(I.build_postings(docs), I.corpus_stats(docs)).select("lang", "term", "df", "n_docs", F.round("mean_length", 6).alias("mean_length"))
+
+
+_J01 = f"WITH {sql.TOKS}, {sql.ASKED} SELECT query_id, doc_id, count(DISTINCT ordinal) AS terms, count(*) AS tf FROM toks JOIN asked USING (term) GROUP BY ALL"
 
 
-@query(f"WITH {sql.TOKS}, {sql.ASKED} SELECT query_id, doc_id, count(DISTINCT ordinal) AS terms, count(*) AS tf FROM toks JOIN asked USING (term) GROUP BY ALL")
+@query(_J01, sql.whole(_J01))
 def j01_match_terms(spark, d, whole=False):
-    matches = S.match_terms(S.drop_empty_queries(S.prepare_queries(asked(spark, d, whole))), I.build_postings(corpus(spark, d)))
+    matches = S.match_index(prepared(spark, d, whole), index_of(spark, d))
     return matches.groupBy("query_id", "doc_id").agg(F.count_distinct("ordinal").alias("terms"), F.sum("tf").alias("tf"))
 
 
-@query(f"""WITH {sql.TOKS}, q AS (
-  SELECT item_id AS query_id, [x FOR x IN string_split_regex({sql.norm("array_to_string(string_split_regex(text, '" + sql.WS + "+')[1:2], ' ')")}, '{sql.WS}+') IF x <> ''] AS w FROM benchmark)
-SELECT query_id, a.doc_id, count(*) AS n_phrases FROM q JOIN toks a ON a.term = w[1] LEFT JOIN toks b ON b.doc_id = a.doc_id AND b.location = a.location + 1 AND b.term = w[2]
-WHERE len(w) = 1 OR b.term IS NOT NULL GROUP BY ALL""")
+_J02 = f"""WITH {sql.TOKS}, q AS (
+  SELECT item_id AS query_id, [x FOR x IN string_split_regex({sql.norm("text")}, '{sql.WS}+') IF x <> ''] AS w FROM benchmark),
+t AS (SELECT query_id, generate_subscripts(w, 1) - 1 AS ordinal, unnest(w) AS term, len(w) AS n FROM q)
+SELECT query_id, doc_id, count(*) AS n_phrases FROM (
+  SELECT query_id, doc_id, location - ordinal AS start FROM t JOIN toks USING (term) GROUP BY ALL HAVING count(DISTINCT ordinal) = max(n)) GROUP BY ALL"""
+
+
+@query(_J02.replace(sql.norm("text"), sql.norm("array_to_string(string_split_regex(text, '" + sql.WS + "+')[1:2], ' ')")), _J02)
 def j02_match_phrase(spark, d, whole=False):
     quoted = asked(spark, d, whole).withColumn("term", F.concat(F.lit('"'), "term", F.lit('"')))
-    return S.match_phrase(S.match_terms(S.drop_empty_queries(S.prepare_queries(quoted)), I.build_postings(corpus(spark, d))))
+    return S.match_phrase(S.match_index(S.drop_empty_queries(S.prepare_queries(quoted)), index_of(spark, d)))
+
 
+_J03 = f"WITH {sql.HITS} SELECT query_id, doc_id, source, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits) JOIN documents USING (doc_id) WHERE rank <= 5"
 
-@query(f"WITH {sql.HITS} SELECT query_id, doc_id, source, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits) JOIN documents USING (doc_id) WHERE rank <= 5")
+
+@query(_J03, sql.whole(_J03))
 def j03_attach_documents(spark, d, whole=False):
     hits = S.page_of_results(S.rank(found(spark, d, whole=whole).withColumn("score", F.round("score", 9))))
     return S.attach_documents(hits, corpus(spark, d)).select("query_id", "doc_id", "source", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {sql.HITS} SELECT query_id, doc_id, round(score, 6) AS score FROM hits JOIN documents USING (doc_id) WHERE {_SEL}")
+_F01 = f"WITH {sql.HITS} SELECT query_id, doc_id, round(score, 6) AS score FROM hits JOIN documents USING (doc_id) WHERE {_SEL}"
+
+
+@query(_F01, sql.whole(_F01))
 def f01_filter_hits(spark, d, whole=False):
     hits = S.filter_hits(found(spark, d, whole=whole), I.facet_membership(corpus(spark, d)), chosen(asked(spark, d)))
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
@@ -114,19 +152,28 @@ def _facets(spark, d, whole=False):
     return S.facet_counts(found(spark, d, whole=whole), membership, membership.select("filter", "value").distinct(), asked(spark, d))
 
 
-@query(f"{_FACETS} SELECT * FROM facets")
+_A04 = f"{_FACETS} SELECT * FROM facets"
+
+
+@query(_A04, sql.whole(_A04))
 def a04_facet_counts(spark, d, whole=False):
     return _facets(spark, d, whole)
 
 
-@query(f"{_FACETS} SELECT * FROM facets WHERE n > 0 OR (filter = 'lang' AND value IN ('en', 'de')) OR (filter = 'source' AND value IN ('src0', 'src1', 'src2'))")
+_F05 = f"{_FACETS} SELECT * FROM facets WHERE n > 0 OR (filter = 'lang' AND value IN ('en', 'de')) OR (filter = 'source' AND value IN ('src0', 'src1', 'src2'))"
+
+
+@query(_F05, sql.whole(_F05))
 def f05_visible_facets(spark, d, whole=False):
     return S.visible_facets(_facets(spark, d, whole), chosen(asked(spark, d)))
 
 
-@query(f"""{_FACETS}, rows AS (SELECT query_id, filter, value, n, CASE value WHEN 'fr' THEN 1 WHEN 'src7' THEN 2 ELSE 1000 END AS place FROM facets
+_T04 = f"""{_FACETS}, rows AS (SELECT query_id, filter, value, n, CASE value WHEN 'fr' THEN 1 WHEN 'src7' THEN 2 ELSE 1000 END AS place FROM facets
 UNION ALL SELECT query_id, filter, 'All', sum(n), -1 FROM facets GROUP BY query_id, filter)
-SELECT query_id, filter, value, n::BIGINT AS n, row_number() OVER (PARTITION BY query_id, filter ORDER BY place, value) - 1 AS position FROM rows""")
+SELECT query_id, filter, value, n::BIGINT AS n, row_number() OVER (PARTITION BY query_id, filter ORDER BY place, value) - 1 AS position FROM rows"""
+
+
+@query(_T04, sql.whole(_T04))
 def t04_order_facet_values(spark, d, whole=False):
     return S.order_facet_values(_facets(spark, d, whole), ["fr", "src7"])
 
@@ -137,21 +184,30 @@ def a11_merge_facets(spark, d):
     return S.merge_facets(facets, facets.filter("filter = 'lang'"))
 
 
-@query(f"""WITH {sql.HITS} SELECT item_id AS query_id, count(hits.doc_id) AS unfiltered, count(*) FILTER (WHERE {_SEL}) AS filtered
-FROM benchmark LEFT JOIN hits ON query_id = item_id LEFT JOIN documents ON documents.doc_id = hits.doc_id GROUP BY item_id""")
+_A05 = f"""WITH {sql.HITS} SELECT item_id AS query_id, count(hits.doc_id) AS unfiltered, count(*) FILTER (WHERE {_SEL}) AS filtered
+FROM benchmark LEFT JOIN hits ON query_id = item_id LEFT JOIN documents ON documents.doc_id = hits.doc_id GROUP BY item_id"""
+
+
+@query(_A05, sql.whole(_A05))
 def a05_result_counts(spark, d, whole=False):
     hits = found(spark, d, whole=whole)
     return S.result_counts(hits, S.filter_hits(hits, I.facet_membership(corpus(spark, d)), chosen(asked(spark, d))), asked(spark, d))
 
 
-@query(f"WITH {sql.HITS} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY source DESC, doc_id)::INTEGER AS rank FROM hits JOIN documents USING (doc_id)")
+_T02 = f"WITH {sql.HITS} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY source DESC, doc_id)::INTEGER AS rank FROM hits JOIN documents USING (doc_id)"
+
+
+@query(_T02, sql.whole(_T02))
 def t02_sort_by_meta(spark, d, whole=False):
     return S.sort_by_meta(found(spark, d, whole=whole), corpus(spark, d), {"source": "desc"}).select("query_id", "doc_id", "rank")
 
 
-@query(f"""WITH {sql.HITS}, together AS (SELECT query_id, doc_id, round(score, 9) AS score, 0 AS index_ordinal FROM hits
+_U01 = f"""WITH {sql.HITS}, together AS (SELECT query_id, doc_id, round(score, 9) AS score, 0 AS index_ordinal FROM hits
 UNION ALL SELECT query_id, doc_id, round(score, 9) * 0.5, 1 FROM hits)
-SELECT query_id, doc_id, index_ordinal, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_ordinal, doc_id) AS rank FROM together) WHERE rank <= 10""")
+SELECT query_id, doc_id, index_ordinal, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_ordinal, doc_id) AS rank FROM together) WHERE rank <= 10"""
+
+
+@query(_U01, sql.whole(_U01))
 def u01_merge_indexes(spark, d, whole=False):
     hits = found(spark, d, whole=whole).withColumn("score", F.round("score", 9))
     return S.page_of_results(S.merge_indexes([(hits, 1.0), (hits, 0.5)]), 5, 2).select("query_id", "doc_id", "index_ordinal", "rank")
@@ -174,4 +230,22 @@ def j12_choose_language(spark, d):
     return S.choose_language(docs.select("source", lang.alias("lang")).distinct(), registry)
 
 
-whole_texts(search_top_pages, j01_match_terms, j02_match_phrase, j03_attach_documents, f01_filter_hits, a04_facet_counts, f05_visible_facets, t04_order_facet_values, a05_result_counts, t02_sort_by_meta, u01_merge_indexes)
+@query(f"WITH {sql.TOKS}, {sql.ASKED_WHOLE} SELECT lang, term, doc_id, count(*)::INTEGER AS tf, min(location) AS first, max(location) AS last FROM toks JOIN (SELECT DISTINCT term FROM asked) USING (term) GROUP BY ALL")
+def s06_stored_index(spark, d):
+    """The postings of the searches' terms, out of the stored index; only their buckets are read."""
+    index = index_of(spark, d)
+    terms = S.query_terms(prepared(spark, d, True)).select("term").distinct().withColumn("term_bucket", X.term_bucket(F.col("term"), index.buckets))
+    rows = index.postings.join(S.counted(terms), ["term_bucket", "term"])
+    return rows.select("lang", "term", "doc_id", "tf", F.array_min("locations").alias("first"), F.array_max("locations").alias("last"))
+
+
+@query(sql.whole(f"WITH {sql.HITS} SELECT query_id, doc_id, round(score, 6) AS score FROM hits"))
+def r03_search_stream(spark, d):
+    """The searches come as a stream, each micro-batch is searched in the stored index, and its hits are appended to a table."""
+    source, out = new_path(spark, "queries"), new_path(spark, "hits")
+    asked(spark, d, whole=True).select(F.col("query_id").alias("event_id"), "term").repartition(2, "event_id").write.parquet(source)
+    index = index_of(spark, d)
+    search = lambda queries: S.score(S.match_index(S.drop_empty_queries(S.prepare_queries(queries)), index))
+    stream = spark.readStream.schema("event_id long, term string").option("maxFilesPerTrigger", 1).parquet(source)
+    R.search_stream(stream, search, lambda hits, n: hits.write.mode("overwrite").parquet(f"{out}/batch={n}"), new_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.schema("query_id long, doc_id long, score double").parquet(f"{out}/batch=*").select("query_id", "doc_id", F.round("score", 6).alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import text as X
+from quillspark.operators.index import Index, term_stats
 
 REGISTRY = "struct<version:string,languages:map<string,struct<hash:string,wasm:string,page_count:int>>>"
 SITEMAP = T.StructType([T.StructField("loc", T.StringType()), T.StructField("lastmod", T.DateType())])
@@ -14,20 +15,25 @@ SITEMAP = T.StructType([T.StructField("loc", T.StringType()), T.StructField("las
 
 def _whole(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    return files.select("value", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"))
+    return files.select("value", _path().alias("path"))
+
+
+def _path():
+    return X.decoded_path(F.col("_metadata.file_path"))
 
 
 def _collection(path="path"):
-    return F.regexp_extract(path, r"([^/]+)/[^/]*$", 1)
+    """The directory of a file; where it is a partition's, its value."""
+    return F.regexp_extract(path, r"(?:collection=)?([^/]+)/[^/]*$", 1)
 
 
 def _name(path="path"):
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
-def read_html(spark: SparkSession, root: str) -> DataFrame:
-    """collection (the directory), page (the file name), path, html of every .html and .htm file below root."""
-    return _whole(spark, root, "*.htm*").select(_collection().alias("collection"), _name().alias("page"), "path", F.col("value").alias("html"))
+def read_html(spark: SparkSession, root: str, name: str = "*.htm*") -> DataFrame:
+    """collection (the directory), page (the file name), path, html of every .html and .htm file below root, or of files of another name."""
+    return _whole(spark, root, name).select(_collection().alias("collection"), _name().alias("page"), "path", F.col("value").alias("html"))
 
 
 def read_manifests(spark: SparkSession, root: str, name: str = "pages.json") -> DataFrame:
@@ -39,7 +45,7 @@ def read_manifests(spark: SparkSession, root: str, name: str = "pages.json") ->
 def read_sitemaps(spark: SparkSession, root: str, name: str = "sitemap.xml") -> DataFrame:
     """collection, loc, lastmod."""
     urls = spark.read.format("xml").option("rowTag", "url").option("recursiveFileLookup", True).option("pathGlobFilter", name).schema(SITEMAP).load(root)
-    return urls.select(_collection("_metadata.file_path").alias("collection"), "loc", "lastmod")
+    return urls.select(_collection(_path()).alias("collection"), "loc", "lastmod")
 
 
 def read_robots(spark: SparkSession, path: str) -> DataFrame:
@@ -65,14 +71,20 @@ def write_manifests(manifest: DataFrame, path: str) -> None:
     manifest_json(manifest).write.mode("overwrite").partitionBy("collection").text(path)
 
 
-def write_sitemaps(sitemap: DataFrame, path: str) -> None:
-    """One directory of sitemap files a collection, and an index of all collections in path/index."""
-    rows = sitemap.select("collection", "loc", "lastmod")
+def write_sitemaps(sitemap: DataFrame, path: str, base: str) -> None:
+    """One directory of sitemap files a collection in path/sitemaps, and in path/index the index of their addresses below base."""
+    spark, rows = sitemap.sparkSession, sitemap.select("collection", "loc", "lastmod")
     rows.write.mode("overwrite").format("xml").option("rootTag", "urlset").option("rowTag", "url").option("declaration", "").partitionBy("collection").save(f"{path}/sitemaps")
-    index = rows.select("collection").distinct().select(F.concat(F.lit("sitemaps/collection="), "collection").alias("loc"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/sitemaps").select(F.regexp_extract("path", r"/(sitemaps/collection=[^/]*/[^/]*)$", 1).alias("file"))
+    index = files.filter("file <> ''").select(F.concat(F.lit(f"{base.rstrip('/')}/"), "file").alias("loc"))
     index.write.mode("overwrite").format("xml").option("rootTag", "sitemapindex").option("rowTag", "sitemap").option("declaration", "").save(f"{path}/index")
 
 
+def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
+    """loc: the addresses of the sitemaps."""
+    return spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path)
+
+
 def registry_json(documents: DataFrame, version: str = "1") -> DataFrame:
     """One row, value: {"version", "languages": {lang: {"page_count"}}}. documents: doc_id, lang (a small vocabulary)."""
     counts = documents.groupBy(F.coalesce(F.lower("lang"), F.lit("unknown")).alias("lang")).agg(F.countDistinct("doc_id").cast("int").alias("page_count"))
@@ -84,28 +96,37 @@ def write_registry(documents: DataFrame, path: str, version: str = "1") -> None:
     registry_json(documents, version).write.mode("overwrite").text(path)
 
 
-def term_bucket(term, buckets: int):
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def write_index(index: Index, path: str, buckets: int = 16) -> Index:
+    """Stores an index as Parquet and returns it as stored: postings and term statistics by language and a bucket of the term.
 
+    A search reads only its terms' buckets. Rows are dealt by bucket and a salt of the document, so a very frequent term
+    is spread over several files. Statistics are made from the stored postings, not from the texts once more.
+    """
+    spark = index.postings.sparkSession
+    kept = ["lang", "term_bucket"]
+    salted = index.postings.withColumn("term_bucket", X.term_bucket(F.col("term"), buckets)).repartition(*kept, F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    salted.sortWithinPartitions(*kept, "term", "doc_id").write.mode("overwrite").partitionBy(*kept).parquet(f"{path}/postings")
+    lengths = spark.read.parquet(f"{path}/postings").select("lang", "doc_id", "length").distinct().groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    stats = term_stats(spark.read.parquet(f"{path}/postings"), lengths).withColumn("term_bucket", X.term_bucket(F.col("term"), buckets))
+    stats.repartition(*kept).write.mode("overwrite").partitionBy(*kept).parquet(f"{path}/stats")
+    if index.membership is not None:
+        index.membership.write.mode("overwrite").parquet(f"{path}/membership")
+    if index.documents is not None:
+        index.documents.write.mode("overwrite").parquet(f"{path}/documents")
+    return read_index(spark, path, buckets=buckets, membership=index.membership is not None, documents=index.documents is not None)
 
-def write_index(documents: DataFrame, postings: DataFrame, membership: DataFrame, path: str, buckets: int = 64) -> None:
-    """The index as Parquet: postings by language and a bucket of the term, so that a search reads only its terms' files.
 
-    Rows are dealt by bucket and a salt of the document, so a very frequent term is spread over several files.
-    """
-    documents.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/documents")
-    salted = postings.withColumn("term_bucket", term_bucket("term", buckets)).repartition("lang", "term_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
-    salted.sortWithinPartitions("term", "doc_id").write.mode("overwrite").partitionBy("lang", "term_bucket").parquet(f"{path}/postings")
-    membership.write.mode("overwrite").parquet(f"{path}/membership")
+def read_index(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = 16, membership: bool = True, documents: bool = True) -> Index:
+    """The index in path; with terms, only the postings' and statistics' buckets that hold them are read."""
 
+    def part(name: str) -> DataFrame:
+        rows = spark.read.parquet(f"{path}/{name}")
+        if terms is None:
+            return rows
+        wanted = spark.createDataFrame([(t,) for t in terms], "t string").select(X.term_bucket(F.col("t"), buckets)).distinct().collect() if terms else []
+        return rows.filter(F.col("term_bucket").isin([r[0] for r in wanted])).filter(F.col("term").isin(terms))
 
-def read_index(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, postings, membership); with terms, only the postings' buckets that hold them are read."""
-    postings = spark.read.parquet(f"{path}/postings")
-    if terms is not None:
-        wanted = spark.createDataFrame([(t,) for t in terms], "t string").select(term_bucket("t", buckets)).distinct().collect() if terms else []
-        postings = postings.filter(F.col("term_bucket").isin([r[0] for r in wanted])).filter(F.col("term").isin(terms))
-    return spark.read.parquet(f"{path}/documents"), postings.drop("term_bucket"), spark.read.parquet(f"{path}/membership")
+    return Index(part("postings"), part("stats"), spark.read.parquet(f"{path}/membership") if membership else None, spark.read.parquet(f"{path}/documents") if documents else None, buckets)
 
 
 def page_table(pages: DataFrame) -> DataFrame:
@@ -116,8 +137,12 @@ def page_table(pages: DataFrame) -> DataFrame:
 
 def derived_manifest(pages: DataFrame) -> DataFrame:
     """collection, ordinal (rank by page id), page: the manifest that a page table implies."""
-    at = F.row_number().over(Window.partitionBy("collection").orderBy("page")) - 1
-    return page_table(pages).select("collection", at.alias("ordinal"), "page")
+    rows = page_table(pages).select("collection", F.substring("page", 1, 7).alias("part"), "page")  # parts of a thousand ids: no collection is one task
+    sizes = rows.groupBy("collection", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("collection").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(Window.partitionBy("collection", "part").orderBy("page")) - 1
+    ranked = rows.withColumn("at", at).join(sizes.select("collection", "part", before.alias("before")), ["collection", "part"])
+    return ranked.select("collection", (F.col("before") + F.col("at")).cast("int").alias("ordinal"), "page")
 
 
 def derived_sitemap(pages: DataFrame) -> DataFrame:
