@@ -291,7 +291,35 @@ def j04_assign_heading(spark, d):
     return placed.groupBy("query_id", "location", F.col("anchor.ordinal").alias("heading")).agg(F.count("*").alias("n"))
 
 
-@query()
+#: o: a section's heading by number, -1 before the first; the fold is that of w05, over 12 words.
+_X02 = rf"""WITH base AS (SELECT doc_id, lang, '/' || source AS url, string_split_regex(text, '{sql.WS}+') AS w FROM documents),
+lines AS (SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+placed AS (SELECT doc_id, line, regexp_extract(body, '^(\S+)', 1) AS h, coalesce(sum(len([x FOR x IN string_split_regex(body, '{sql.WS}+') IF x <> ''])) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS location FROM lines),
+heads AS (SELECT doc_id, h, location, row_number() OVER d - 1 AS ordinal, lead(location) OVER d AS stop FROM placed WHERE h <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY line)),
+firsts AS (SELECT doc_id, min(location) AS first FROM heads GROUP BY ALL),
+hits AS (SELECT * FROM (SELECT doc_id, generate_subscripts(w, 1) - 1 AS location, unnest(w) AS x FROM base) WHERE lower(x) IN ('the', 'of', 'de', 'der', 'la', 'que')),
+assigned AS (SELECT hits.doc_id, hits.location, h, ordinal, coalesce(heads.location, 0) AS begin, stop FROM hits ASOF LEFT JOIN heads ON heads.doc_id = hits.doc_id AND hits.location >= heads.location),
+sections AS (SELECT doc_id, coalesce(ordinal, -1) AS o, h, ordinal, begin, CASE WHEN ordinal IS NULL THEN first ELSE stop END AS stop, list(location) AS locs, max(location) AS last
+  FROM assigned LEFT JOIN firsts USING (doc_id) GROUP BY ALL),
+sized AS (SELECT sections.*, last - begin + 1 AS n, lang, url, w, coalesce(stop, len(w)) AS endcap, least(coalesce(stop, len(w)) - begin, 12) AS size FROM sections JOIN base USING (doc_id)),
+place AS (SELECT doc_id, o, begin, locs, unnest(range(n)) AS i FROM sized WHERE n > size),
+mass AS (SELECT doc_id, o, i, CASE WHEN list_contains(locs, begin + i) THEN 1 ELSE 0 END AS m FROM place),
+sums AS (SELECT doc_id, o, i, coalesce(sum(m) OVER (PARTITION BY doc_id, o ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING), 0) AS s, sum(CASE WHEN i < 12 THEN m ELSE 0 END) OVER (PARTITION BY doc_id, o) AS first FROM mass),
+best AS (SELECT *, max(greatest(s, first)) OVER (PARTITION BY doc_id, o) AS best FROM sums),
+began AS (SELECT *, CASE WHEN best = first THEN 0 ELSE min(i) FILTER (WHERE s = best) OVER (PARTITION BY doc_id, o) END AS start FROM best),
+run AS (SELECT doc_id, o, i, i - row_number() OVER (PARTITION BY doc_id, o ORDER BY i) AS k FROM began WHERE s = best AND i > start),
+fold AS (SELECT doc_id, o, (any_value(start) + (1 + count(i)) // 2)::BIGINT AS start FROM (SELECT DISTINCT began.doc_id, began.o, began.start, run.i FROM began LEFT JOIN run ON run.doc_id = began.doc_id AND run.o = began.o AND run.k = began.start) GROUP BY ALL),
+begun AS (SELECT sized.*, coalesce(start, 0) + begin AS start FROM sized LEFT JOIN fold USING (doc_id, o)),
+shown AS (SELECT *, greatest(CASE WHEN start + size > endcap THEN endcap - size ELSE start END, begin) AS at_word FROM begun),
+subs AS (SELECT doc_id, ordinal, o, coalesce(h, lang) AS title, url AS page, CASE WHEN regexp_extract(h, '^[^"'']*') <> '' THEN url || '#' || regexp_extract(h, '^[^"'']*') ELSE url END AS url, len(locs)::INTEGER AS n,
+  {sql.trim("array_to_string([CASE WHEN list_contains(locs, i - 1) THEN '<mark>' || w[i] || '</mark>' ELSE w[i] END FOR i IN range(at_word + 1, least(at_word + size, len(w)) + 1)], ' ')")} AS excerpt FROM shown),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS k FROM subs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) AS r FROM numbered WHERE NOT (k = 1 AND url = page)),
+kept AS (SELECT *, bool_or(r <= 3) OVER (PARTITION BY doc_id, url) AS keep FROM ranked)
+SELECT 1::BIGINT AS query_id, doc_id, ordinal::INTEGER AS ordinal, title, url, n, excerpt, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS position FROM kept WHERE keep"""
+
+
+@query(_X02)
 def x02_sub_results(spark, d):
     """The three best sections of every document, each of its lines being a heading; hits are its commonest words."""
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.concat(F.lit("/"), "source").alias("url"), F.col("lang").alias("title"))

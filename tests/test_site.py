@@ -31,6 +31,8 @@ def test_sections_with_one_start_page_are_both_found(spark):
     lookups = spark.createDataFrame([(1, 3, 54), (2, 3, 64), (3, 3, 69), (4, 3, 900), (5, 9, 60)], "lookup_id long, book int, printed_page int")
     found = {(r.lookup_id, r.item) for r in W.locate_printed_page(lookups, sections).collect()}
     assert found == {(2, 1), (3, 2), (3, 3), (4, 4)}
+    twice = W.locate_printed_page(lookups.unionByName(lookups), sections)
+    assert twice.count() == 8
 
 
 def test_contents_and_editions(spark):
@@ -53,6 +55,7 @@ def test_counts(spark):
 def test_neighbours_and_draws(spark):
     near = {r.page: (r.prev, r.next) for r in W.neighbours(man(spark)).collect()}
     assert near == {"x.html": (None, "y z.html"), "y z.html": ("x.html", "w.html"), "w.html": ("y z.html", None), "q.html": (None, None)}
+    assert {r.page: (r.prev, r.next) for r in W.neighbours(man(spark), chunk=2).collect()} == near
     footers = spark.createDataFrame([("a", "x.html", None, "y z.html"), ("a", "w.html", None, None)], "collection string, page string, declared_prev string, declared_next string")
     assert {(r.page, r.agrees) for r in W.audit_navigation(man(spark), footers).collect()} == {("x.html", True), ("w.html", False)}
     wide = spark.range(20).select(F.lit("c").alias("collection"), F.col("id").cast("int").alias("ordinal"), F.col("id").cast("string").alias("page"))

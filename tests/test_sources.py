@@ -28,9 +28,12 @@ def test_written_manifests_and_sitemaps_read_back(spark, tmp_path):
     manifest = spark.createDataFrame([("a", 0, "z.html"), ("a", 1, "b.html"), ("b", 0, "q.html")], "collection string, ordinal int, page string")
     C.write_manifests(manifest, str(tmp_path / "m"))
     read = C.read_manifests(spark, str(tmp_path / "m"), "part-*")
-    assert sorted((r.ordinal, r.page) for r in read.collect()) == [(0, "q.html"), (0, "z.html"), (1, "b.html")]
+    assert sorted((r.collection, r.ordinal, r.page) for r in read.collect()) == [("a", 0, "z.html"), ("a", 1, "b.html"), ("b", 0, "q.html")]
     sitemap = manifest.select("collection", F.concat(F.lit("https://h/"), "page").alias("loc"), F.to_date(F.lit("2025-05-17")).alias("lastmod"))
-    C.write_sitemaps(sitemap, str(tmp_path / "s"))
+    C.write_sitemaps(sitemap, str(tmp_path / "s"), "https://h/x/")
+    listed = {r.loc for r in C.read_sitemap_index(spark, str(tmp_path / "s" / "index")).collect()}
+    assert listed and all((tmp_path / "s" / loc.removeprefix("https://h/x/")).is_file() for loc in listed) and {loc.split("=")[1].split("/")[0] for loc in listed} == {"a", "b"}
+    assert {r.collection for r in C.read_sitemaps(spark, str(tmp_path / "s" / "sitemaps"), "part-*").collect()} == {"a", "b"}
     assert {r.loc for r in C.read_sitemaps(spark, str(tmp_path / "s" / "sitemaps"), "part-*").collect()} == {"https://h/z.html", "https://h/b.html", "https://h/q.html"}
     docs = spark.createDataFrame([(1, "JA"), (2, "ja"), (3, None)], "doc_id long, lang string")
     C.write_registry(docs, str(tmp_path / "r"))
@@ -39,13 +42,39 @@ def test_written_manifests_and_sitemaps_read_back(spark, tmp_path):
 
 def test_index_round_trip_reads_only_wanted_terms(spark, tmp_path):
     docs = spark.createDataFrame([(1, "en", "a b, a"), (2, "en", "b c")], "doc_id long, lang string, content string")
-    postings = I.build_postings(docs)
-    C.write_index(docs, postings, docs.select("doc_id", F.lit("lang").alias("filter"), F.col("lang").alias("value")), str(tmp_path))
-    _, read, membership = C.read_index(spark, str(tmp_path), ["a"])
-    assert [(r.term, r.doc_id, r.tf, r.locations) for r in read.collect()] == [("a", 1, 2, [0, 2])]
-    assert membership.count() == 2
-    assert C.read_index(spark, str(tmp_path))[1].count() == postings.count()
-    assert C.read_index(spark, str(tmp_path), [])[1].count() == 0
+    index = I.build_index(docs)
+    C.write_index(I.Index(index.postings, index.stats, docs.select("doc_id", F.lit("lang").alias("filter"), F.col("lang").alias("value")), docs), str(tmp_path))
+    read = C.read_index(spark, str(tmp_path), ["a"])
+    assert [(r.term, r.doc_id, r.tf, r.locations, r.length) for r in read.postings.collect()] == [("a", 1, 2, [0, 2], 3)]
+    assert [(r.term, r.df, r.n_docs, r.mean_length) for r in read.stats.collect()] == [("a", 1, 2, 2.5)]
+    assert read.membership.count() == 2 and read.documents.count() == 2
+    assert C.read_index(spark, str(tmp_path)).postings.count() == index.postings.count() == 4
+    assert C.read_index(spark, str(tmp_path), []).postings.count() == 0
+
+
+def test_derived_manifest_numbers_pages_within_collections(spark):
+    ids = [5, 1, 2500, 999, 1000, 7]
+    pages = spark.createDataFrame([(i, f"http://{'ab'[i % 2]}/x", "") for i in ids], "page_id long, url string, html string")
+    got = sorted((r.collection, r.ordinal, r.page) for r in C.derived_manifest(pages).collect())
+    assert got == [(c, n, f"{i:010}.html") for c, own in (("a", [1000, 2500]), ("b", [1, 5, 7, 999])) for n, i in enumerate(own)]
+
+
+def test_stray_percent_signs_stay(spark, tmp_path):
+    (tmp_path / "100% a").mkdir()
+    (tmp_path / "100% a" / "x.html").write_text("y")
+    assert [(r.collection, r.page) for r in C.read_html(spark, str(tmp_path)).collect()] == [("100% a", "x.html")]
+
+
+LINKS = """<!-- <a href="gone">g</a> --><a href='b.html'>B</a><A class=x HREF=c.html>C &amp; &#68;</A><a data-href="no">n</a>
+<a title="t" href="d?x=1&amp;y=&#x32;">D <b>d</b></a>"""
+
+
+def test_links_of_any_quoting(spark):
+    pages = spark.createDataFrame([(1, "u", LINKS)], "page_id long, url string, html string")
+    found = [(r.url, r.ordinal, r.href, r.anchor_text) for r in P.page_links(pages, keep=["url"]).collect()]
+    assert found == [("u", 0, "b.html", "B"), ("u", 1, "c.html", "C & D"), ("u", 2, "d?x=1&y=2", "D d")]
+    listed = pages.select("page_id", F.lit("<ul><li><a href='a'>A</a></li><li>none</li><li><a href=b>B&lt;</a></li></ul>").alias("html"))
+    assert [(r.ordinal, r.title, r.href) for r in P.site_index(listed).collect()] == [(0, "A", "a"), (1, "B<", "b")]
 
 
 def test_page_rows(spark):

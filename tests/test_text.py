@@ -25,6 +25,8 @@ def one(spark, f, *values):
         (X.page_lang, ["<html>"], "unknown"),
         (X.body_text, ["<title>t</title><script>a<b</script>x<!-- c -->y<br/>z<p>w &lt;&amp;lt;"], "xy\nz\nw <&lt;"),
         (X.body_text, ["<script>only</script>"], ""),
+        (X.body_text, ["a&#32;&#x41;&#8230;&#65;&#38;lt;&amp;#66;&#0;&#xD800;&#99999;"], "a A…A&lt;&#66;&#0;&#xD800;&#99999;"),
+        (X.body_text, [None], None),
         (X.strip_boilerplate, ["<nav><a>x</a></nav>text<div class='ad'>buy</div><footer>f</footer>"], "text"),
         (X.link_kind, ["https://a/b"], "absolute"),
         (X.link_kind, ["#x"], "fragment"),
@@ -37,6 +39,9 @@ def one(spark, f, *values):
         (X.full_url, ["//cdn/x", "http://h"], "//cdn/x"),
         (X.full_url, ["/a//b", "http://h/"], "http://h/a/b"),
         (X.loc_to_page, ["https://h/Index%20-%20a+b.html"], "Index - a+b.html"),
+        (X.loc_to_page, ["https://h/100%.html"], "100%.html"),
+        (lambda u: X.query_param(u, "page"), ["a?page=100%"], "100%"),
+        (lambda u: X.query_params(u, "a.b"), ["a?axb=1&a.b=2"], ["2"]),
         (X.page_to_loc, ["Index - a+b.html", "https://h/"], "https://h/Index%20-%20a%2Bb.html"),
         (lambda u: X.with_param(u, "r", "1 2"), ["a.html?x=1#f"], "a.html?x=1&r=1+2#f"),
         (lambda u: X.query_param(u, "q"), ["a?q=x%20y&q=z#q=no"], "x y"),
