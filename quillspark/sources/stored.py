@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. Only a local master, whose tasks share one disk, may go without: it gets a temporary one."""
@@ -28,6 +32,8 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark)
     df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -35,3 +41,14 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside are deleted at the end: what is to outlive it has to be written to a path of its own."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            remove(spark, path)
