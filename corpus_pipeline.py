@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import language_id, mixing, packing, simhash, substring_dedup
 from quillspark.llm.common import durable, fresh, table, without
+from quillspark.sources.stored import new_path, remove, scratch
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,7 +87,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+    """All stages over documents. A stage's result is a table; what it kept on the way, and the table before, are deleted."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, name)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
