@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,32 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.sources.stored import stored as durable  # noqa: F401  the operators' name for it
+from quillspark.sources.stored import stored
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of text that a Python task takes out of an Arrow batch at a time (one text may be longer).
-AT_ONCE = 2 << 20
+#: Bytes of text that a Python task takes out of an Arrow batch at a time (one text may be longer), and rows of such a batch.
+AT_ONCE, TEXT_ROWS = 1 << 20, 500
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Actions inside send texts to Python tasks in batches of few rows; the session's own number is back afterwards."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
+def durable(df: DataFrame, *, texts: bool = False) -> DataFrame:
+    """df, kept as a table in the shared folder; with ``texts`` its Python tasks get whole texts, so batches are small."""
+    if not texts:
+        return stored(df)
+    with small_batches(df.sparkSession):
+        return stored(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

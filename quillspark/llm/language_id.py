@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import durable, pieces, sampled, table
+from quillspark.llm.common import durable, pieces, sampled, small_batches, table
 
 BUCKETS, SAMPLE, MOST_GRAMS, LEAST, PSEUDO = 1 << 15, 4000, 150, 0.5, 5.0
 #: ASCII bytes that aren't letters, as spaces; letters in lower case; other bytes as they are.
@@ -64,7 +64,9 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE) -> tuple[list[str], np.nda
             at = np.flatnonzero(t)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": t[at]})
 
-    rows = known.filter(share).select("lang", "text").mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = known.filter(share).select("lang", "text").mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    with small_batches(labelled.sparkSession):
+        rows = counted.toPandas()
     languages = sorted(rows["lang"].unique())
     counts = np.full((BUCKETS, len(languages)), 0.5)
     for k, lang in enumerate(languages):
@@ -108,7 +110,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], *, markup: bo
     told = text_evidence(filled, model, markup=markup)
     if not n:
         return told.select("*", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("accepted")).drop("told", *keys)
-    base = durable(told.withColumn("likeliest", F.when(F.col("told").isNotNull(), F.array_position("told", F.array_max("told")) - 1).cast("int")))
+    base = durable(told.withColumn("likeliest", F.when(F.col("told").isNotNull(), F.array_position("told", F.array_max("told")) - 1).cast("int")), texts=True)
     names, k = F.array(*map(F.lit, languages)), [F.lit(i) for i in range(n)]
     total = [float(x) for x in base.agg(*[F.coalesce(F.sum((F.col("likeliest") == i).cast("double")), F.lit(0.0)) for i in range(n)]).first()]
     out = base

@@ -206,7 +206,7 @@ def learn(hist: pd.DataFrame) -> np.ndarray:
 def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", block_chars: int = BLOCK_CHARS, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), id_crc(doc_id, 10).cast("int").alias("fold"), F.col(text).alias("text"))
-    blocks = durable(rows.mapInArrow(_blocks(block_chars), _BLOCK))
+    blocks = durable(rows.mapInArrow(_blocks(block_chars), _BLOCK), texts=True)
     n_blocks, tokens, taught, deleted = blocks.agg(F.count("*"), F.sum(F.col("n_codes") + F.size("ids")), F.sum("taught"), F.sum(F.when(F.col("deleted"), F.col("taught")))).first()
     n, n_fit = float(taught or 0), float((taught or 0) - (deleted or 0))
     shards = max(1, -(-(tokens or 0) // shard_keys))

@@ -197,7 +197,7 @@ def links(vertices: DataFrame, *, radius: int = RADIUS, shard_rows: int = 32768,
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id, one row per row of docs."""
-    prints = durable(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle))
+    prints = durable(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle), texts=True)
     vertices = durable(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
     found = components(links(vertices, radius=radius))
     placed = vertices.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))

@@ -60,15 +60,10 @@ def chosen_runs(numbers: np.ndarray, owner: np.ndarray, passage_words: int) -> n
 
 def _units(min_words: int, passage_words: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in pieces(batches, "text"):
             joined, begins, ends, owner = split_words(batch.column("text").to_pylist())
             codes, vocabulary = encode(joined, begins, ends)
-            if len(known) > 200_000:
-                known.clear()
-            for w in set(vocabulary).difference(known):
-                known[w] = int.from_bytes(hashlib.md5(w, usedforsecurity=False).digest()[:4], "big")
-            numbers = np.array([known[w] for w in vocabulary], dtype=np.uint64)[codes]
+            numbers = np.frombuffer(b"".join([hashlib.md5(w, usedforsecurity=False).digest()[:4] for w in vocabulary]), dtype=">u4").astype(np.uint64)[codes]
             line = np.searchsorted(np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 10), begins)
             first = np.flatnonzero(np.diff(line, prepend=-1))
             size = np.diff(np.r_[first, len(line)])
@@ -135,7 +130,7 @@ def _cut(text: pd.Series, islands: pd.Series) -> pd.DataFrame:
 def repeated_words(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """doc_id, key (hash of the text), islands: array of (word, n), ascending and apart; only documents that lose something."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    units = durable(own.mapInArrow(_units(min_words, passage_words), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, key long, word int, n int, d1 long, d2 long"))
+    units = durable(own.mapInArrow(_units(min_words, passage_words), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, key long, word int, n int, d1 long, d2 long"), texts=True)
     # digests grow with the corpus: their joins are shuffles at every size, split where a digest is frequent
     often = units.groupBy("d1").agg(F.count("*").alias("times")).filter("times > 1").select("d1")
     held = durable(units.join(often.hint("merge"), "d1", "left_semi"))

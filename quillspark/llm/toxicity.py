@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable, id_crc, pieces, sampled, table
+from quillspark.llm.common import durable, id_crc, pieces, sampled, small_batches, table
 from quillspark.llm.tokens import coded_words, slices
 
 BITS, SAMPLE, SHARD_ROWS, THRESHOLD = 20, 16_000, 4_000, 0.3
@@ -91,7 +91,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, shard_row
         return pd.DataFrame({"at": np.r_[-1, at], "w": np.r_[bias, w[at]]})
 
     learned = rows.groupBy("shard").applyInPandas(learn, "at long, w double")
-    got = learned.groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toPandas()  # at most 2^bits rows
+    with small_batches(docs.sparkSession):
+        got = learned.groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toPandas()  # at most 2^bits rows
     bias, taught = got.loc[got["at"] == -1, ["w", "n"]].sum()  # n: the shards that learned
     taught = max(1, taught)
     bias /= taught
