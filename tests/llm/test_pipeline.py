@@ -54,3 +54,28 @@ def test_every_operator_has_one_query():
 @pytest.mark.parametrize("name", ["language_id", "simhash", "substring_dedup", "mixing", "packing"])
 def test_stage_names(name):
     assert name in dict(corpus_pipeline.STAGES)
+
+
+def test_stages_with_hard_rows(spark):
+    """Nulls in any column, empty and very long texts, ties and repeated rows, through every stage."""
+    rng = random.Random(10)
+    words = "the and that with this from have which were their".split()
+    text = lambda n: " ".join(rng.choice(words) + rng.choice(words) for _ in range(n))
+    long, same = text(120_000), text(60)
+    rows = [(i, text(60), "en", "s0") for i in range(40)]
+    rows += [(50, long, "en", "s1"), (51, same, None, None), (51, same, None, None), (52, same, "en", None), (None, text(40), "en", "s1"), (None, None, None, None), (53, None, "en", "s1"), (54, "", "en", "s0"), (55, "the", "en", "s1"), (56, "the", "en", "s1")]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept, wanted = docs, [
+        lambda ids: ids == [None, *range(40), 50, 51, 51, 52, 55, 56],
+        lambda ids: ids == [None, *range(40), 50, 51, 55],
+        lambda ids: ids == [None, *range(40), 50, 51, 55],
+        lambda ids: set(ids) <= {None, *range(40), 50, 51, 55} and len(ids) > 0,
+        lambda ids: len(ids) > 0,
+    ]
+    for (name, stage), fine in zip(corpus_pipeline.STAGES, wanted):
+        out = stage(spark, kept, "")
+        ids = sorted((r.doc_id for r in out.select("doc_id").collect()), key=lambda i: (i is not None, i or 0))
+        assert fine(ids), (name, ids)
+        if name == "substring_dedup":
+            assert {r.doc_id: r.text for r in out.collect()}[50] == long
+        kept = out.checkpoint() if name != "packing" and spark.sparkContext.getCheckpointDir() else out

@@ -157,6 +157,7 @@ def test_language_equals_plain_fusion(spark):
     texts = [(i, " ".join(rng.choice(words[(lang := rng.choice(list(words)))].split()) for _ in range(rng.randint(2, 12))), lang) for i in range(80)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
     languages, logs = L.fit(docs.select("text", "lang"))
+    texts.append((500, "die und " * 60_000, "de"))
     pages = [{"id": i, "text": t if i % 9 else None, "declared": rng.choice(["en", "de", "fr", ""]), "suffix": lang, "domain": f"d{i % 4}.{lang}", "host": f"h{i % 8}.d{i % 4}.{lang}"} for i, t, lang in texts]
     rows = spark.createDataFrame([tuple(p.values()) for p in pages], "page_id long, text string, declared string, suffix string, domain string, host string")
     got = {r.page_id: r for r in L.identify(rows, (languages, logs)).collect()}
@@ -206,7 +207,7 @@ def plain_model(rows):
 
 def test_lm_equals_plain_interpolation_and_adds_up_to_one(spark):
     rng = random.Random(9)
-    rows = [(i, " ".join(f"v{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randint(0, 25)))) for i in range(300)] + [(None, "v1 v2"), (900, None), (901, "never seen v1 v1")]
+    rows = [(i, " ".join(f"v{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randint(0, 25)))) for i in range(300)] + [(None, "v1 v2"), (900, None), (901, "never seen v1 v1"), (902, "v1 v2 " * 9000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     probability, model, expected = plain_model(rows)
     key = lambda r: (r[0] is not None, r[0] or 0)
