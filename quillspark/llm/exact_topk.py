@@ -134,7 +134,7 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, block_rows: int = 16384,
         number[b] = (len(tops), max(1, round(sizes[b][0] / block_rows)))
         tops += [sizes[b][1]] * number[b][1]
     of = small(spark, [(b, *number[b]) for b in number], "band int, base int, chunks int")
-    placed = durable(banded.join(of, "band").select("vec_id", "v", "length", (F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("chunks"))).cast("int").alias("block")))
+    placed = durable(banded.join(of, "band").select("vec_id", "v", "length", (F.col("base") + F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks"))).cast("int").alias("block")))
     queries = placed.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "length")).alias("q")).select("vec_id", "q.v", "q.length")
     longest = placed.filter("block = 0").select("vec_id", "v").toPandas()  # one block: about block_rows rows
     shared = spark.sparkContext.broadcast((longest["vec_id"].to_numpy(), matrix(longest["v"], width), np.array(tops)))

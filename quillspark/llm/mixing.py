@@ -3,7 +3,7 @@
 Every source's target is a number of words. Blocks of ``block_words`` words, or of a quarter of the smallest
 positive target where that is less (one word at least), are allocated to the
 sources by highest quotients target / (2 seats + 1); a source's quota is then allocated in the same
-way to its shards (hash groups of about ``shard_docs`` documents), giving each an integer number of
+way to its shards (groups of about ``shard_docs`` documents by a hash of id and text), giving each an integer number of
 blocks. Inside a shard the documents lie in a seeded order on one line of words, cut into equal
 blocks; the shard takes every block as often as its quota holds the whole line, and once more the
 first blocks up to the quota. So at most one document of a shard is taken in part.
@@ -84,14 +84,14 @@ def _source_key(column: str):
     return F.when(F.col(column).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(column).cast("string")))
 
 
-def plan(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", block_words: int = 128, shard_docs: int = 2000, max_shards: int = 1024, seed: int = 17, weights: Sequence[float] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", block_words: int = 128, shard_docs: int = 2000, max_shards: int = 16384, seed: int = 17, weights: Sequence[float] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
     """(documents, shards). documents: doc_id, skey, shard, place (the seeded order), size, source_size, target, taken.
     shards: skey, shards, shard, passes (whole takes), edge (documents at a smaller place are taken once more)."""
     spark = docs.sparkSession
     base = durable(
         docs.select(
             F.col(doc_id).alias("doc_id"), _source_key(source).alias("skey"), word_count(F.col(text)).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(doc_id)).alias("place"),
+            F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("place"),
         )
     )
     sums = sorted(((r.skey, r.n, r.words) for r in base.groupBy("skey").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()), key=lambda r: (r[0][0] == "n", r[0]))
@@ -136,7 +136,7 @@ def apply_mix(docs: DataFrame, shards: DataFrame, *, source: str = "source", doc
     info = small(spark, [(r.skey, r.shard, r.passes, r.edge) for r in rows], f"{skey} string, {shard} int, {passes} long, {edge} long")
     counts = small(spark, sorted({(r.skey, r.shards) for r in rows}), f"{skey} string, {n} int")
     worded = docs.filter(F.col(text).rlike(WORD))
-    tagged = worded.withColumn(skey, _source_key(source)).withColumn(place, F.xxhash64(F.lit(seed), F.col(doc_id)))
+    tagged = worded.withColumn(skey, _source_key(source)).withColumn(place, F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
     keyed = tagged.join(counts, skey).withColumn(shard, F.pmod(place, F.col(n)).cast("int"))
     again = F.col(passes) + (F.col(place) < F.col(edge)).cast("int")
     taken = keyed.join(info, [skey, shard])
