@@ -131,12 +131,12 @@ def repeated_words(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     """doc_id, key (hash of the text), islands: array of (word, n), ascending and apart; only documents that lose something."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     units = durable(own.mapInArrow(_units(min_words, passage_words), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, key long, word int, n int, d1 long, d2 long"), texts=True)
-    # digests grow with the corpus: their joins are shuffles at every size, split where a digest is frequent
-    often = units.groupBy("d1").agg(F.count("*").alias("times")).filter("times > 1").select("d1")
+    # digests grow with the corpus: their joins are shuffles at every size; as both sides are tables, a frequent digest's rows are split at run time
+    often = durable(units.groupBy("d1").agg(F.count("*").alias("times")).filter("times > 1").select("d1"))
     held = durable(units.join(often.hint("merge"), "d1", "left_semi"))
-    first = held.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "key", "word")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("d1", "d2", "first").hint("merge")
+    first = durable(held.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "key", "word")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("d1", "d2", "first"))
     other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("key") != F.col("first.key"))
-    gone = held.join(first, ["d1", "d2"]).filter(other | (F.col("word") >= F.col("first.word") + F.col("n")))
+    gone = held.join(first.hint("merge"), ["d1", "d2"]).filter(other | (F.col("word") >= F.col("first.word") + F.col("n")))
     return gone.groupBy("doc_id", "key").agg(F.collect_set(F.struct("word", "n")).alias("ranges")).select("doc_id", "key", _islands("ranges").alias("islands"))
 
 
