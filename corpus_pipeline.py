@@ -39,8 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     own = keyed.filter("doc_id is not null").select("doc_id", "text", F.col(key).alias("row_key"))
     found = durable(simhash.near_duplicates(own, doc_id="row_key")).withColumnRenamed("doc_id", "row_key")
     members = found.groupBy("row_key", "component_id").agg(F.count("*").alias("n"))
-    named = members.join(own.select("row_key", "doc_id").distinct(), "row_key")
-    stays = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("stays"))
+    named = durable(members.join(own.select("row_key", "doc_id").distinct(), "row_key"))
+    stays = durable(named.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("stays")))  # a table, so that a large component's rows are split in the join
     named = durable(named.join(stays, "component_id").withColumn("first", F.col("row_key") == F.col("stays.row_key")))
     kept = without(keyed, named.filter("not first").select(F.col("row_key").alias(key)), key)
     again = durable(named.filter("first and n > 1").select(F.col("row_key").alias(key)))
