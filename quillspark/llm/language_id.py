@@ -115,7 +115,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], *, markup: bo
     total = [float(x) for x in base.agg(*[F.coalesce(F.sum((F.col("likeliest") == i).cast("double")), F.lit(0.0)) for i in range(n)]).first()]
     out = base
     for key in keys:
-        out = out.join(_table(base, key, n), key)
+        out = out.join(durable(_table(base, key, n)), key)  # a table: small ones are broadcast, in joins with large ones a frequent host is split
     own = [(F.coalesce(F.col("likeliest"), F.lit(-1)) == i).cast("double") for i in k]
     other = lambda key, i: F.col(f"{key}_n")[i] - own[i]
     both = lambda key: sum((other(key, i) for i in range(n)), F.lit(0.0))
