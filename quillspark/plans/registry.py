@@ -7,6 +7,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.sources.stored import read_table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,4 +31,4 @@ def query(sql: str | None = None, whole_sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")

@@ -12,6 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 _SCRATCH: list[list[str]] = []
 
 
+#: A table of fewer splits than this, and than the cores, is small: splits beyond the cores have 4 MB each (spark.sql.files.openCostInBytes), so it has 128 MB at most.
+SMALL_SPLITS = 32
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table of Parquet files. A small one is often one row group and so one task, however it is split; the columns taken from it are
+    dealt over the cores, at most 128 MB. Larger ones stay as they lie."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, SMALL_SPLITS) else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. Only a local master, whose tasks share one disk, may go without: it gets a temporary one."""
     sc = spark.sparkContext
