@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.sources.stored import stored
+from quillspark.sources.stored import read_table, stored
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,7 +40,7 @@ def durable(df: DataFrame, *, texts: bool = False) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
