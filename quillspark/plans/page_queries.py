@@ -36,10 +36,11 @@ def p03_page_lang(spark, d):
 
 
 @query(r"""SELECT page_id, nullif(lower(regexp_extract(html, '(?is)<meta\b[^>]*\bcharset\s*=\s*["'']?([A-Za-z0-9_-]+)', 1)), '') AS charset,
-nullif(regexp_extract(html, '(?is)<meta\b[^>]*\bproperty\s*=\s*["'']og:image["''][^>]*\bcontent\s*=\s*["'']([^"'']*)', 1), '') AS og_image FROM pages""")
+nullif(regexp_extract(html, '(?is)<meta\b[^>]*\bproperty\s*=\s*["'']og:image["''][^>]*\bcontent\s*=\s*["'']([^"'']*)', 1), '') AS og_image,
+nullif(regexp_extract(html, '(?is)<meta\b[^>]*\bname\s*=\s*["'']generator["''][^>]*\bcontent\s*=\s*["'']([^"'']*)', 1), '') AS generator FROM pages""")
 def p04_page_meta(spark, d):
     meta = X.page_meta(F.col("html"))
-    return table(spark, d, "pages").select("page_id", meta["charset"].alias("charset"), meta["og_image"].alias("og_image"))
+    return table(spark, d, "pages").select("page_id", meta["charset"].alias("charset"), meta["og_image"].alias("og_image"), meta["generator"].alias("generator"))
 
 
 @query(f"SELECT page_id, md5(t) AS digest, length(t) AS chars FROM (SELECT page_id, {sql.body_text('html')} AS t FROM pages)")
@@ -184,14 +185,14 @@ def p32_facet_selection(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(X.facet_flatten(chosen), " ").alias("flat"), F.size(chosen).alias("keys"))
 
 
-@query("SELECT doc_id, lang AS title, CASE WHEN doc_id % 2 = 0 THEN '/m/' || doc_id ELSE '/' || source END AS link, 'chars=' || n_chars AS extra FROM documents")
+@query("SELECT doc_id, lang AS title, CASE WHEN doc_id % 2 = 0 THEN '/m/' || doc_id ELSE '/' || source END AS link, '/i/' || lang AS image, 'chars=' || n_chars AS extra FROM documents")
 def p35_result_card(spark, d):
     """P34 (a caller's rewriting of results) and P35."""
     docs = table(spark, d, "documents")
-    meta = F.map_filter(F.create_map(F.lit("title"), F.col("lang"), F.lit("url"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/m/"), F.col("doc_id").cast("string"))), F.lit("image_alt"), F.lit("x"), F.lit("chars"), F.col("n_chars").cast("string")), lambda k, v: v.isNotNull())
+    meta = F.map_filter(F.create_map(F.lit("title"), F.col("lang"), F.lit("url"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/m/"), F.col("doc_id").cast("string"))), F.lit("image"), F.concat(F.lit("/i/"), "lang"), F.lit("image_alt"), F.lit("x"), F.lit("chars"), F.col("n_chars").cast("string")), lambda k, v: v.isNotNull())
     cards = P.result_card(docs.select("doc_id", F.concat(F.lit("/"), "source").alias("url"), meta.alias("meta")))
     shown = F.array_join(F.transform(F.map_entries("extra"), lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
-    return P.map_results(cards, lambda df: df.select("doc_id", "title", "link", shown.alias("extra")))
+    return P.map_results(cards, lambda df: df.select("doc_id", "title", "link", "image", shown.alias("extra")))
 
 
 _H = r"(?is)<(h[1-6])\b[^>]*>(.*?)</h[1-6]\s*>"
@@ -211,10 +212,11 @@ def f04_heading_anchors(spark, d):
     return anchors.select("page_id", F.size(X.heading_anchors(F.col("a"))).cast("long").alias("n")).filter("n > 0")
 
 
-@query(r"""SELECT page_id, generate_subscripts(i, 1)::INTEGER - 1 AS ordinal, regexp_extract(unnest(i), '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 1) AS href FROM (
-SELECT page_id, [x FOR x IN regexp_extract_all(html, '(?is)<li\b[^>]*>(.*?)</li>', 1) IF regexp_matches(x, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>')] AS i FROM pages)""")
+@query(f"""SELECT page_id, ordinal, {sql.trim(sql.strip_tags(f"regexp_extract(item, '{LINK}', 2)"))} AS title, regexp_extract(item, '{LINK}', 1) AS href FROM (
+SELECT page_id, generate_subscripts(i, 1)::INTEGER - 1 AS ordinal, unnest(i) AS item FROM (
+SELECT page_id, [x FOR x IN regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1) IF regexp_matches(x, '{LINK}')] AS i FROM pages))""")
 def p27_site_index(spark, d):
-    return P.site_index(table(spark, d, "pages")).drop("title")
+    return P.site_index(table(spark, d, "pages"))
 
 
 @query(f"SELECT page_id, page FROM (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'index.html' WHEN page_id % 10 = 1 THEN 'googleab12.html' ELSE {sql.PAGE} END AS page FROM pages) WHERE page_id % 10 > 1")

@@ -348,10 +348,14 @@ def x05_match_counts(spark, d):
     return E.match_counts(table(spark, d, "documents"), KEYWORDS)
 
 
-@query(f"SELECT doc_id, CASE WHEN {sql.trim('substr(text, 4, 5)')} = '' THEN text ELSE substr(text, 1, 3) || '<mark>' || substr(text, 4, 5) || '</mark>' || substr(text, 9) END AS t FROM documents")
+def _marked(x: str) -> str:
+    return f"CASE WHEN {sql.trim(x)} = '' THEN {x} ELSE '<mark>' || {x} || '</mark>' END"
+
+
+@query(f"SELECT doc_id, substr(text, 1, 3) || {_marked('substr(text, 4, 5)')} || substr(text, 9, 4) || {_marked('substr(text, 13, 4)')} || substr(text, 17) AS t FROM documents")
 def x06_highlight_ranges(spark, d):
-    one = F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("length")))
-    return table(spark, d, "documents").select("doc_id", E.highlight_ranges(F.col("text"), one).alias("t"))
+    two = F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("length")), F.struct(F.lit(12).alias("start"), F.lit(4).alias("length")))
+    return table(spark, d, "documents").select("doc_id", E.highlight_ranges(F.col("text"), two).alias("t"))
 
 
 @query(f"WITH {MAN} SELECT collection, page, 'manifest' AS part FROM man UNION ALL SELECT collection, page, 'sitemap' FROM man")
