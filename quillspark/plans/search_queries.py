@@ -31,18 +31,22 @@ def asked(spark, d, whole: bool = False) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), term.alias("term"))
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+#: Documents a term bucket of the index, and the most buckets; the layout changes no result.
+BUCKET_DOCS, MOST_BUCKETS = 50_000, 4096
+_INDEXES: dict[tuple[str, str], tuple[str, int]] = {}
 
 
 def index_of(spark, d) -> I.Index:
     """The stored index of the documents; an application builds it once and searches it from then on."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _INDEXES:
-        path = new_path(spark, "index")
-        built = I.build_index(corpus(spark, d).drop("filters", "meta", "url"))
-        C.write_index(I.Index(built.postings, built.stats), path)
-        _INDEXES[key] = path
-    return C.read_index(spark, _INDEXES[key], membership=False, documents=False)
+        docs, path = corpus(spark, d).select("doc_id", "lang", "content"), new_path(spark, "index")
+        buckets = max(2, min(MOST_BUCKETS, docs.count() // BUCKET_DOCS))
+        built = I.build_index(docs)
+        C.write_index(I.Index(built.postings, built.stats), path, buckets)
+        _INDEXES[key] = path, buckets
+    path, buckets = _INDEXES[key]
+    return C.read_index(spark, path, buckets=buckets, membership=False, documents=False)
 
 
 def prepared(spark, d, whole: bool) -> DataFrame:
