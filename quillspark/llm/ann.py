@@ -109,14 +109,12 @@ def search_shard(q_ids, q, c_ids, c, top: float, k: int, factor: float, leaf: in
     slack = 1e-9 * (q_length * top + 1)
     best, looked = Best(len(q), k, float), 0
 
-    def look(own: np.ndarray, members: np.ndarray) -> None:
-        nonlocal looked
-        looked += len(own) * len(members)
+    def look(own: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         score = q[own] @ c[members].T
         score[q_ids[own, None] == c_ids[None, members]] = -np.inf
         kth = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(own), -np.inf)
         i, j = np.nonzero((score >= (np.maximum(kth, best.least[own]) - slack[own])[:, None]) & np.isfinite(score))
-        best.add(own[i], dots(q[own[i]], c[members[j]]), c_ids[members[j]])
+        return own[i], dots(q[own[i]], c[members[j]]), c_ids[members[j]]
 
     for band in bands(length):
         m = length[band[0]]
@@ -131,8 +129,10 @@ def search_shard(q_ids, q, c_ids, c, top: float, k: int, factor: float, leaf: in
         while low < len(tree.leaves):
             reach = np.sqrt(np.maximum(2 * m * m - 2 * stretch * (best.least[own] - slack[own]), 0))  # infinite until k are found
             due = (seat >= low) & (seat < high) & (factor * bound <= (reach + 1e-7 * m)[:, None])
-            for n in np.flatnonzero(due.any(axis=0)):
-                look(own[due[:, n]], band[tree.leaves[n]])
+            found = [look(own[due[:, n]], band[tree.leaves[n]]) for n in np.flatnonzero(due.any(axis=0))]
+            looked += int(due.sum(axis=0) @ np.array([len(x) for x in tree.leaves]))
+            if found:
+                best.add(*(np.concatenate(x) for x in zip(*found)))
             low, high = high, high + max(first, (high - low) * 3 // 2)
     if tally is not None:
         tally["pairs"], tally["compared"] = tally.get("pairs", 0) + len(q) * len(c), tally.get("compared", 0) + looked
