@@ -89,3 +89,29 @@ def test_page_rows(spark):
     assert toc == [(0, "A", None, 3), (1, "B", "x.html", 12), (0, "C", None, None)]
     cited = P.citations(spark.createDataFrame([(1, "x（五二―三〇四）y（一二―二五八、一九六二・一〇・三）(19-22、88.5.4)（注）")], "k long, t string"), "k", "t").collect()
     assert [(r.volume, r.src_page, str(r.date)) for r in cited] == [(52, 304, "None"), (12, 258, "1962-10-03"), (19, 22, "1988-05-04")]
+
+
+def test_stored_tables_and_scratch(spark):
+    from quillspark.sources.stored import new_path, scratch, shared_folder, stored
+
+    df = spark.createDataFrame([(1, "a", [1.5]), (2, None, None)], "n long, `a b` string, v array<double>")
+    kept = new_path(spark)
+    with scratch(spark):
+        inside = stored(df)
+        assert inside.schema == df.schema and sorted(inside.collect()) == sorted(df.collect())
+        file = inside.inputFiles()[0]
+        inside.write.parquet(kept)
+    assert shared_folder(spark).removeprefix("file:") in file
+    gone = spark.sparkContext._jvm.java.io.File(file.removeprefix("file://"))
+    assert not gone.exists() and spark.read.parquet(kept).count() == 2
+    assert stored(df.filter("false")).count() == 0
+
+
+def test_small_tables_are_dealt_out(spark, tmp_path):
+    from quillspark.sources.stored import read_table
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "small"))
+    spark.range(100).repartition(6).write.parquet(str(tmp_path / "parts"))
+    assert read_table(spark, str(tmp_path / "small")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in read_table(spark, str(tmp_path / "small")).collect()) == list(range(100))
+    assert read_table(spark, str(tmp_path / "parts")).count() == 100
