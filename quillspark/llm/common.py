@@ -52,6 +52,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, at_once: int = AT_ONCE)
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # a worker lives on between stages: what it doesn't hold goes back
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

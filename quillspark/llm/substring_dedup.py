@@ -40,6 +40,8 @@ from quillspark.llm.common import WORD, durable, fresh, pieces, table
 from quillspark.llm.tokens import encode, split_words
 
 MIN_WORDS, PASSAGE_WORDS, RUN_WORDS = 16, 50, 38
+#: Bytes of text that a task cuts into units at a time (one text may be longer).
+SLICE = 1 << 18
 #: Bytes of removed spans that are broadcast at most.
 MOST_BYTES = 32 << 20
 _RANGES = T.ArrayType(T.StructType([T.StructField("word", T.IntegerType()), T.StructField("n", T.IntegerType())]))
@@ -60,7 +62,7 @@ def chosen_runs(numbers: np.ndarray, owner: np.ndarray, passage_words: int) -> n
 
 def _units(min_words: int, passage_words: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", at_once=SLICE):
             joined, begins, ends, owner = split_words(batch.column("text").to_pylist())
             codes, vocabulary = encode(joined, begins, ends)
             numbers = np.frombuffer(b"".join([hashlib.md5(w, usedforsecurity=False).digest()[:4] for w in vocabulary]), dtype=">u4").astype(np.uint64)[codes]
