@@ -8,6 +8,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,22 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, at_once: int = AT_ONCE)
     pa.default_memory_pool().release_unused()  # a worker lives on between stages: what it doesn't hold goes back
 
 
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, byte plane by byte plane, compressed."""
+    planes = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def expand(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    """The arrays of squeeze, of n elements each."""
+    planes, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8), [], 0
+    for kind in map(np.dtype, kinds):
+        size = n * kind.itemsize
+        out.append(np.ascontiguousarray(planes[at : at + size].reshape(kind.itemsize, n).T).view(kind).reshape(n))
+        at += size
+    return out
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as keep it apart from df's columns."""
     taken, out = {c.lower() for c in df.columns}, []

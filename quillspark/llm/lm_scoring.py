@@ -26,33 +26,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable, id_crc, pieces, table
+from quillspark.llm.common import durable, expand, id_crc, pieces, squeeze, table
 from quillspark.llm.tokens import coded_words
 
 BLOCK_CHARS, SHARD_KEYS, BUCKETS, STEP, ROUNDS = 5 << 20, 1_000_000, 24, 4, 200
 END_HASH, START_HASH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, byte plane by byte plane, compressed."""
-    planes = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def _expand(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
-    planes, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8), [], 0
-    for kind in map(np.dtype, kinds):
-        size = n * kind.itemsize
-        out.append(np.ascontiguousarray(planes[at : at + size].reshape(kind.itemsize, n).T).view(kind).reshape(n))
-        at += size
-    return out
-
-
 def _blocks(block_chars: int):
     """Rows (doc_id, fold, text) to blocks; one row a block."""
 
@@ -70,7 +54,7 @@ def _blocks(block_chars: int):
             number += 2
             taught = sum(int(c) + 1 for c, f in zip(counts, folds) if f != 0)
             gaps = np.diff(hashes[order], prepend=np.uint64(0))
-            return [(context.partitionId() << 32) + number + (folds[0] == 1), list(ids), list(folds), counts.tolist(), len(order), _squeeze(gaps), len(codes), _squeeze(place[codes]), taught, folds[0] == 1]
+            return [(context.partitionId() << 32) + number + (folds[0] == 1), list(ids), list(folds), counts.tolist(), len(order), squeeze(gaps), len(codes), squeeze(place[codes]), taught, folds[0] == 1]
 
         def batch(row):
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES)], names=_NAMES)
@@ -101,8 +85,8 @@ class Block:
     """A block's token stream: contexts and tokens as codes, with its distinct words and bigrams."""
 
     def __init__(self, row):
-        gaps = _expand(row.words, row.n_words, "<u8")[0]
-        codes = _expand(row.codes, row.n_codes, "<u4")[0].astype(np.int64)
+        gaps = expand(row.words, row.n_words, "<u8")[0]
+        codes = expand(row.codes, row.n_codes, "<u4")[0].astype(np.int64)
         v, counts = int(row.n_words), np.asarray(row.counts, dtype=np.int64)
         self.ids, self.folds, self.lengths = row.ids, np.asarray(row.folds), counts + 1
         hashes = np.r_[np.cumsum(gaps), END_HASH, START_HASH].astype(np.uint64)  # code v: end, v + 1: start
@@ -128,7 +112,7 @@ class Block:
     def answers(self, kind: int, replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Corpus counts of each word or bigram: (training without the deleted, deleted)."""
         own = replies[replies["kind"] == kind].sort_values("shard")
-        fit, dev = (np.concatenate(x) if len(own) else np.zeros(0, np.uint64) for x in (zip(*(_expand(r.payload, r.n, "<u8", "<u8") for r in own.itertuples())) if len(own) else ((), ())))
+        fit, dev = (np.concatenate(x) if len(own) else np.zeros(0, np.uint64) for x in (zip(*(expand(r.payload, r.n, "<u8", "<u8") for r in own.itertuples())) if len(own) else ((), ())))
         out = []
         for x in (fit, dev):
             y = np.zeros(len(x), dtype=np.int64)
@@ -155,7 +139,7 @@ def _requests(shards: int):
                     cuts = np.r_[0, np.flatnonzero(np.diff(shard)) + 1, len(shard)]
                     for a, b in zip(cuts[:-1], cuts[1:]):
                         if b > a:
-                            out.append((kind, int(shard[a]), row.block, int(b - a), _squeeze(np.diff(keys[a:b], prepend=np.uint64(0)), fit[a:b], dev[a:b])))
+                            out.append((kind, int(shard[a]), row.block, int(b - a), squeeze(np.diff(keys[a:b], prepend=np.uint64(0)), fit[a:b], dev[a:b])))
                 yield pd.DataFrame(out, columns=["kind", "shard", "block", "n", "payload"])
 
     return ask
@@ -163,7 +147,7 @@ def _requests(shards: int):
 
 def _total(pdf: pd.DataFrame) -> pd.DataFrame:
     """Adds up one hash range's counts, and answers each block in its own order."""
-    parts = [_expand(r.payload, r.n, "<u8", "<u8", "<u8") for r in pdf.itertuples()]
+    parts = [expand(r.payload, r.n, "<u8", "<u8", "<u8") for r in pdf.itertuples()]
     keys = np.concatenate([np.cumsum(p[0]) for p in parts])
     distinct, at = np.unique(keys, return_inverse=True)
     fit, dev = np.zeros((2, len(distinct)), dtype=np.uint64)  # counts of a corpus: a common word passes 2^32
@@ -171,7 +155,7 @@ def _total(pdf: pd.DataFrame) -> pd.DataFrame:
         np.add.at(total, at, np.concatenate([p[k] for p in parts]))
     cuts = np.cumsum([0, *pdf["n"]])
     known = [int(((fit + dev) > 0).sum()), int((fit > 0).sum())]
-    payloads = [_squeeze(fit[at[a:b]], dev[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+    payloads = [squeeze(fit[at[a:b]], dev[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
     first = np.arange(len(pdf)) == 0  # a shard's totals are told once
     return pd.DataFrame({"kind": pdf["kind"], "shard": pdf["shard"], "block": pdf["block"], "n": pdf["n"], "payload": payloads, "known": np.where(first, known[0], 0), "known_fit": np.where(first, known[1], 0)})
 
