@@ -13,12 +13,13 @@ from quillspark.llm.packing import op5_packing
 from quillspark.llm.simhash import op2_simhash
 from quillspark.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from quillspark.llm.toxicity import op1_toxicity
+from quillspark.llm.vector_codes import OP13_SQL, op13_vector_codes
 
 
 def queries() -> dict:
-    found = [op1_toxicity, op2_simhash, op3_exact_topk, op4_substring_dedup, op5_packing, op6_ann, op7_language_id, op8_chat_format, op9_lm_scoring, op10_mixing, op11_collocations]
+    found = [op1_toxicity, op2_simhash, op3_exact_topk, op4_substring_dedup, op5_packing, op6_ann, op7_language_id, op8_chat_format, op9_lm_scoring, op10_mixing, op11_collocations, op13_vector_codes]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_chat_format": OP8_SQL, "op11_collocations": OP11_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_chat_format": OP8_SQL, "op11_collocations": OP11_SQL, "op13_vector_codes": OP13_SQL}
