@@ -13,11 +13,12 @@ from quillspark.llm.packing import op5_packing
 from quillspark.llm.simhash import op2_simhash
 from quillspark.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from quillspark.llm.toxicity import op1_toxicity
+from quillspark.llm.url_filter import op12_url_filter
 from quillspark.llm.vector_codes import OP13_SQL, op13_vector_codes
 
 
 def queries() -> dict:
-    found = [op1_toxicity, op2_simhash, op3_exact_topk, op4_substring_dedup, op5_packing, op6_ann, op7_language_id, op8_chat_format, op9_lm_scoring, op10_mixing, op11_collocations, op13_vector_codes]
+    found = [op1_toxicity, op2_simhash, op3_exact_topk, op4_substring_dedup, op5_packing, op6_ann, op7_language_id, op8_chat_format, op9_lm_scoring, op10_mixing, op11_collocations, op12_url_filter, op13_vector_codes]
     return {f.__name__: f for f in found}
 
 
