@@ -201,7 +201,7 @@ def compress(rows: DataFrame, *, parts: int = PARTS, entries: int = ENTRIES, rou
                         total[k] += sums
                         number[k] += counts
             part, entry = np.nonzero(number)
-            yield pd.DataFrame({"part": part, "entry": entry, "n": number[part, entry], "sums": list(total[part, entry])})
+            yield pd.DataFrame({"part": part, "entry": entry, "n": number[part, entry], "sums": pd.Series(list(total[part, entry]), dtype=object)})
 
         told = blocks.select("n_rows", "points", "n_nodes", "nodes").mapInPandas(gather, "part int, entry int, n long, sums array<long>")
         summed = told.select("part", "entry", "n", F.posexplode("sums").alias("at", "s")).groupBy("part", "entry", "at").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
