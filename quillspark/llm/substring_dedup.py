@@ -150,7 +150,7 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_wo
     joined = docs.withColumn(key, F.xxhash64(text)).join(F.broadcast(lost) if size <= MOST_BYTES else lost, (F.col(doc_id) == F.col(d)) & (F.col(key) == F.col(k)), "left")
     done = joined.withColumn(cut, _cut(F.when(F.col(own).isNotNull(), F.col(text)), F.col(own)))
     shown = [F.when(F.col(own).isNotNull(), F.col(cut)["text"]).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*shown, *([F.col(cut)["spans"].alias(spans)] if spans else []))
+    return durable(done.select(*shown, *([F.col(cut)["spans"].alias(spans)] if spans else [])), texts=True)  # whoever reads it needn't send texts to Python tasks in small batches
 
 
 def op4_substring_dedup(spark, sf_dir) -> DataFrame:
