@@ -13,7 +13,7 @@ corpus counts of everything in it. A frequent word is asked for once a block, ho
 
 Only block and shard totals and a histogram of bounded size, on which the weights are learned, reach the driver.
 
-Defined cases: null text is empty and is the end token alone; a null id counts as the empty text for the fold;
+Ids are whole numbers. Defined cases: null text is empty and is the end token alone; a null id counts as the empty text for the fold;
 rows that repeat an id are scored, and teach, each for itself; a very long text is a block of its own; without training documents every token has
 probability 1 / (V + 1) with V = 0; an empty table gives an empty result; other columns are ignored.
 """
@@ -34,6 +34,8 @@ from quillspark.llm.common import durable, expand, id_crc, pieces, squeeze, tabl
 from quillspark.llm.tokens import coded_words
 
 BLOCK_CHARS, SHARD_KEYS, BUCKETS, STEP, ROUNDS = 5 << 20, 1_000_000, 24, 4, 200
+#: Tasks of an exchange at most; beyond it a task takes several hash ranges or blocks, one after the other.
+MOST_TASKS = 20_000
 END_HASH, START_HASH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -194,11 +196,11 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", block_
     n_blocks, tokens, taught, deleted = blocks.agg(F.count("*"), F.sum(F.col("n_codes") + F.size("ids")), F.sum("taught"), F.sum(F.when(F.col("deleted"), F.col("taught")))).first()
     n, n_fit = float(taught or 0), float((taught or 0) - (deleted or 0))
     shards = max(1, -(-(tokens or 0) // shard_keys))
-    asked = blocks.mapInPandas(_requests(shards), "kind int, shard int, block long, n long, payload binary").repartition(2 * shards, "kind", "shard")  # a hash range or two a task
+    asked = blocks.mapInPandas(_requests(shards), "kind int, shard int, block long, n long, payload binary").repartition(min(2 * shards, MOST_TASKS), "kind", "shard")  # a hash range or two a task
     replies = durable(asked.groupBy("kind", "shard").applyInPandas(_total, "kind int, shard int, block long, n long, payload binary, known long, known_fit long"))
     v, v_fit = (float(x or 0) for x in replies.filter("kind = 0").agg(F.sum("known"), F.sum("known_fit")).first())
 
-    together = lambda df: df.repartition(max(1, n_blocks // 2), "block").groupBy("block")  # noqa: E731  a block or few a task
+    together = lambda df: df.repartition(min(max(1, n_blocks // 2), MOST_TASKS), "block").groupBy("block")  # noqa: E731  a block or few a task
 
     def gather(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         out = []

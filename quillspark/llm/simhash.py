@@ -12,7 +12,7 @@ exactly. A shard hands on a spanning forest of its links, never all pairs. Shard
 visitors are cut into a grid of hash groups, so a task's rows are bounded whatever the data. 4. The
 components of all forests together are found by contraction.
 
-Defined cases: null or blank text has fingerprint zero, linked like any other; a text of fewer than
+Ids are whole numbers. Defined cases: null or blank text has fingerprint zero, linked like any other; a text of fewer than
 four words is one shingle; very long texts are hashed whole, some thousand shingles at a time; repeated rows come out once each, with the same component; rows with a null
 doc_id make no links, but get the component of their fingerprint where another row has it; an empty
 table gives an empty result; other columns of the input are ignored.
