@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import durable, table
-from quillspark.llm.vectors import Best, grid, matrix, ranked, valid_vectors
+from quillspark.llm.vectors import Best, distinct, grid, matrix, ranked, valid_vectors
 
 FACTOR = 6.0
 BAND = 1.1
@@ -103,8 +103,7 @@ def search_shard(q_ids, q, c_ids, c, top: float, k: int, factor: float, leaf: in
 
     tally, if given, is told the number of pairs, and of those that were compared.
     """
-    _, at = np.unique(np.column_stack([c_ids.astype(float), c]), axis=0, return_index=True)
-    c_ids, c = c_ids[at], c[at]
+    c_ids, c = distinct(c_ids, c)
     length, q_length = np.sqrt((c**2).sum(axis=1)), np.sqrt((q**2).sum(axis=1))
     slack = 1e-9 * (q_length * top + 1)
     best, looked = Best(len(q), k, float), 0

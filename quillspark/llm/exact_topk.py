@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import durable, small, table
-from quillspark.llm.vectors import Best, grid, matrix, ranked, valid_vectors
+from quillspark.llm.vectors import Best, distinct, grid, matrix, ranked, valid_vectors
 
 #: Shares of the coordinates after which the bound is tried again.
 HEADS = (0.25, 0.5, 0.75, 0.875)
@@ -57,8 +57,7 @@ def search_block(q_ids, q, c_ids, c, k: int, rotation: np.ndarray, least: np.nda
 
     tally, if given, is told the number of pairs, and of those that were scored in full.
     """
-    _, first = np.unique(np.column_stack([c_ids.astype(float), c]), axis=0, return_index=True)
-    c_ids, c = c_ids[first], c[first]
+    c_ids, c = distinct(c_ids, c)
     length = np.sqrt((c**2).sum(axis=1))
     order = np.lexsort((c_ids, -length))
     c_ids, c, length = c_ids[order], c[order], length[order]

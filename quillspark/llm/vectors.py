@@ -23,6 +23,16 @@ def matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def distinct(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without repeats of id and row; ids are compared as 64-bit integers."""
+    again = pd.Series(ids).duplicated(keep=False).to_numpy()
+    if not again.any():
+        return ids, rows
+    keep = ~again
+    keep[again] = ~pd.DataFrame(rows[again]).assign(id=ids[again]).duplicated().to_numpy()
+    return ids[keep], rows[keep]
+
+
 def grid(queries: DataFrame, rows: DataFrame, *, block: str, n_queries: int, per_group: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with the keys (block, turn): every block of rows meets every hash group of at most about per_group queries.
 

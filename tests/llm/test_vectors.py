@@ -146,3 +146,11 @@ def test_recall_where_lengths_differ(lengths):
     best = np.argsort(-score, axis=1)[:, :20]
     own = found.groupby("query_id")["vec_id"].agg(set)
     assert np.mean([len(own[i] & set(best[i])) / 20 for i in range(100)]) >= 0.9
+
+
+def test_ids_beyond_doubles(spark):
+    big = 1 << 60
+    df = spark.createDataFrame([(0, [1.0, 0.0], 0), *[(big + i, [1.0, 0.5], 0) for i in range(3)], (big + 1, [1.0, 0.5], 0), (big + 1, [0.5, 0.5], 0)], SCHEMA)
+    want = [(1, big), (2, big + 1), (3, big + 2), (4, big + 1)]
+    assert [(r["rank"], r.vec_id) for r in E.top_k(E.integer_vectors(df), F.col("vec_id") == 0).orderBy("rank").collect()] == want
+    assert [(r["rank"], r.vec_id) for r in A.nearest(valid_vectors(df), F.col("vec_id") == 0).orderBy("rank").collect()] == want
