@@ -249,6 +249,38 @@ def index_words(content: Column) -> Column:
     return F.when(F.contains(content, F.lit(ZWSP)), spaced).otherwise(plain)
 
 
+#: Letters of scripts that are written without spaces between words, and of Korean.
+CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\x{30FC}"
+
+
+def segmented(content: Column) -> Column:
+    """content with U+200B between its units: every CJK letter, and every other run between white space and those.
+
+    The result is text whose words are given, as the rest of the library reads it: a unit's place is its location. U+200B that
+    was there is dropped, as it is put by a segmenter that queries don't know.
+    """
+    space, content = WS[1:-1], clean_content(content)
+    for before, after in ((f"[{CJK}]", f"[^{space}]"), (f"[^{space}{CJK}{ZWSP}]", f"[{CJK}]"), (f"[{space}]+", f"[^{space}]")):  # groups, as a lookbehind misses letters beyond 16 bits
+        content = F.regexp_replace(content, f"({before})(?={after})", f"$1{ZWSP}")
+    return content
+
+
+def unit_grams(content: Column) -> Column:
+    """Array of struct(unit, gram) by location: the normalised unit, and with the next one where both are letters of one CJK run (else null)."""
+    raw = F.split(segmented(content), ZWSP)
+    one, begins = rf"^[{CJK}]$", rf"^[{CJK}]"
+    following = F.concat(F.slice(raw, 2, F.greatest(F.size(raw) - 1, F.lit(0))), F.array(F.lit("")))
+    return F.transform(F.arrays_zip(raw.alias("u"), following.alias("v")), lambda x: F.struct(normalize_term(x["u"]).alias("unit"), F.when(x["u"].rlike(one) & x["v"].rlike(begins), F.concat(F.lower(x["u"]), F.lower(F.substring(x["v"], 1, 1)))).alias("gram")))
+
+
+def gram_terms(term: Column) -> Column:
+    """Array of struct(offset, term) that together say a normalised term: the pairs of its CJK runs (a letter alone where the run is one), and its other units."""
+    grams = unit_grams(term)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(grams, lambda g: g["gram"]))
+    rows = F.transform(grams, lambda g, i: F.struct(i.alias("offset"), F.when(g["gram"].isNotNull(), g["gram"]).when(F.get(before, i).isNull(), g["unit"]).alias("term")))
+    return F.filter(rows, lambda r: F.coalesce(r["term"], F.lit("")) != "")
+
+
 def is_exact(term: Column) -> Column:
     """Whether the term as typed is quoted."""
     return term.rlike(rf'(?s)^{WS}*".+"{WS}*$')

@@ -12,24 +12,30 @@ from quillspark.functions import text as X
 
 @dataclass(frozen=True)
 class Index:
-    """What a search reads. buckets: the number of term buckets that stored postings and statistics are kept by; None where they aren't stored."""
+    """What a search reads. cjk: whether its terms are letters and pairs of CJK runs, which queries are then cut into as well. buckets: the number of term buckets that stored postings and statistics are kept by; None where they aren't stored."""
 
     postings: DataFrame
     stats: DataFrame
     membership: DataFrame | None = None
     documents: DataFrame | None = None
     buckets: int | None = None
+    cjk: bool = False
 
 
 def language() -> Column:
     return F.coalesce(F.lower("lang"), F.lit("unknown"))
 
 
-def index_terms(documents: DataFrame, content: str = "content") -> DataFrame:
+def index_terms(documents: DataFrame, content: str = "content", cjk: bool = False) -> DataFrame:
     """lang, doc_id, length, location, term: every word under the same normalisation as search terms; words of punctuation alone keep their place, but have no row.
 
-    length: the document's words that have a row. With a column ``weights`` of documents (array of doubles by location) also weight, 1.0 where it ends.
+    With cjk words are units (each CJK letter is one), and each letter of a CJK run has a second row for it and the next letter, at the
+    same location: text without spaces is found by any part of it.
+
+    length: the document's words that have a row of their own. With a column ``weights`` of documents (array of doubles by location) also weight, 1.0 where it ends.
     """
+    if cjk:
+        return _cjk_terms(documents, content)
     ready = documents.select(language().alias("lang"), "doc_id", X.index_words(F.col(content)).alias("words"), *(["weights"] if "weights" in documents.columns else []))
     length = F.size(F.filter("words", lambda w: w != "")).alias("length")  # in the row, so that no window or join is needed for it
     weight = [F.coalesce(F.get("weights", F.col("location")), F.lit(1.0)).alias("weight")] if "weights" in ready.columns else []
@@ -37,12 +43,22 @@ def index_terms(documents: DataFrame, content: str = "content") -> DataFrame:
     return rows.filter("term <> ''").select("lang", "doc_id", "length", "location", "term", *weight)
 
 
-def build_postings(documents: DataFrame, content: str = "content") -> DataFrame:
+def _cjk_terms(documents: DataFrame, content: str) -> DataFrame:
+    weighted = ["weights"] if "weights" in documents.columns else []
+    ready = documents.select(language().alias("lang"), "doc_id", X.unit_grams(F.col(content)).alias("units"), *weighted)
+    length = F.size(F.filter("units", lambda u: u["unit"] != "")).alias("length")
+    weight = [F.coalesce(F.get("weights", F.col("location")), F.lit(1.0)).alias("weight")] if weighted else []
+    rows = ready.select("*", length).select("lang", "doc_id", "length", *weighted, F.posexplode("units").alias("location", "u"))
+    terms = rows.select("lang", "doc_id", "length", "location", F.explode(F.array("u.unit", "u.gram")).alias("term"), *weight)
+    return terms.filter("term <> ''")
+
+
+def build_postings(documents: DataFrame, content: str = "content", cjk: bool = False) -> DataFrame:
     """lang, term, doc_id, length (the document's), tf, locations (ascending); with weights also weights, in the order of locations.
 
     A group is one document's, so frequent terms don't make large groups.
     """
-    rows = index_terms(documents, content)
+    rows = index_terms(documents, content, cjk)
     grouped = rows.groupBy("lang", "term", "doc_id", "length")
     if "weight" not in rows.columns:
         return grouped.agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("location")).alias("locations"))
@@ -54,9 +70,10 @@ def document_lengths(postings: DataFrame) -> DataFrame:
     return postings.select("doc_id", "length").distinct()
 
 
-def corpus_stats(documents: DataFrame, content: str = "content") -> DataFrame:
+def corpus_stats(documents: DataFrame, content: str = "content", cjk: bool = False) -> DataFrame:
     """lang, n_docs, mean_length over the documents that have a word; one row a language."""
-    length = F.size(F.filter(X.index_words(F.col(content)), lambda w: w != ""))
+    units = F.transform(X.unit_grams(F.col(content)), lambda u: u["unit"]) if cjk else X.index_words(F.col(content))
+    length = F.size(F.filter(units, lambda w: w != ""))
     return documents.select(language().alias("lang"), length.alias("length")).filter("length > 0").groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
 
 
@@ -84,7 +101,7 @@ def with_merge_filter(membership: DataFrame, documents: DataFrame, filters: dict
     return membership.unionByName(documents.select("doc_id", added.alias("x")).select("doc_id", "x.filter", "x.value")).distinct()
 
 
-def build_index(documents: DataFrame, content: str = "content") -> Index:
+def build_index(documents: DataFrame, content: str = "content", cjk: bool = False) -> Index:
     """The index of documents (doc_id, lang, content, perhaps filters), as a plan; sources.corpus stores it."""
-    postings = build_postings(documents, content)
-    return Index(postings, term_stats(postings, corpus_stats(documents, content)), facet_membership(documents) if "filters" in documents.columns else None, documents)
+    postings = build_postings(documents, content, cjk)
+    return Index(postings, term_stats(postings, corpus_stats(documents, content, cjk)), facet_membership(documents) if "filters" in documents.columns else None, documents, cjk=cjk)

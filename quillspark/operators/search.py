@@ -39,11 +39,20 @@ class Ranking:
     term_similarity: float = 1.0
 
 
-def prepare_queries(queries: DataFrame, term: str = "term") -> DataFrame:
-    """queries with term_norm, exact and terms (the distinct words in order; with repeats where exact)."""
+def prepare_queries(queries: DataFrame, term: str = "term", cjk: bool = False) -> DataFrame:
+    """queries with term_norm, exact and terms (the distinct words in order; with repeats where exact).
+
+    With cjk, for an index built so, also placed: (part, offset, term). A word's pairs of CJK letters, and its other units, have to stand
+    in the document one after the other; each word is a part of its own, an exact query is one part.
+    """
     split = F.filter(F.split("term_norm", rf"{X.WS}+"), lambda w: w != "")
     rows = queries.withColumn("exact", F.coalesce(X.is_exact(F.col(term)), F.lit(False))).withColumn("term_norm", X.normalize_term(F.col(term)))
-    return rows.withColumn("terms", F.when(F.col("exact"), split).otherwise(F.array_distinct(split)))
+    rows = rows.withColumn("terms", F.when(F.col("exact"), split).otherwise(F.array_distinct(split)))
+    if not cjk:
+        return rows
+    parts = F.when(F.col("exact"), F.array("term_norm")).otherwise(F.col("terms"))
+    placed = lambda t, i: F.transform(X.gram_terms(t), lambda g: F.struct(i.alias("part"), g["offset"].alias("offset"), g["term"].alias("term")))
+    return rows.withColumn("placed", F.flatten(F.transform(parts, placed)))
 
 
 def drop_empty_queries(queries: DataFrame) -> DataFrame:
@@ -52,7 +61,10 @@ def drop_empty_queries(queries: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, n_terms, exact, ordinal, term (and lang, where queries have it)."""
+    """query_id, n_terms, exact, ordinal, term (and lang, where queries have it; part and offset, where they are placed)."""
+    if "placed" in queries.columns:
+        names = ["query_id", *(["lang"] if "lang" in queries.columns else []), "exact", F.size("placed").alias("n_terms")]
+        return queries.filter("term_norm <> ''").select(*names, F.posexplode("placed").alias("ordinal", "p")).select("*", "p.part", "p.offset", "p.term").drop("p")
     names = ["query_id", *(["lang"] if "lang" in queries.columns else []), "exact", F.size("terms").alias("n_terms")]
     return queries.filter("term_norm <> ''").select(*names, F.posexplode("terms").alias("ordinal", "term"))
 
@@ -64,7 +76,7 @@ def match_terms(queries: DataFrame, postings: DataFrame) -> DataFrame:
     small, which is counted, else skewed terms are split at run time.
     """
     terms = counted(query_terms(queries))
-    shown = [c for c in ("length", "weights") if c in postings.columns]
+    shown = [c for c in ("length", "weights") if c in postings.columns] + [c for c in ("part", "offset") if c in terms.columns]
     return postings.join(terms, [c for c in ("lang", "term") if c in terms.columns]).select("query_id", "doc_id", "lang", "ordinal", "term", "tf", "locations", "n_terms", "exact", *shown)
 
 
@@ -78,7 +90,7 @@ def match_index(queries: DataFrame, index: Index) -> DataFrame:
         terms = terms.withColumn("term_bucket", X.term_bucket(F.col("term"), index.buckets))
     terms = counted(terms)
     wanted = counted(index.stats.join(terms, [c for c in ("lang", "term_bucket", "term") if c in terms.columns]))
-    shown = [c for c in ("length", "weights") if c in index.postings.columns]
+    shown = [c for c in ("length", "weights") if c in index.postings.columns] + [c for c in ("part", "offset") if c in terms.columns]
     found = index.postings.join(wanted, [c for c in ("lang", "term_bucket", "term") if c in wanted.columns])
     return found.select("query_id", "doc_id", "lang", "ordinal", "term", "tf", "locations", "n_terms", "exact", "df", "n_docs", "mean_length", *shown)
 
@@ -95,8 +107,9 @@ def hit_locations(matches: DataFrame) -> DataFrame:
 
 def match_phrase(matches: DataFrame) -> DataFrame:
     """query_id, doc_id, n_phrases: documents that have an exact query's terms at consecutive locations."""
-    placed = matches.filter("exact").select("query_id", "doc_id", "ordinal", "n_terms", F.explode("locations").alias("location"))
-    runs = placed.groupBy("query_id", "doc_id", (F.col("location") - F.col("ordinal")).alias("start")).agg(F.count_distinct("ordinal").alias("n"), F.max("n_terms").alias("of"))
+    at = F.col("offset" if "offset" in matches.columns else "ordinal")
+    placed = matches.filter("exact").select("query_id", "doc_id", "ordinal", at.alias("at"), "n_terms", F.explode("locations").alias("location"))
+    runs = placed.groupBy("query_id", "doc_id", (F.col("location") - F.col("at")).alias("start")).agg(F.size(F.collect_set("ordinal")).alias("n"), F.max("n_terms").alias("of"))
     return runs.filter("n = of").groupBy("query_id", "doc_id").agg(F.count("*").alias("n_phrases"))
 
 
@@ -112,11 +125,15 @@ def score(matches: DataFrame, stats: DataFrame | None = None, lengths: DataFrame
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("length") / F.col("mean_length")))
     gain = ranking.term_similarity * idf * (ranking.term_frequency * tf + (1 - ranking.term_frequency))
-    starts = F.when(F.col("exact"), F.transform("locations", lambda x: x - F.col("ordinal")))
-    gained = rows.select("query_id", "doc_id", "ordinal", "n_terms", "exact", gain.alias("gain"), starts.alias("starts"))
-    summed = gained.groupBy("query_id", "doc_id").agg(F.sum("gain").alias("score"), F.count_distinct("ordinal").alias("n"), F.max("n_terms").alias("of"), F.max("exact").alias("exact"), F.collect_list("starts").alias("starts"))
-    common = F.aggregate(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.get("starts", F.lit(0)), F.array_intersect)  # where the whole phrase starts
-    return summed.filter((F.col("n") == F.col("of")) & (~F.col("exact") | (F.size(common) > 0))).select("query_id", "doc_id", "score")
+    placed = "part" in rows.columns
+    starts = F.transform("locations", lambda x: x - F.col("offset")) if placed else F.when(F.col("exact"), F.transform("locations", lambda x: x - F.col("ordinal")))
+    at = F.when(starts.isNotNull(), F.struct((F.col("part") if placed else F.lit(0)).alias("part"), starts.alias("starts")))
+    gained = rows.select("query_id", "doc_id", "ordinal", "n_terms", gain.alias("gain"), at.alias("at"))
+    summed = gained.groupBy("query_id", "doc_id").agg(F.sum("gain").alias("score"), F.size(F.collect_set("ordinal")).alias("n"), F.max("n_terms").alias("of"), F.collect_list("at").alias("held"))  # one shuffle; what is gathered is one document's
+    own = lambda part: F.transform(F.filter("held", lambda h: h["part"] == part), lambda h: h["starts"])
+    common = lambda s: F.aggregate(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.get(s, F.lit(0)), F.array_intersect)  # noqa: E731  where the whole part starts
+    stands = F.forall(F.array_distinct(F.transform("held", lambda h: h["part"])), lambda part: F.size(common(own(part))) > 0)
+    return summed.filter((F.col("n") == F.col("of")) & stands).select("query_id", "doc_id", "score")
 
 
 def selections(queries: DataFrame) -> DataFrame:
@@ -261,7 +278,7 @@ def search(queries: DataFrame, index: Index, *, ranking: Ranking = Ranking()) ->
 
     Hits, a row for each query and document found, are kept as a table, as filters, counts and order all read them.
     """
-    ready = prepare_queries(queries)
+    ready = prepare_queries(queries, cjk=index.cjk)
     hits = score(match_index(drop_empty_queries(ready), index), ranking=ranking)
     if "filters" in queries.columns and index.membership is not None and index.documents is not None:
         hits = hits.unionByName(browse(queries, index.documents, index.membership))

@@ -114,6 +114,27 @@ def j02_match_phrase(spark, d, whole=False):
     return S.match_phrase(S.match_index(S.drop_empty_queries(S.prepare_queries(quoted)), index_of(spark, d)))
 
 
+_LETTER = "chr((19968 + ('0x' || md5(w)[1:4])::INTEGER % 20000)::INTEGER)"
+_UNSPACED = f"array_to_string([array_to_string([{_LETTER} FOR w IN regexp_extract_all(line, '[^ ]+')], '') FOR line IN string_split(text, chr(10))], chr(10))"
+
+
+def unspaced(text):
+    """A text of a Han letter for each word and none of its spaces, so that its lines are runs without a boundary inside."""
+    letter = lambda w: F.decode(F.unhex(F.hex(F.lit(19968) + F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % 20000)), "UTF-16BE")
+    line = lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit("[^ ]+"), F.lit(0)), letter), "")
+    return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_UNSPACED} AS text FROM documents), q AS (SELECT item_id AS query_id, [x FOR x IN string_split({_UNSPACED}, chr(10)) IF x <> ''] AS runs FROM benchmark)
+SELECT query_id, doc_id FROM q JOIN d ON len(runs) > 0 AND contains(d.text, runs[1]) AND len([x FOR x IN runs IF NOT contains(d.text, x)]) = 0""")
+def j02_match_unspaced(spark, d):
+    """P28, A1, J1 and J2 over text without spaces: whole benchmark texts are found where all their lines stand in a document, letter by letter."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit("zh").alias("lang"), unspaced(F.col("text")).alias("content"))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), unspaced(F.col("text")).alias("term"))
+    built = I.build_index(docs, cjk=True)
+    return S.score(S.match_index(S.drop_empty_queries(S.prepare_queries(queries, cjk=True)), built)).select("query_id", "doc_id")
+
+
 _J03 = f"WITH {sql.HITS} SELECT query_id, doc_id, source, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits) JOIN documents USING (doc_id) WHERE rank <= 5"
 
 

@@ -113,10 +113,10 @@ def write_index(index: Index, path: str, buckets: int = 16) -> Index:
         index.membership.write.mode("overwrite").parquet(f"{path}/membership")
     if index.documents is not None:
         index.documents.write.mode("overwrite").parquet(f"{path}/documents")
-    return read_index(spark, path, buckets=buckets, membership=index.membership is not None, documents=index.documents is not None)
+    return read_index(spark, path, buckets=buckets, membership=index.membership is not None, documents=index.documents is not None, cjk=index.cjk)
 
 
-def read_index(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = 16, membership: bool = True, documents: bool = True) -> Index:
+def read_index(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = 16, membership: bool = True, documents: bool = True, cjk: bool = False) -> Index:
     """The index in path; with terms, only the postings' and statistics' buckets that hold them are read."""
 
     def part(name: str) -> DataFrame:
@@ -126,7 +126,7 @@ def read_index(spark: SparkSession, path: str, terms: list[str] | None = None, b
         wanted = spark.createDataFrame([(t,) for t in terms], "t string").select(X.term_bucket(F.col("t"), buckets)).distinct().collect() if terms else []
         return rows.filter(F.col("term_bucket").isin([r[0] for r in wanted])).filter(F.col("term").isin(terms))
 
-    return Index(part("postings"), part("stats"), spark.read.parquet(f"{path}/membership") if membership else None, spark.read.parquet(f"{path}/documents") if documents else None, buckets)
+    return Index(part("postings"), part("stats"), spark.read.parquet(f"{path}/membership") if membership else None, spark.read.parquet(f"{path}/documents") if documents else None, buckets, cjk)
 
 
 def page_table(pages: DataFrame) -> DataFrame:
