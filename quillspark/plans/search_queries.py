@@ -274,3 +274,20 @@ def r03_search_stream(spark, d):
     stream = spark.readStream.schema("event_id long, term string").option("maxFilesPerTrigger", 1).parquet(source)
     R.search_stream(stream, search, lambda hits, n: hits.write.mode("overwrite").parquet(f"{out}/batch={n}"), new_path(spark, "checkpoint")).awaitTermination()
     return spark.read.schema("query_id long, doc_id long, score double").parquet(f"{out}/batch=*").select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(sql.whole(f"WITH {sql.HITS} SELECT 2 * query_id + 1 AS query_id, doc_id, round(score, 6) AS score FROM hits"))
+def r03_debounced_search(spark, d):
+    """R1 and R3 as one stream of several micro-batches: every benchmark text is typed in two steps, 0.2 s apart; what stays is searched in the stored index."""
+    source, out, texts = new_path(spark, "typed"), new_path(spark, "hits"), table(spark, d, "benchmark")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("item_id"))
+    row = lambda step, term: F.struct((2 * F.col("item_id") + step).alias("event_id"), F.col("item_id").alias("user_id"), (at + F.make_dt_interval(secs=F.lit(0.2 * step))).alias("ts"), term.alias("term"))
+    typed = texts.select(F.explode(F.array(row(0, F.split_part("text", F.lit(" "), F.lit(1))), row(1, F.col("text")))).alias("e")).select("e.*")
+    closing = typed.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.make_dt_interval(F.lit(1))).alias("ts"), F.lit("").alias("term"))
+    for step in range(2):
+        typed.filter(F.pmod("event_id", F.lit(2)) == step).coalesce(1).write.parquet(f"{source}/part={step}")
+    closing.coalesce(1).write.parquet(f"{source}/part=2")
+    stream = spark.readStream.schema(typed.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(source)
+    write = lambda hits, n: hits.select("query_id", "doc_id", "score").write.mode("overwrite").parquet(f"{out}/batch={n}")
+    R.debounced_search_stream(stream, lambda: index_of(spark, d), write, new_path(spark, "checkpoint"), lateness="2 hours").awaitTermination()
+    return spark.read.schema("query_id long, doc_id long, score double").parquet(f"{out}/batch=*").filter("query_id >= 0").select("query_id", "doc_id", F.round("score", 6).alias("score"))

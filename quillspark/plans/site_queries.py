@@ -385,12 +385,14 @@ def r02_latest_wins(spark, d):
     return R.latest_wins(requests).select("user_id", "request_id")
 
 
-def _as_stream(spark, rows, closing):
-    """rows as a stream, and after them closing rows, late enough to move the watermark past all."""
+def _as_stream(spark, rows, closing, parts: int = 1):
+    """rows as a stream of micro-batches, one for each part (dealt by a hash, so out of order), and after them closing rows, late enough to move the watermark past all."""
     path = new_path(spark, "stream")
-    rows.write.parquet(f"{path}/part=1")
-    closing.write.parquet(f"{path}/part=2")
-    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(path)
+    for part in range(parts):
+        rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)) == part).coalesce(1).write.parquet(f"{path}/part={part}")
+    closing.coalesce(1).write.parquet(f"{path}/part={parts}")
+    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True)
+    return (stream.option("maxFilesPerTrigger", 1) if parts > 1 else stream).parquet(path)
 
 
 def _run(spark, stream):
@@ -414,9 +416,9 @@ def r01_debounce_stream(spark, d):
 @query("""SELECT user_id, event_id AS request_id FROM (SELECT *, ts + to_seconds((event_id % 100) * 60) AS done, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
 WHERE nxt IS NULL OR nxt > done""")
 def r02_latest_wins_stream(spark, d):
-    """R2 over a stream of the requests; a request of no user, two days after the last, lets the others' last go."""
+    """R2 over a stream of the requests, out of order in three micro-batches; a request of no user, behind the lateness, lets the others' last go."""
     events = table(spark, d, "events").select("user_id", F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("issued_at"))
     requests = events.withColumn("completed_at", F.col("issued_at") + F.make_dt_interval(mins=(F.col("request_id") % 100).cast("int")))
-    late = F.max("issued_at") + F.make_dt_interval(F.lit(2))
+    late = F.max("issued_at") + F.make_dt_interval(F.lit(50))
     closing = requests.agg(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("request_id"), late.alias("issued_at"), late.alias("completed_at"))
-    return _run(spark, R.latest_wins_stream(_as_stream(spark, requests, closing))).filter("user_id >= 0").select("user_id", "request_id")
+    return _run(spark, R.latest_wins_stream(_as_stream(spark, requests, closing, parts=3), lateness="40 days")).filter("user_id >= 0").select("user_id", "request_id")

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillspark.operators.index import Index
+from quillspark.operators.search import search
+from quillspark.sources.stored import stored
+
 GAP_MS = 300
 
 
@@ -31,40 +35,87 @@ def debounce_stream(events: DataFrame, gap_ms: int = GAP_MS, lateness: str = "10
 
 
 def latest_wins(requests: DataFrame) -> DataFrame:
-    """Batch: requests (user_id, request_id, issued_at, completed_at) that finished before the user issued a newer one."""
+    """Batch: requests (user_id, request_id, issued_at, completed_at) that finished before the user issued a newer one.
+
+    Newer is later in the order of issued_at and request_id. A request that was never completed (null) is never kept, but supersedes.
+    """
     order = Window.partitionBy("user_id").orderBy("issued_at", "request_id")
     newer = F.lead("issued_at").over(order)
-    return requests.withColumn("_keep", newer.isNull() | (newer > F.col("completed_at"))).filter("_keep").drop("_keep")
+    return requests.withColumn("_keep", F.col("completed_at").isNotNull() & (newer.isNull() | (newer > F.col("completed_at")))).filter("_keep").drop("_keep")
+
+
+_NEVER = 1 << 62  # microseconds
+
+
+def decide(held: list[list], passed: int) -> tuple[list[list], list[list]]:
+    """(requests that are kept for certain, requests still needed). held: [issued, request, completed, decided], in microseconds; passed: the watermark.
+
+    A request is superseded as soon as a newer one that was issued by its completion is known, and kept once the watermark has passed its completion
+    without one. It is needed until it is decided, and until the watermark has passed its issue, as an older request that comes
+    later may be superseded by it.
+    """
+    held = sorted(held)
+    kept, least = [], _NEVER  # least: the earliest issue of a newer request
+    for r in reversed(held):
+        if not r[3] and (least <= r[2] or r[2] <= passed):
+            r[3] = True
+            if least > r[2]:
+                kept.append(r)
+        least = r[0]
+    return kept[::-1], [r for r in held if not r[3] or r[0] > passed]
 
 
 def latest_wins_stream(requests: DataFrame, lateness: str = "10 seconds") -> DataFrame:
-    """The same over a stream: the state of a user is the newest request; it is let go once the watermark has passed its completion."""
+    """The same over a stream, whatever the order and the micro-batches in which rows come, as long as they come before the watermark; later ones are dropped.
+
+    A user's state is the requests not decided yet, and those an older request could still be superseded by; a timer in event time
+    wakes it when the watermark passes the next of them. A request that is never completed is let go with the watermark.
+    """
     schema = "user_id long, request_id long, issued_at timestamp, completed_at timestamp"
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [tuple(state.get)] if state.exists else []
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], r, pd.Timestamp(i, unit="us"), pd.Timestamp(c, unit="us")) for r, i, c in held], columns=["user_id", "request_id", "issued_at", "completed_at"])
-            return
+        held = [list(r) for r in zip(*state.get)] if state.exists else []
         micros = lambda s: s.astype("datetime64[us]").astype("int64")
-        for pdf in batches:
-            held += list(zip(pdf["request_id"], micros(pdf["issued_at"]), micros(pdf["completed_at"])))
-        held.sort(key=lambda r: (r[1], r[0]))
-        done = [r for r, newer in zip(held, held[1:]) if newer[1] > r[2]]
-        newest = held[-1]
-        state.update(tuple(int(x) for x in newest))
-        state.setTimeoutTimestamp(max(newest[2] // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame([(key[0], r, pd.Timestamp(i, unit="us"), pd.Timestamp(c, unit="us")) for r, i, c in done], columns=["user_id", "request_id", "issued_at", "completed_at"])
+        if not state.hasTimedOut:
+            for pdf in batches:
+                never = pdf["completed_at"].isna()
+                done = micros(pdf["completed_at"].fillna(pdf["issued_at"]))
+                held += [[int(i), int(r), int(c), bool(n)] for i, r, c, n in zip(micros(pdf["issued_at"]), pdf["request_id"], done, never)]  # one that is never completed is decided
+        passed = state.getCurrentWatermarkMs() * 1000
+        kept, needed = decide(held, passed)
+        if needed:
+            state.update(tuple(map(list, zip(*needed))))
+            due = min(r[0] if r[3] else r[2] for r in needed)
+            state.setTimeoutTimestamp(max(-(-due // 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if kept:
+            yield pd.DataFrame([(key[0], r, pd.Timestamp(i, unit="us"), pd.Timestamp(c, unit="us")) for i, r, c, _ in kept], columns=columns)
 
-    return requests.withWatermark("issued_at", lateness).groupBy("user_id").applyInPandasWithState(step, schema, "request_id long, issued long, completed long", "append", GroupStateTimeout.EventTimeTimeout)
+    return requests.withWatermark("issued_at", lateness).groupBy("user_id").applyInPandasWithState(step, schema, "issued array<long>, request array<long>, completed array<long>, decided array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def search_stream(terms: DataFrame, search: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
+def search_stream(terms: DataFrame, find: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts a query that searches each micro-batch of terms (event_id, term) and hands the hits to sink. Its checkpoint folder has to be shared."""
 
     def run(batch: DataFrame, number: int) -> None:
         queries = batch.select(F.col("event_id").alias("query_id"), "term")
-        sink(search(queries), number)
+        sink(find(queries), number)
 
     return terms.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def debounced_search_stream(events: DataFrame, index: Callable[[], Index], sink: Callable[[DataFrame, int], None], checkpoint: str, *, gap_ms: int = GAP_MS, lateness: str = "10 seconds", **trigger):
+    """Starts a query that debounces events (event_id, user_id, ts, term) and searches what is left, one micro-batch after the other.
+
+    index() is asked once a micro-batch, so a batch is searched in one version of the index and a rebuilt one is taken up by the next. The
+    sink gets the ranked hits (query_id: the event) and the batch's number; a batch that is repeated after a failure has the same number.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        queries = stored(batch.select(F.col("event_id").alias("query_id"), "term"))  # the stream's state is advanced once
+        if not queries.isEmpty():
+            sink(search(queries, index())["hits"], number)
+
+    return debounce_stream(events, gap_ms, lateness).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,6 +1,11 @@
 from datetime import datetime, timedelta
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from quillspark.operators import index as I
+from quillspark.operators import search as S
 from quillspark.streaming import debounce as R
 
 START = datetime(2024, 1, 1)
@@ -53,3 +58,66 @@ def test_search_stream(spark, tmp_path):
     q = R.search_stream(stream, lambda queries: queries.filter("term = 'c'"), lambda hits, n: seen.extend(r.query_id for r in hits.collect()), str(tmp_path / "cp"))
     assert q.awaitTermination(120)
     assert seen == [3]
+
+
+def simulated(rows, cuts, lateness):
+    """decide() over micro-batches, as a stream calls it for one user: (kept, late rows dropped)."""
+    held, kept, late, seen, passed, before = [], [], [], 0, 0, 0
+    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+        for r in rows[a:b]:
+            if r[0] <= before:
+                late.append(r)
+            else:
+                held.append([*r, False])
+        done, held = R.decide(held, passed)
+        kept += done
+        seen = max([seen, *(r[0] for r in rows[a:b])])
+        before, passed = passed, max(passed, seen - lateness)
+    done, held = R.decide(held, 1 << 61)
+    return sorted(r[1] for r in kept + done), late, held
+
+
+@given(st.data())
+@settings(max_examples=200, deadline=None)
+def test_decisions_are_those_of_the_batch(data):
+    n = data.draw(st.integers(0, 12))
+    rows = [(t := data.draw(st.integers(1, 40)), i, t + data.draw(st.integers(0, 15))) for i in range(n)]
+    rows = data.draw(st.permutations(rows))
+    cuts = sorted(data.draw(st.lists(st.integers(0, n), max_size=4)))
+    lateness = data.draw(st.sampled_from([0, 5, 100]))
+    got, late, held = simulated(rows, cuts, lateness)
+    order = sorted(r for r in rows if r not in late)  # rows behind the watermark count as never sent
+    assert got == sorted(r[1] for r, newer in zip(order, [*order[1:], None]) if newer is None or newer[0] > r[2])
+    assert not held
+
+
+def test_latest_wins_out_of_order(spark, tmp_path):
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [[(1, 2, at(3), at(4)), (1, 3, at(9), at(9)), (2, 8, at(5), None), (2, 7, at(4), at(4.5))], [(1, 1, at(1), at(5)), (2, 6, at(3), at(6))], [(9, 9, at(100), at(100))], [(9, 11, at(150), at(150))], [(1, 4, at(2), at(2)), (9, 10, at(200), at(200))]]
+    schema = "user_id long, request_id long, issued_at timestamp, completed_at timestamp"
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(R.latest_wins_stream(stream, lateness="20 seconds"), "disordered", spark)
+    batch = R.latest_wins(spark.createDataFrame([r for part in rows[:2] for r in part], schema))
+    want = sorted(r.request_id for r in batch.collect())
+    assert want == [2, 3, 7] and sorted(r.request_id for r in got.collect() if r.user_id != 9) == want  # 4 came behind the watermark
+
+
+def test_debounced_search_in_micro_batches(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "en", "red fish"), (2, "en", "blue fish"), (3, "en", "blue bird")], "doc_id long, lang string, content string")
+    parts = [[(1, 1, 0, "blue"), (2, 2, 0, "red")], [(3, 1, 200, "fish"), (4, 2, 5000, "bird")], [(5, 1, 90_000, "blue bird")], [(6, 9, 300_000, "")]]
+    for i, part in enumerate(parts):
+        events(spark, part).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(events(spark, parts[0]).schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    versions, seen = [], []
+
+    def index():
+        versions.append(len(versions))
+        return I.build_index(docs)
+
+    R.debounced_search_stream(stream, index, lambda hits, n: seen.extend((r.query_id, r.doc_id) for r in hits.collect()), str(tmp_path / "cp")).awaitTermination()
+    kept = R.debounce(events(spark, [r for p in parts[:3] for r in p])).select(F.col("event_id").alias("query_id"), "term")
+    want = [(r.query_id, r.doc_id) for r in S.search(kept, I.build_index(docs))["hits"].collect()]
+    assert sorted(seen) == sorted(want) == [(2, 1), (3, 1), (3, 2), (4, 3), (5, 3)]
+    assert len(versions) > 1
