@@ -66,16 +66,16 @@ def page_meta(html: Column) -> Column:
 
 
 def _numeric_entity(text: Column, entity: Column) -> Column:
-    """text with one numeric entity decoded, where it is a character of the first 65,535 and not &."""
-    digits = F.regexp_extract(entity, "&#[xX]?([0-9A-Fa-f]+);", 1)
-    code = F.when(entity.rlike("&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
-    letter = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
-    return F.when((code.between(1, 0xD7FF) | code.between(0xE000, 0xFFFF)) & (code != 38), F.replace(text, entity, letter)).otherwise(text)
+    """text with one numeric entity decoded, where it is a character and not &."""
+    digits = F.regexp_replace(F.regexp_extract(entity, "&#[xX]?([0-9A-Fa-f]+);", 1), "^0+(?=.)", "")
+    code = F.when(F.length(digits) <= 7, F.when(entity.rlike("&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)).cast("long")
+    letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when((code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)) & (code != 38), F.replace(text, entity, letter)).otherwise(text)
 
 
 def decode_entities(text: Column) -> Column:
-    """Named entities of the list and numeric ones up to five digits decoded; & last, so that nothing is decoded twice."""
-    found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit("&#(?:[0-9]{1,5}|[xX][0-9A-Fa-f]{1,4});"), F.lit(0)))
+    """Named entities of the list and numeric ones decoded; & last, so that nothing is decoded twice. A number that is no character stays as it is."""
+    found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit("&#(?:[0-9]+|[xX][0-9A-Fa-f]+);"), F.lit(0)))
     numeric = lambda t: F.when(F.contains(t, F.lit("&#")), F.aggregate(found(t), t, _numeric_entity)).otherwise(t)
     text = F.transform(F.array(text), numeric)[0]  # bound once, as the text is an expression itself
     for name, value in (*ENTITIES[:-1], ("&#38;", "&"), ("&#x26;", "&"), ENTITIES[-1]):
@@ -90,10 +90,25 @@ def body_text(html: Column) -> Column:
 
 
 def strip_boilerplate(html: Column) -> Column:
-    """Markup without navigation, footer, scripts and blocks of advertisements or counters."""
-    for block in (r"(?is)<(nav|footer|script)\b[^>]*>.*?</\1\s*>", r"""(?is)<div\b[^>]*\b(?:class|id)\s*=\s*["'](?:ad|ads|counter|nav|footer)["'][^>]*>.*?</div>"""):
-        html = F.regexp_replace(html, block, "")
-    return html
+    """Markup without navigation, footer, scripts and blocks (div) of advertisements or counters, with all that is nested in them.
+
+    A fold over the tags of these elements counts how deep an element of the block's own name is nested. In a script nothing but its end
+    counts. A block that isn't closed goes to the end of the page; an end tag without a block stays.
+    """
+    tag = r"</?(?:nav|footer|script|div)(?![A-Za-z0-9-])[^>]*>"
+    split = lambda group: F.regexp_extract_all(html, F.lit(rf"(?is)(.*?)({tag}|\z)"), F.lit(group))
+    block = r"""(?is)^<(?:(?:nav|footer|script)\b|div\b[^>]*\b(?:class|id)\s*=\s*["'](?:ad|ads|counter|nav|footer)["'])"""
+
+    def step(state: Column, x: Column) -> Column:
+        name, opens = F.lower(F.regexp_extract(x["tag"], r"^</?([A-Za-z]+)", 1)), ~x["tag"].startswith("</")
+        own = (name == state["name"]) & ((name != "script") | ~opens)
+        begins = (state["depth"] == 0) & x["tag"].rlike(block)
+        depth = F.when(begins, 1).when((state["depth"] > 0) & own, state["depth"] + F.when(opens, 1).otherwise(-1)).otherwise(state["depth"])
+        shown = F.when(state["depth"] == 0, F.when(begins, x["before"]).otherwise(F.concat(x["before"], x["tag"]))).otherwise(F.lit(""))
+        return F.struct(depth.alias("depth"), F.when(begins, name).otherwise(state["name"]).alias("name"), F.concat(state["kept"], F.array(shown)).alias("kept"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("name"), F.array().cast("array<string>").alias("kept"))
+    return F.aggregate(F.arrays_zip(split(1).alias("before"), split(2).alias("tag")), start, step, lambda s: F.array_join(s["kept"], ""))
 
 
 # --- addresses ------------------------------------------------------------------------------------
@@ -109,14 +124,32 @@ def dir_of(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "/")
 
 
-def resolve_url(base: Column, href: Column, levels: int = 8) -> Column:
-    """href against the page base: absolute kept, fragments appended to the page, "./" and up to ``levels`` "../" resolved."""
-    rooted = F.concat(F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/]*)?", 0), href)
-    joined = F.regexp_replace(F.concat(dir_of(F.regexp_replace(base, r"[?#].*$", "")), href), r"(^|/)\./", "$1")
-    for _ in range(levels):
-        joined = F.regexp_replace(joined, r"(^/?|[^/:]/)(?!\.\./)[^/]+/\.\./", "$1")
-    joined = F.regexp_replace(joined, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*)?/(?:\.\./)+", "$1/")
-    return F.when(link_kind(href) == "absolute", href).when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href)).when(href.startswith("/"), rooted).otherwise(joined)
+def without_dots(path: Column) -> Column:
+    """A path with "." and ".." segments resolved, by a fold that pushes segments and pops them; above the root ".." is dropped."""
+    parts, rooted = F.split(path, "/"), path.startswith("/")
+    root = F.when(rooted, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    floor = F.when(rooted, 1).otherwise(0)
+    up = lambda a: F.when(F.size(a) > floor, F.slice(a, 1, F.size(a) - 1)).otherwise(a)
+    step = lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    folded = F.aggregate(F.when(rooted, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts), root, step)
+    ended = F.when(path.rlike(r"(?:^|/)\.\.?$"), F.concat(folded, F.array(F.lit("")))).otherwise(folded)  # a folder
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.array_join(ended, "/")).otherwise(path)
+
+
+def resolve_url(base: Column, href: Column) -> Column:
+    """href against the page base, as browsers do: absolute kept (with the base's scheme where it has none), fragments and queries put to the
+    page, "." and ".." resolved at any depth, empty segments kept. A base may be a path alone."""
+    scheme, page = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)?", 0), F.regexp_replace(base, "#.*$", "")
+    site = F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?", 0)
+    bare = F.regexp_replace(page, r"\?.*$", "")
+    base_path = F.substring(bare, F.length(site) + 1, F.length(bare))
+    path, rest = F.regexp_extract(href, "^[^?#]*", 0), F.regexp_extract(href, r"[?#].*$", 0)
+    folder = F.when(F.contains(base_path, F.lit("/")), dir_of(base_path)).otherwise(F.when(site.contains("//"), "/").otherwise(""))
+    joined = F.concat(site, without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))), rest)
+    return (
+        F.when(href.startswith("//"), F.concat(scheme, href)).when(link_kind(href) == "absolute", href).when(href.startswith("#"), F.concat(page, href))
+        .when(href == "", page).when(href.startswith("?"), F.concat(bare, href)).otherwise(joined)
+    )
 
 
 def full_url(raw: Column, base: Column) -> Column:

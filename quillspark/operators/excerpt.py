@@ -173,13 +173,15 @@ def keyword_pattern(keyword: str, options: MatchOptions = MatchOptions()) -> str
         parts = [letter(c) for c in re.sub(r"\s+", " ", text)]
         return between.join(parts)
 
-    pattern = plain(keyword)
-    for one, other in options.synonyms.items():
-        both = f"(?:{plain(one)}|{plain(other)})"
-        for word in (one, other):
-            if word in keyword:
-                pattern = between.join(x for x in (plain(keyword.partition(word)[0]), both, plain(keyword.partition(word)[2])) if x)
-                break
+    meant: dict[str, list[str]] = {}  # each word that has synonyms, with them and itself
+    fold = (lambda w: w) if options.case_sensitive else str.lower
+    for pair in options.synonyms.items():
+        for word in pair:
+            meant.setdefault(fold(word), []).extend(pair)
+    listed = "|".join(re.escape(w) for w in sorted(meant, key=lambda w: (-len(w), w)) if w)
+    parts = re.split(f"({listed})", keyword, flags=0 if options.case_sensitive else re.IGNORECASE) if listed else [keyword]
+    either = lambda word: "(?:" + "|".join(dict.fromkeys(map(plain, meant[fold(word)]))) + ")"
+    pattern = between.join(either(x) if i % 2 else plain(x) for i, x in enumerate(parts) if x)
     ends = rf"{X.WS[:-1]}{re.escape(options.limiters)}]" if options.limiters else X.WS
     if options.accuracy == "complementary":
         inside = "[^" + ends[1:]

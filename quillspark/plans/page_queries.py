@@ -74,17 +74,29 @@ def p08_page_links(spark, d):
     return P.page_links(table(spark, d, "pages"))
 
 
+def _resolved(base: str, href: str) -> str:
+    """SQL for a target against a base without query: segments are pushed and popped one by one."""
+    base = f"({base})"
+    site = f"regexp_extract({base}, '^([A-Za-z]+://[^/?#]*)', 1)"
+    folder = f"regexp_replace({base}[length({site}) + 1:], '/[^/]*$', '')"
+    path = f"CASE WHEN starts_with({href}, '/') THEN {href} ELSE {folder} || '/' || {href} END"
+    step = "CASE x WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN '.' THEN a ELSE a || '/' || x END"
+    folded = f"list_reduce(list_prepend('', string_split({path}, '/')[2:]), lambda a, x: {step}) || CASE WHEN regexp_matches({path}, '/[.][.]?$') THEN '/' ELSE '' END"
+    return f"CASE WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {href} WHEN starts_with({href}, '#') THEN {base} || {href} ELSE {site} || {folded} END"
+
+
 @query(f"""WITH {LINKS}, u AS (SELECT *, regexp_extract(url, '^([A-Za-z]+://[^/]*)', 1) AS host, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '/') AS dir FROM links)
-SELECT page_id, ordinal, dir, host || href AS rooted, CASE WHEN dir = host || '/' THEN dir ELSE regexp_replace(dir, '[^/]+/$', '') END || 'x' || href AS upward, 'http://h.example/a' || href AS full
-FROM u WHERE starts_with(href, '/') AND NOT starts_with(href, '//')""")
+SELECT page_id, ordinal, dir, {_resolved("regexp_replace(url, '[?#].*$', '')", "href")} AS target, {_resolved("regexp_replace(url, '[?#].*$', '')", "'../x/./y/../' || href || '/..'")} AS upward,
+  {_resolved("dir || 'a/b/c/d/e/f/g/h/i/j/k/l'", "repeat('../', 11) || href")} AS deep, regexp_replace('http://h.example/a/' || href, '([^:/])/+', '\\1/', 'g') AS full
+FROM u""")
 def p11_resolve_url(spark, d):
-    """Link targets that begin with a slash, as they are, below ../x/./ and joined to a base."""
+    """All link targets, as they are, between steps up and down, from deep below their page, and joined to a base."""
     links = P.page_links(table(spark, d, "pages"), keep=["url"])
-    kept = links.filter(F.col("href").startswith("/") & ~F.col("href").startswith("//"))
-    url, href = F.col("url"), F.col("href")
-    return kept.select(
-        "page_id", "ordinal", X.dir_of(F.regexp_replace(url, "[?#].*$", "")).alias("dir"), X.resolve_url(url, href).alias("rooted"),
-        X.resolve_url(url, F.concat(F.lit("../x/."), href)).alias("upward"), X.full_url(href, F.lit("http://h.example/a/")).alias("full"),
+    url, href = F.regexp_replace("url", "[?#].*$", ""), F.col("href")
+    upward, deep = F.concat(F.lit("../x/./y/../"), href, F.lit("/..")), F.concat(F.repeat(F.lit("../"), 11), href)
+    return links.select(
+        "page_id", "ordinal", X.dir_of(url).alias("dir"), X.resolve_url(url, href).alias("target"), X.resolve_url(url, upward).alias("upward"),
+        X.resolve_url(F.concat(X.dir_of(url), F.lit("a/b/c/d/e/f/g/h/i/j/k/l")), deep).alias("deep"), X.full_url(href, F.lit("http://h.example/a/")).alias("full"),
     )
 
 

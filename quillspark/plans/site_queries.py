@@ -348,6 +348,16 @@ def x05_match_counts(spark, d):
     return E.match_counts(table(spark, d, "documents"), KEYWORDS)
 
 
+_SYNONYMS = {"the": "is", "of": "and", "in": "to"}
+_SYN_SQL = {"the of the": f"(?:the|is){sql.WS}+(?:of|and){sql.WS}+(?:the|is)", "in of": f"(?:in|to){sql.WS}+(?:of|and)", "of": "(?:of|and)", "le": "le"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS keyword, coalesce(sum(len(regexp_extract_all(text, '(?i){x}'))), 0)::BIGINT AS matches, count(*) FILTER (WHERE regexp_matches(text, '(?i){x}')) AS documents FROM documents" for k, x in _SYN_SQL.items()))
+def x04_synonyms(spark, d):
+    """Keywords with several words that have synonyms, one of them twice."""
+    return E.match_counts(table(spark, d, "documents"), list(_SYN_SQL), E.MatchOptions(diacritics=False, synonyms=_SYNONYMS))
+
+
 def _marked(x: str) -> str:
     return f"CASE WHEN {sql.trim(x)} = '' THEN {x} ELSE '<mark>' || {x} || '</mark>' END"
 

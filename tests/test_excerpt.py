@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,14 @@ def test_excerpts_are_no_longer_than_asked(spark):
     rows = spark.createDataFrame([(i, " ".join("w" for _ in range(i))) for i in range(0, 40, 3)], "i int, t string").select("i", X.words(F.col("t")).alias("w"))
     out = rows.select("i", F.size(F.split(E.build_excerpt(F.col("w"), F.lit(7), F.lit(12), F.array(F.lit(8))), " ")).alias("n")).collect()
     assert all(r.n <= 12 for r in out)
+
+
+def test_every_synonym_of_a_keyword():
+    options = E.MatchOptions(diacritics=False, synonyms={"a1": "b1", "a2": "b2", "b2": "c2"})
+    spaced = lambda k, o: re.sub(r"\[\\s[^\]]*\]\+", "_", E.keyword_pattern(k, o))  # noqa: E731  the class of white space as _
+    pattern = re.compile(spaced("a1 a2 A1", options).replace("(?iu)", "(?i)").replace("_", " "))
+    assert all(pattern.fullmatch(f"{x} {y} {z}") for x in ("a1", "b1") for y in ("a2", "b2") for z in ("a1", "B1"))
+    assert not pattern.fullmatch("a1 c2 a1")  # c2 means b2, not a2
+    assert spaced("b2x", options) == "(?iu)(?:a2|b2|c2)x"
+    longest = E.MatchOptions(diacritics=False, synonyms={"new": "old", "new york": "nyc"})
+    assert spaced("new york new", longest) == r"(?iu)(?:new_york|nyc)_(?:new|old)"

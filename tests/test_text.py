@@ -1,4 +1,7 @@
+import random
+import re
 from datetime import date
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ def one(spark, f, *values):
         (X.page_lang, ["<html>"], "unknown"),
         (X.body_text, ["<title>t</title><script>a<b</script>x<!-- c -->y<br/>z<p>w &lt;&amp;lt;"], "xy\nz\nw <&lt;"),
         (X.body_text, ["<script>only</script>"], ""),
-        (X.body_text, ["a&#32;&#x41;&#8230;&#65;&#38;lt;&amp;#66;&#0;&#xD800;&#99999;"], "a A…A&lt;&#66;&#0;&#xD800;&#99999;"),
+        (X.body_text, ["a&#32;&#x41;&#8230;&#65;&#38;lt;&amp;#66;&#0;&#xD800;&#99999;"], "a A…A&lt;&#66;&#0;&#xD800;\U0001869F"),
         (X.body_text, [None], None),
         (X.strip_boilerplate, ["<nav><a>x</a></nav>text<div class='ad'>buy</div><footer>f</footer>"], "text"),
         (X.link_kind, ["https://a/b"], "absolute"),
@@ -94,3 +97,54 @@ def test_structs(spark):
 def test_heading_anchors(spark):
     df = spark.createDataFrame([([("h2", "x"), ("H3", "　"), ("p", "y")],)], "a array<struct<element:string,text:string>>")
     assert [tuple(x) for x in df.select(X.heading_anchors(F.col("a")).alias("a")).first().a] == [("h2", "x")]
+
+
+def resolved(spark, pairs):
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, base string, href string")
+    return [r[0] for r in rows.select("i", X.resolve_url(F.col("base"), F.col("href")).alias("u")).orderBy("i").select("u").collect()]
+
+
+def test_targets_are_those_of_urljoin(spark):
+    rng, pairs = random.Random(3), []
+    for _ in range(1500):
+        base = "http://h" + "".join("/" + rng.choice(["a", "b.c", "dé", "e f"]) for _ in range(rng.randrange(1, 16))) + rng.choice(["", "/", "?q=/x/../y", "#f", "?q#f"])
+        href = "".join(rng.choice(["../", "./", "a/", "bb/", "..."]) for _ in range(rng.randrange(0, 18))) + rng.choice(["", "x", "..", ".", "x?a=../b", "?c", "#g", "y#../h"])
+        href = rng.choice(["", "", "/"]) + href
+        if href and "//" not in href and not href.startswith("?#"):
+            pairs.append((base, href))
+    pairs += [("https://h/a/b", "//g/c"), ("http://h", "x"), ("http://h", "../x"), ("http://h/a", "mailto:x@y"), ("http://h/a/b?q#f", "?r"), ("http://h/" + "d/" * 300, "../" * 299 + "z")]
+    assert resolved(spark, pairs) == [urljoin(*p) for p in pairs]
+    assert resolved(spark, [("http://h/a/b/c/d/e/f/g/h/i/j/k/l/p.html", "../" * 10 + "x.html"), ("http://h/a//b/c", "..//x"), ("/book/a/b.html", "../../../x"), ("http://h/a#f", ""), (None, "x"), ("http://h/a", None)]) == ["http://h/a/b/x.html", "http://h/a///x", "/x", "http://h/a", None, None]
+
+
+def test_numeric_entities(spark):
+    rows = {"&#128512;": "😀", "&#x1F600;!": "😀!", "&#65;&#x41;&#0000066;": "AAB", "&#1114112;": "&#1114112;", "&#xD800;": "&#xD800;", "&#38;lt;": "&lt;", "&amp;#65;": "&#65;", "&#99999999999999999999;": "&#99999999999999999999;", "&#0;": "&#0;", "&#x20AC;&eacute;": "€&eacute;"}
+    df = spark.createDataFrame([(k,) for k in rows], "t string")
+    assert {r.t: r.d for r in df.select("t", X.decode_entities(F.col("t")).alias("d")).collect()} == rows
+
+
+def plain_blocks(html):
+    out, depth, name, at = [], 0, "", 0
+    for m in re.finditer(r"(?is)<(/?)(nav|footer|script|div)(?![A-Za-z0-9-])[^>]*>", html):
+        if not depth:
+            out.append(html[at : m.start()])
+        at = m.end()
+        tag, ends = m[2].lower(), bool(m[1])
+        if not depth:
+            if not ends and (tag != "div" or re.search(r"""(?i)\b(?:class|id)\s*=\s*["'](?:ad|ads|counter|nav|footer)["']""", m[0])):
+                depth, name = 1, tag
+            else:
+                out.append(m[0])
+        elif tag == name and (ends or tag != "script"):
+            depth += -1 if ends else 1
+    return "".join(out) + ("" if depth else html[at:])
+
+
+def test_nested_blocks(spark):
+    rng = random.Random(4)
+    parts = ['<div class="nav">', "<div>", "</div>", "<nav>", "</nav>", "<footer x>", "</FOOTER>", "<script>", "</script >", "text", "\n", "<p>", '<DIV id="ads" y>', "<navx>", "<div-x>", "<"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 25))) for _ in range(300)] + ['<div class="nav"><div>in</div>tail</div>body', "", "<nav>never closed", "a" * 100_000 + '<div id="ad">' + "<div>" * 200 + "</div>" * 201 + "b"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, t string")
+    got = {r.i: r.d for r in df.select("i", X.strip_boilerplate(F.col("t")).alias("d")).collect()}
+    assert [got[i] for i in range(len(pages))] == [plain_blocks(p) for p in pages]
+    assert got[300] == "body"
