@@ -345,6 +345,11 @@ def ordered_keywords(keywords: Column, split_words: bool = False) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["k"])
 
 
+def head_bucket(term: Column, buckets: int) -> Column:
+    """The bucket of the dictionary that a term, and every prefix of it, is stored in: by its first character."""
+    return F.pmod(F.xxhash64(F.substring(term, 1, 1)), F.lit(buckets)).cast("int")
+
+
 def term_bucket(term: Column, buckets: int) -> Column:
     """The bucket that a term's postings are stored in."""
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")

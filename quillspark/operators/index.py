@@ -20,6 +20,7 @@ class Index:
     documents: DataFrame | None = None
     buckets: int | None = None
     cjk: bool = False
+    dictionary: DataFrame | None = None  # lang, term, and head_bucket where it is stored; without it the statistics' terms are it
 
 
 def language() -> Column:

@@ -31,7 +31,8 @@ def counted(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ranking:
-    """term_saturation: k1; page_length: b; term_frequency: share of the frequency factor; term_similarity: a factor of the whole."""
+    """term_saturation: k1; page_length: b; term_frequency: share of the frequency factor; term_similarity: how much a term counts less that
+    an asked prefix is only a part of. The share of its characters that were asked is taken to this power: 0 counts all alike, and a term that is asked whole has 1."""
 
     term_saturation: float = 1.2
     page_length: float = 0.75
@@ -80,17 +81,40 @@ def match_terms(queries: DataFrame, postings: DataFrame) -> DataFrame:
     return postings.join(terms, [c for c in ("lang", "term") if c in terms.columns]).select("query_id", "doc_id", "lang", "ordinal", "term", "tf", "locations", "n_terms", "exact", *shown)
 
 
-def match_index(queries: DataFrame, index: Index) -> DataFrame:
+def expand_prefixes(terms: DataFrame, index: Index, prefixes: str) -> DataFrame:
+    """terms with the index's terms that begin with them, and similarity (the asked share of their characters). prefixes: ``last`` (each query's last
+    term, as it is being typed) or ``all``; terms of exact queries stay as they are. Of a stored dictionary only the buckets of the prefixes are read, where
+    a file is sorted by term."""
+    if prefixes not in ("last", "all"):
+        raise ValueError(f"prefixes are last or all: {prefixes!r}")
+    open_ = ~F.col("exact") & (F.lit(True) if prefixes == "all" else F.col("ordinal") == F.col("n_terms") - 1)
+    whole = terms.filter(~open_).withColumn("similarity", F.lit(1.0))
+    dictionary = index.stats if index.dictionary is None else index.dictionary
+    keys = [c for c in ("lang",) if c in terms.columns]
+    asked = terms.filter(open_).withColumnRenamed("term", "asked")
+    if index.dictionary is not None:
+        keys, asked = [*keys, "head_bucket"], asked.withColumn("head_bucket", X.head_bucket(F.col("asked"), index.buckets))
+    else:
+        keys, asked, dictionary = [*keys, "head"], asked.withColumn("head", F.substring("asked", 1, 1)), dictionary.withColumn("head", F.substring("term", 1, 1))
+    found = dictionary.select(*keys, "term").join(counted(asked), keys).filter(F.col("term").startswith(F.col("asked")))
+    similar = (F.length("asked") / F.length("term")).alias("similarity")
+    return whole.unionByName(found.select(*[F.col(c) for c in terms.columns], similar).distinct())
+
+
+def match_index(queries: DataFrame, index: Index, prefixes: str | None = None) -> DataFrame:
     """The same over an index, with the terms' statistics (df, n_docs, mean_length), which meet the query terms first, as both are few.
 
     Of stored postings and statistics only the languages and buckets of the queries' terms are read, and postings don't move.
+    With prefixes also the terms that expand_prefixes finds, with their similarity.
     """
     terms = query_terms(queries)
+    if prefixes:
+        terms = expand_prefixes(terms, index, prefixes)
     if index.buckets:
         terms = terms.withColumn("term_bucket", X.term_bucket(F.col("term"), index.buckets))
     terms = counted(terms)
     wanted = counted(index.stats.join(terms, [c for c in ("lang", "term_bucket", "term") if c in terms.columns]))
-    shown = [c for c in ("length", "weights") if c in index.postings.columns] + [c for c in ("part", "offset") if c in terms.columns]
+    shown = [c for c in ("length", "weights") if c in index.postings.columns] + [c for c in ("part", "offset", "similarity") if c in terms.columns]
     found = index.postings.join(wanted, [c for c in ("lang", "term_bucket", "term") if c in wanted.columns])
     return found.select("query_id", "doc_id", "lang", "ordinal", "term", "tf", "locations", "n_terms", "exact", "df", "n_docs", "mean_length", *shown)
 
@@ -124,12 +148,17 @@ def score(matches: DataFrame, stats: DataFrame | None = None, lengths: DataFrame
         rows = rows.join(lengths, "doc_id")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("length") / F.col("mean_length")))
-    gain = ranking.term_similarity * idf * (ranking.term_frequency * tf + (1 - ranking.term_frequency))
+    gain = (F.pow("similarity", F.lit(float(ranking.term_similarity))) if "similarity" in rows.columns else F.lit(1.0)) * idf * (ranking.term_frequency * tf + (1 - ranking.term_frequency))
     placed = "part" in rows.columns
     starts = F.transform("locations", lambda x: x - F.col("offset")) if placed else F.when(F.col("exact"), F.transform("locations", lambda x: x - F.col("ordinal")))
     at = F.when(starts.isNotNull(), F.struct((F.col("part") if placed else F.lit(0)).alias("part"), starts.alias("starts")))
     gained = rows.select("query_id", "doc_id", "ordinal", "n_terms", gain.alias("gain"), at.alias("at"))
-    summed = gained.groupBy("query_id", "doc_id").agg(F.sum("gain").alias("score"), F.size(F.collect_set("ordinal")).alias("n"), F.max("n_terms").alias("of"), F.collect_list("at").alias("held"))  # one shuffle; what is gathered is one document's
+    total = F.sum("gain")
+    if "similarity" in rows.columns:  # of the terms that one asked term stands for, a document's best counts
+        gains = F.collect_list(F.struct("ordinal", "gain"))
+        best = lambda g, o: F.array_max(F.transform(F.filter(g, lambda x: x["ordinal"] == o), lambda x: x["gain"]))
+        total = F.transform(F.array(gains), lambda g: F.aggregate(F.array_distinct(F.transform(g, lambda x: x["ordinal"])), F.lit(0.0), lambda a, o: a + best(g, o)))[0]
+    summed = gained.groupBy("query_id", "doc_id").agg(total.alias("score"), F.size(F.collect_set("ordinal")).alias("n"), F.max("n_terms").alias("of"), F.collect_list("at").alias("held"))  # one shuffle; what is gathered is one document's
     own = lambda part: F.transform(F.filter("held", lambda h: h["part"] == part), lambda h: h["starts"])
     common = lambda s: F.aggregate(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.get(s, F.lit(0)), F.array_intersect)  # noqa: E731  where the whole part starts
     stands = F.forall(F.array_distinct(F.transform("held", lambda h: h["part"])), lambda part: F.size(common(own(part))) > 0)
@@ -273,13 +302,13 @@ def choose_language(requests: DataFrame, registry: DataFrame) -> DataFrame:
     return found.select(*requests.columns, F.coalesce("x_lang", "b_lang", "largest", F.raise_error(F.lit("the registry has no language"))).alias("chosen"))
 
 
-def search(queries: DataFrame, index: Index, *, ranking: Ranking = Ranking()) -> dict[str, DataFrame]:  # noqa: B008
-    """hits (filtered, ranked), unfiltered and counts of a batch of queries (query_id, term, perhaps lang and filters).
+def search(queries: DataFrame, index: Index, *, ranking: Ranking = Ranking(), prefixes: str | None = None) -> dict[str, DataFrame]:  # noqa: B008
+    """hits (filtered, ranked), unfiltered and counts of a batch of queries (query_id, term, perhaps lang and filters). prefixes: see expand_prefixes.
 
     Hits, a row for each query and document found, are kept as a table, as filters, counts and order all read them.
     """
     ready = prepare_queries(queries, cjk=index.cjk)
-    hits = score(match_index(drop_empty_queries(ready), index), ranking=ranking)
+    hits = score(match_index(drop_empty_queries(ready), index, prefixes), ranking=ranking)
     if "filters" in queries.columns and index.membership is not None and index.documents is not None:
         hits = hits.unionByName(browse(queries, index.documents, index.membership))
     hits = filtered = stored(hits)

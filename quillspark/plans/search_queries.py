@@ -114,6 +114,23 @@ def j02_match_phrase(spark, d, whole=False):
     return S.match_phrase(S.match_index(S.drop_empty_queries(S.prepare_queries(quoted)), index_of(spark, d)))
 
 
+_PREFIXES = f"""WITH {sql.HITS.split("hits AS (")[0].rstrip().rstrip(",")}, expanded AS (
+  SELECT query_id, ordinal, n_terms, term, 1.0::DOUBLE AS similarity FROM asked WHERE ordinal < n_terms - 1
+  UNION ALL SELECT DISTINCT query_id, ordinal, n_terms, t.term, length(a.term) / length(t.term) FROM asked a JOIN (SELECT DISTINCT term FROM df) t ON starts_with(t.term, a.term) WHERE ordinal = n_terms - 1
+), gains AS (
+  SELECT query_id, doc_id, ordinal, max(n_terms) AS n_terms, max(similarity * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)))) AS gain
+  FROM postings JOIN expanded USING (term) JOIN df USING (lang, term) JOIN corpus USING (lang) JOIN lengths USING (doc_id) GROUP BY query_id, doc_id, ordinal
+)
+SELECT query_id, doc_id, round(sum(gain), 6) AS score FROM gains GROUP BY query_id, doc_id HAVING count(*) = max(n_terms)"""
+
+
+@query(_PREFIXES, sql.whole(_PREFIXES))
+def a03_prefix_scores(spark, d, whole=False):
+    """A3 with term similarity: each query's last term is a prefix, as it is being typed."""
+    hits = S.score(S.match_index(prepared(spark, d, whole), index_of(spark, d), prefixes="last"))
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
 _LETTER = "chr((19968 + ('0x' || md5(w)[1:4])::INTEGER % 20000)::INTEGER)"
 _UNSPACED = f"array_to_string([array_to_string([{_LETTER} FOR w IN regexp_extract_all(line, '[^ ]+')], '') FOR line IN string_split(text, chr(10))], chr(10))"
 

@@ -99,7 +99,7 @@ def write_registry(documents: DataFrame, path: str, version: str = "1") -> None:
 def write_index(index: Index, path: str, buckets: int = 16) -> Index:
     """Stores an index as Parquet and returns it as stored: postings and term statistics by language and a bucket of the term.
 
-    A search reads only its terms' buckets. Rows are dealt by bucket and a salt of the document, so a very frequent term
+    A dictionary of the terms is stored by their first character and sorted, for prefixes. A search reads only its terms' buckets. Rows are dealt by bucket and a salt of the document, so a very frequent term
     is spread over several files. Statistics are made from the stored postings, not from the texts once more.
     """
     spark = index.postings.sparkSession
@@ -109,6 +109,8 @@ def write_index(index: Index, path: str, buckets: int = 16) -> Index:
     lengths = spark.read.parquet(f"{path}/postings").select("lang", "doc_id", "length").distinct().groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     stats = term_stats(spark.read.parquet(f"{path}/postings"), lengths).withColumn("term_bucket", X.term_bucket(F.col("term"), buckets))
     stats.repartition(*kept).write.mode("overwrite").partitionBy(*kept).parquet(f"{path}/stats")
+    heads = spark.read.parquet(f"{path}/stats").select("lang", "term").withColumn("head_bucket", X.head_bucket(F.col("term"), buckets))
+    heads.repartition("lang", "head_bucket").sortWithinPartitions("lang", "head_bucket", "term").write.mode("overwrite").partitionBy("lang", "head_bucket").parquet(f"{path}/dictionary")
     if index.membership is not None:
         index.membership.write.mode("overwrite").parquet(f"{path}/membership")
     if index.documents is not None:
@@ -126,7 +128,7 @@ def read_index(spark: SparkSession, path: str, terms: list[str] | None = None, b
         wanted = spark.createDataFrame([(t,) for t in terms], "t string").select(X.term_bucket(F.col("t"), buckets)).distinct().collect() if terms else []
         return rows.filter(F.col("term_bucket").isin([r[0] for r in wanted])).filter(F.col("term").isin(terms))
 
-    return Index(part("postings"), part("stats"), spark.read.parquet(f"{path}/membership") if membership else None, spark.read.parquet(f"{path}/documents") if documents else None, buckets, cjk)
+    return Index(part("postings"), part("stats"), spark.read.parquet(f"{path}/membership") if membership else None, spark.read.parquet(f"{path}/documents") if documents else None, buckets, cjk, spark.read.parquet(f"{path}/dictionary"))
 
 
 def page_table(pages: DataFrame) -> DataFrame:

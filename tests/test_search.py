@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import index as I
 from quillspark.operators import search as S
+from quillspark.sources import corpus as C
 
 DOCS = [(1, "en", "The cat sat. The cat!"), (2, "en", "cat the sat"), (3, "de", "the dog"), (4, "en", "")]
 
@@ -142,3 +143,43 @@ def test_terms_phrases_counts_and_marks_of_whole_texts(run):
     assert {(r.query_id, r.doc_id): r.terms for r in run("j01_match_terms_whole")} == {(q, d): n for q, a in TERMS.items() for d, w in WORDS.items() if (n := len(set(a) & set(w)))}
     assert {r.query_id: r.unfiltered for r in run("a05_result_counts_whole")} == {q: sum(p == q for p, _ in EVERY) for q in ASKED}
     assert {r.doc_id: r.marked for r in run("p16_highlight_url_whole")}[2] == "/src0?hl=red&hl=green&hl=blue&hl=grey#x"
+
+
+PREFIX_DOCS = [(1, "en", "car park"), (2, "en", "carpet park"), (3, "de", "cart cart carpets"), (4, "en", "scar"), (5, None, "cär c"), (6, "en", "park")]
+
+
+@pytest.mark.parametrize("kept", [False, True])
+def test_prefixes_and_similarity(spark, tmp_path, kept):
+    docs = spark.createDataFrame(PREFIX_DOCS, "doc_id long, lang string, content string")
+    index = I.build_index(docs)
+    if kept:
+        index = C.write_index(index, str(tmp_path / "index"), buckets=3)
+
+    def hits(rows, schema="query_id long, term string", **how):
+        out = {}
+        for r in S.search(spark.createDataFrame(rows, schema), index, **how)["hits"].collect():
+            out.setdefault(r.query_id, {})[r.doc_id] = r.score
+        return out
+
+    asked = [(1, "car"), (2, "car park"), (3, "park car"), (4, '"car"'), (5, "c"), (6, "carpetsx"), (7, "pa car")]
+    found = hits(asked, prefixes="last")
+    assert {q: set(d) for q, d in found.items()} == {1: {1, 2, 3}, 2: {1}, 3: {1, 2}, 4: {1}, 5: {1, 2, 3, 5}}
+    assert set(hits(asked, prefixes="all")[7]) == {1, 2}
+    assert hits(asked)[1].keys() == {1}
+    exact = hits([(1, "car")])[1][1]
+    assert abs(found[1][1] - exact) < 1e-9  # asked whole: similarity has no say
+    flat, steep = (hits([(3, "park car")], prefixes="last", ranking=S.Ranking(term_similarity=w))[3] for w in (0.0, 3.0))
+    assert abs(flat[1] - flat[2]) < 1e-9 and steep[1] > steep[2] and abs(flat[1] - steep[1]) < 1e-9  # it changes the ranking
+    only = hits([(1, "car", "de")], "query_id long, term string, lang string", prefixes="last")
+    assert set(only[1]) == {3}
+    with pytest.raises(ValueError):
+        hits(asked, prefixes="some")
+
+
+def test_only_the_buckets_of_prefixes_are_read(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "en", f"{chr(97 + i % 26)}word{i} common") for i in range(260)], "doc_id long, lang string, content string")
+    index = C.write_index(I.build_index(docs), str(tmp_path / "index"), buckets=8)
+    queries = S.prepare_queries(spark.createDataFrame([(1, "awo")], "query_id long, term string"))
+    rows = S.expand_prefixes(S.query_terms(queries), index, "last")
+    assert rows.count() == 10
+    assert "dynamicpruning" in rows._jdf.queryExecution().executedPlan().toString().lower()
