@@ -47,7 +47,7 @@ def test_rows_of_one_id_with_different_texts(spark):
 
 def test_every_operator_has_one_query():
     names = [n.split("_")[0] for n in queries.queries()]
-    assert sorted(names) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(names) == sorted(f"op{n}" for n in range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
@@ -79,3 +79,11 @@ def test_stages_with_hard_rows(spark):
         if name == "substring_dedup":
             assert {r.doc_id: r.text for r in out.collect()}[50] == long
         kept = out.checkpoint() if name != "packing" and spark.sparkContext.getCheckpointDir() else out
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_empty_table(spark, name):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, extra int")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+    assert out.count() == 0
+    assert name == "packing" or out.columns == docs.columns

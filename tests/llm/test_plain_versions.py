@@ -54,9 +54,9 @@ def test_batches_are_cut_by_bytes():
 
 def test_counts_beyond_32_bits_add_up():
     keys, many = np.array([3, 9], dtype=np.uint64), np.array([(1 << 32) - 1, 5], dtype=np.uint64)
-    payload = M._squeeze(np.diff(keys, prepend=np.uint64(0)), many, many)
+    payload = M.squeeze(np.diff(keys, prepend=np.uint64(0)), many, many)
     pdf = pd.DataFrame({"kind": [0, 0], "shard": [0, 0], "block": [2, 4], "n": [2, 2], "payload": [payload, payload]})
-    fit, dev = M._expand(M._total(pdf)["payload"][0], 2, "<u8", "<u8")
+    fit, dev = M.expand(M._total(pdf)["payload"][0], 2, "<u8", "<u8")
     assert fit.tolist() == dev.tolist() == [2 * ((1 << 32) - 1), 10]
 
 
