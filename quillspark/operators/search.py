@@ -261,15 +261,19 @@ def attach_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(hits, "doc_id")
 
 
-def order_facet_values(facets: DataFrame, ordering: Sequence[str] = ()) -> DataFrame:
-    """facets with position: "All" (the total) first, then values in the given order, then the others by value."""
+def order_facet_values(facets: DataFrame, ordering: Sequence[str] = (), collation: str | None = None) -> DataFrame:
+    """facets with position: "All" (the total) first, then values in the given order, then the others by value.
+
+    collation: a Spark collation by which values are ordered as a locale does (UNICODE, or a language's, as in de or sv); without it they
+    are ordered by bytes. Values that a collation holds equal are ordered by bytes.
+    """
     listed = F.array(*map(F.lit, ordering)) if ordering else F.array().cast("array<string>")
     keys = [c for c in ("query_id", "filter") if c in facets.columns]
     total = facets.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("value", F.lit("All")).withColumn("place", F.lit(-1))
     at = F.array_position(listed, F.col("value")).cast("int")
     rows = facets.select(*keys, "value", "n").withColumn("place", F.when(at == 0, 1 << 30).otherwise(at))
     both = rows.unionByName(total.select(*keys, "value", "n", "place"))
-    return both.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("place", "value")) - 1).drop("place")
+    return both.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("place", *([F.collate("value", collation)] if collation else []), "value")) - 1).drop("place")
 
 
 def merge_indexes(indexes: Sequence[tuple[DataFrame, float]], paths: Sequence[str] | None = None) -> DataFrame:

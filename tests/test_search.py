@@ -183,3 +183,11 @@ def test_only_the_buckets_of_prefixes_are_read(spark, tmp_path):
     rows = S.expand_prefixes(S.query_terms(queries), index, "last")
     assert rows.count() == 10
     assert "dynamicpruning" in rows._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_locale_order_of_facet_values(spark):
+    facets = spark.createDataFrame([("k", v, 1) for v in ("z", "É", "e", "Zeta", "a", "ä", "last")], "filter string, value string, n long")
+    shown = lambda **how: [r.value for r in S.order_facet_values(facets, ["last"], **how).orderBy("position").collect()]
+    assert shown() == ["All", "last", "Zeta", "a", "e", "z", "É", "ä"]
+    assert shown(collation="UNICODE") == ["All", "last", "a", "ä", "e", "É", "z", "Zeta"]
+    assert shown(collation="sv")[-1] == "ä"
