@@ -20,6 +20,8 @@ from quillspark.sources.stored import stored
 
 #: Rows of a small side that are broadcast at most, and of values by key that meet in one row; both are counted.
 MOST_ROWS = 100_000
+#: Bits of a set of pairs that is broadcast at most: 32 MB.
+MOST_BITS = 1 << 28
 #: Queries without term and selection that meet the documents at a time.
 OPEN_AT_ONCE = 1000
 
@@ -101,11 +103,14 @@ def expand_prefixes(terms: DataFrame, index: Index, prefixes: str) -> DataFrame:
     return whole.unionByName(found.select(*[F.col(c) for c in terms.columns], similar).distinct())
 
 
-def match_index(queries: DataFrame, index: Index, prefixes: str | None = None) -> DataFrame:
+def match_index(queries: DataFrame, index: Index, prefixes: str | None = None, complete: bool = False) -> DataFrame:
     """The same over an index, with the terms' statistics (df, n_docs, mean_length), which meet the query terms first, as both are few.
 
     Of stored postings and statistics only the languages and buckets of the queries' terms are read, and postings don't move.
     With prefixes also the terms that expand_prefixes finds, with their similarity.
+
+    complete: for what needs all terms of a query (score, match_phrase). Queries with a term that no document has give no rows. Of the others the
+    postings of the rarest term are read first and kept as a table; of the other terms' postings only those in its documents are returned, or few more (see among).
     """
     terms = query_terms(queries)
     if prefixes:
@@ -113,10 +118,50 @@ def match_index(queries: DataFrame, index: Index, prefixes: str | None = None) -
     if index.buckets:
         terms = terms.withColumn("term_bucket", X.term_bucket(F.col("term"), index.buckets))
     terms = counted(terms)
-    wanted = counted(index.stats.join(terms, [c for c in ("lang", "term_bucket", "term") if c in terms.columns]))
+    keys = [c for c in ("lang", "term_bucket", "term") if c in terms.columns]
+    wanted = index.stats.join(terms, keys)
     shown = [c for c in ("length", "weights") if c in index.postings.columns] + [c for c in ("part", "offset", "similarity") if c in terms.columns]
-    found = index.postings.join(wanted, [c for c in ("lang", "term_bucket", "term") if c in wanted.columns])
-    return found.select("query_id", "doc_id", "lang", "ordinal", "term", "tf", "locations", "n_terms", "exact", "df", "n_docs", "mean_length", *shown)
+
+    def postings_of(wanted: DataFrame) -> DataFrame:
+        found = index.postings.join(counted(wanted), [c for c in ("lang", "term_bucket", "term") if c in wanted.columns])
+        return found.select("query_id", "doc_id", "lang", "ordinal", "term", "tf", "locations", "n_terms", "exact", "df", "n_docs", "mean_length", *shown)
+
+    if not complete:
+        return postings_of(wanted)
+    wanted = stored(wanted)
+    first = rarest_terms(wanted)
+    led = counted(first)
+    rarest = stored(postings_of(wanted.join(led, ["query_id", "ordinal"], "left_semi")))
+    others = wanted.join(counted(first.filter("n_terms > 1").select("query_id", F.col("ordinal").alias("first"))), "query_id").filter("ordinal <> first").drop("first")
+    return rarest.unionByName(among(postings_of(others), rarest.select("query_id", "doc_id").distinct()))
+
+
+def rarest_terms(wanted: DataFrame) -> DataFrame:
+    """query_id, ordinal, n_terms: the term of each query that the fewest documents have (over all languages, and all terms it stands for; ties to
+    the first); queries with a term that none has are left out. wanted: query_id, ordinal, n_terms, df."""
+    by_term = wanted.groupBy("query_id", "ordinal").agg(F.sum("df").alias("df"), F.max("n_terms").alias("n_terms"))
+    by_query = by_term.groupBy("query_id").agg(F.min(F.struct("df", "ordinal"))["ordinal"].alias("ordinal"), F.max("n_terms").alias("n_terms"), F.count("*").alias("n"))
+    return by_query.filter("n = n_terms").drop("n")
+
+
+def among(rows: DataFrame, pairs: DataFrame, most_rows: int = MOST_ROWS, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows whose (query_id, doc_id) is among pairs, which are distinct, without moving rows.
+
+    Up to most_rows pairs are broadcast themselves. Up to most_bits / 8 are broadcast as bits at their hashes, eight bits a pair: about one other row in
+    eight then stays too, so what follows has to check. Beyond that all rows stay.
+    """
+    pairs = stored(pairs)
+    n = pairs.count()
+    if n <= most_rows:
+        return rows.join(F.broadcast(pairs), ["query_id", "doc_id"], "left_semi")
+    if n > most_bits // 8:
+        return rows
+    place = 1 + F.pmod(F.xxhash64("query_id", "doc_id"), F.lit(8 * n))
+    bits = pairs.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket")
+    return met.filter(F.getbit(byte, at % 8) == 1).select(*rows.columns)
 
 
 def hit_locations(matches: DataFrame) -> DataFrame:
@@ -312,7 +357,7 @@ def search(queries: DataFrame, index: Index, *, ranking: Ranking = Ranking(), pr
     Hits, a row for each query and document found, are kept as a table, as filters, counts and order all read them.
     """
     ready = prepare_queries(queries, cjk=index.cjk)
-    hits = score(match_index(drop_empty_queries(ready), index, prefixes), ranking=ranking)
+    hits = score(match_index(drop_empty_queries(ready), index, prefixes, complete=True), ranking=ranking)
     if "filters" in queries.columns and index.membership is not None and index.documents is not None:
         hits = hits.unionByName(browse(queries, index.documents, index.membership))
     hits = filtered = stored(hits)

@@ -55,7 +55,7 @@ def prepared(spark, d, whole: bool) -> DataFrame:
 
 def found(spark, d, ranking: S.Ranking = S.Ranking(), whole: bool = False) -> DataFrame:  # noqa: B008
     """The hits, a row for each query and document, kept as a table: what follows reads them more than once."""
-    return stored(S.score(S.match_index(prepared(spark, d, whole), index_of(spark, d)), ranking=ranking))
+    return stored(S.score(S.match_index(prepared(spark, d, whole), index_of(spark, d), complete=True), ranking=ranking))
 
 
 def chosen(queries: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ SELECT query_id, doc_id, count(*) AS n_phrases FROM (
 @query(_J02.replace(sql.norm("text"), sql.norm("array_to_string(string_split_regex(text, '" + sql.WS + "+')[1:2], ' ')")), _J02)
 def j02_match_phrase(spark, d, whole=False):
     quoted = asked(spark, d, whole).withColumn("term", F.concat(F.lit('"'), "term", F.lit('"')))
-    return S.match_phrase(S.match_index(S.drop_empty_queries(S.prepare_queries(quoted)), index_of(spark, d)))
+    return S.match_phrase(S.match_index(S.drop_empty_queries(S.prepare_queries(quoted)), index_of(spark, d), complete=True))
 
 
 _PREFIXES = f"""WITH {sql.HITS.split("hits AS (")[0].rstrip().rstrip(",")}, expanded AS (
@@ -127,7 +127,7 @@ SELECT query_id, doc_id, round(sum(gain), 6) AS score FROM gains GROUP BY query_
 @query(_PREFIXES, sql.whole(_PREFIXES))
 def a03_prefix_scores(spark, d, whole=False):
     """A3 with term similarity: each query's last term is a prefix, as it is being typed."""
-    hits = S.score(S.match_index(prepared(spark, d, whole), index_of(spark, d), prefixes="last"))
+    hits = S.score(S.match_index(prepared(spark, d, whole), index_of(spark, d), prefixes="last", complete=True))
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -149,7 +149,7 @@ def j02_match_unspaced(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.lit("zh").alias("lang"), unspaced(F.col("text")).alias("content"))
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), unspaced(F.col("text")).alias("term"))
     built = I.build_index(docs, cjk=True)
-    return S.score(S.match_index(S.drop_empty_queries(S.prepare_queries(queries, cjk=True)), built)).select("query_id", "doc_id")
+    return S.score(S.match_index(S.drop_empty_queries(S.prepare_queries(queries, cjk=True)), built, complete=True)).select("query_id", "doc_id")
 
 
 _J03 = f"WITH {sql.HITS} SELECT query_id, doc_id, source, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits) JOIN documents USING (doc_id) WHERE rank <= 5"

@@ -191,3 +191,37 @@ def test_locale_order_of_facet_values(spark):
     assert shown() == ["All", "last", "Zeta", "a", "e", "z", "É", "ä"]
     assert shown(collation="UNICODE") == ["All", "last", "a", "ä", "e", "É", "z", "Zeta"]
     assert shown(collation="sv")[-1] == "ä"
+
+
+RARE_DOCS = [(i, ("en", "de")[i % 2], "common " + ("often " if i % 3 == 0 else "") + (f"rare{i} " if i % 40 == 0 else "") + "often common") for i in range(400)]
+RARE_ASKED = [(1, "common often rare40"), (2, "common often"), (3, "common none"), (4, '"often rare120 often"'), (5, "common"), (6, "rare40 rare80"), (7, '"common often common"'), (8, "common rare")]
+
+
+@pytest.mark.parametrize("prefixes", [None, "last"])
+@pytest.mark.parametrize("most_rows,most_bits", [(10**6, 0), (0, 1 << 20), (0, 0)])
+def test_rarest_term_first_finds_the_same(spark, monkeypatch, prefixes, most_rows, most_bits):
+    index = I.build_index(spark.createDataFrame(RARE_DOCS, "doc_id long, lang string, content string"))
+    queries = S.drop_empty_queries(S.prepare_queries(spark.createDataFrame(RARE_ASKED, "query_id long, term string")))
+    among = S.among
+    monkeypatch.setattr(S, "among", lambda rows, pairs: among(rows, pairs, most_rows, most_bits))
+    every, few = (S.match_index(queries, index, prefixes, complete=c) for c in (False, True))
+    rows = lambda m: {(r.query_id, r.doc_id): round(r.score, 9) for r in S.score(m).collect()}
+    assert rows(few) == rows(every) and rows(few)[1, 40] > 0 and (4, 120) in rows(few) and (3, 0) not in rows(few)
+    assert sorted(S.match_phrase(few).collect()) == sorted(r for r in S.match_phrase(every).collect())
+    n = {c: m.groupBy("query_id").count().collect() for c, m in ((False, every), (True, few))}
+    n = {c: {r[0]: r[1] for r in m} for c, m in n.items()}
+    assert n[False][1] == 801 and n[False][3] == 400 and 3 not in n[True]
+    if most_rows:
+        assert n[True][1] == 3 and n[True][2] == n[False][2] == 800  # one document has the rarest term of query 1
+    elif most_bits:
+        assert n[True][1] < n[False][1] / 2
+
+
+def test_among_keeps_every_pair(spark):
+    rows = spark.range(20_000).select((F.col("id") % 7).alias("query_id"), F.col("id").alias("doc_id"), F.lit("x").alias("kept"))
+    pairs = rows.filter("doc_id % 10 = 3").select("query_id", "doc_id")
+    wanted = set(range(3, 20_000, 10))
+    for most_rows, most_bits, most in ((10**6, 0, 2000), (0, 1 << 20, 6000), (0, 0, 20_000), (0, 8 * 2000, 6000)):
+        got = S.among(rows, pairs, most_rows, most_bits)
+        assert got.columns == rows.columns and wanted <= {r.doc_id for r in got.collect()} and got.count() <= most
+    assert S.among(rows, pairs.filter("false")).count() == 0
