@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import text as X
 from quillspark.operators.index import Index, term_stats
+from quillspark.sources.named import write_named
 
 REGISTRY = "struct<version:string,languages:map<string,struct<hash:string,wasm:string,page_count:int>>>"
 SITEMAP = T.StructType([T.StructField("loc", T.StringType()), T.StructField("lastmod", T.DateType())])
@@ -42,7 +43,7 @@ def read_manifests(spark: SparkSession, root: str, name: str = "pages.json") ->
     return _whole(spark, root, name).select(_collection().alias("collection"), F.posexplode(listed).alias("ordinal", "page"))
 
 
-def read_sitemaps(spark: SparkSession, root: str, name: str = "sitemap.xml") -> DataFrame:
+def read_sitemaps(spark: SparkSession, root: str, name: str = "sitemap*.xml") -> DataFrame:
     """collection, loc, lastmod."""
     urls = spark.read.format("xml").option("rowTag", "url").option("recursiveFileLookup", True).option("pathGlobFilter", name).schema(SITEMAP).load(root)
     return urls.select(_collection(_path()).alias("collection"), "loc", "lastmod")
@@ -61,23 +62,43 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("r.version", F.explode("r.languages").alias("lang", "v")).select("version", "lang", "v.hash", "v.wasm", "v.page_count")
 
 
-def manifest_json(manifest: DataFrame) -> DataFrame:
-    """collection, value: one JSON array of page names a collection, in the order of ordinal."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "page"))), lambda x: x["page"])
-    return manifest.groupBy("collection").agg(F.to_json(ordered).alias("value"))
+def _file(name):
+    """The path of a collection's file below the root; without a collection it lies in the root."""
+    name = F.lit(name) if isinstance(name, str) else name
+    return F.when(F.coalesce("collection", F.lit("")) == "", name).otherwise(F.concat("collection", F.lit("/"), name))
 
 
 def write_manifests(manifest: DataFrame, path: str) -> None:
-    manifest_json(manifest).write.mode("overwrite").partitionBy("collection").text(path)
+    """path/COLLECTION/pages.json: an array of page names a collection, in the order of ordinal. Other files of the folders stay."""
+    text = F.to_json(F.array("page"))
+    rows = manifest.select(_file("pages.json").alias("path"), "ordinal", F.substring(text, F.lit(2), F.length(text) - 2).alias("value"))
+    write_named(rows, path, head="[", separator=",", tail="]")
 
 
-def write_sitemaps(sitemap: DataFrame, path: str, base: str) -> None:
-    """One directory of sitemap files a collection in path/sitemaps, and in path/index the index of their addresses below base."""
-    spark, rows = sitemap.sparkSession, sitemap.select("collection", "loc", "lastmod")
-    rows.write.mode("overwrite").format("xml").option("rootTag", "urlset").option("rowTag", "url").option("declaration", "").partitionBy("collection").save(f"{path}/sitemaps")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/sitemaps").select(F.regexp_extract("path", r"/(sitemaps/collection=[^/]*/[^/]*)$", 1).alias("file"))
-    index = files.filter("file <> ''").select(F.concat(F.lit(f"{base.rstrip('/')}/"), "file").alias("loc"))
-    index.write.mode("overwrite").format("xml").option("rootTag", "sitemapindex").option("rowTag", "sitemap").option("declaration", "").save(f"{path}/index")
+#: Addresses of a sitemap: what its format allows, and how many a file is filled to when addresses are dealt over several by their hash.
+MOST_LOCS, DEALT_LOCS = 50_000, 45_000
+URLSET = '<?xml version="1.0" encoding="UTF-8"?>\n<{} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'
+
+
+def _xml(text):
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def write_sitemaps(sitemap: DataFrame, path: str, base: str, most: int = MOST_LOCS, dealt: int = DEALT_LOCS) -> None:
+    """path/COLLECTION/sitemap.xml, by address, and path/sitemap_index.xml, which lists them below base. A collection of more than ``most`` addresses
+    has further files sitemap-2.xml, ..., over which its addresses are dealt."""
+    rows = sitemap.select("collection", "loc", "lastmod")
+    sizes = rows.groupBy("collection").agg(F.count("*").alias("n")).select(F.col("collection").alias("_of"), F.when(F.col("n") > most, F.ceil(F.col("n") / dealt)).otherwise(1).alias("parts"))
+    joined = rows.join(sizes, F.col("collection").eqNullSafe(F.col("_of")))
+    part = F.pmod(F.xxhash64("loc"), F.col("parts"))
+    name = F.when(part == 0, "sitemap.xml").otherwise(F.concat(F.lit("sitemap-"), (part + 1).cast("string"), F.lit(".xml")))
+    url = F.concat(F.lit("<url><loc>"), _xml(F.coalesce("loc", F.lit(""))), F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), F.col("lastmod").cast("string"), F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))
+    files = joined.select("collection", name.alias("name"), "loc", url.alias("value"))
+    write_named(files.select(_file(F.col("name")).alias("path"), F.coalesce("loc", F.lit("")).alias("ordinal"), "value"), path, URLSET.format("urlset"), "\n", "\n</urlset>\n")
+    folder = F.when(F.coalesce("collection", F.lit("")) == "", "").otherwise(F.concat(X.page_to_loc(F.col("collection"), F.lit("")), F.lit("/")))
+    listed = files.select("collection", "name").distinct().select(F.concat(F.lit(f"{base.rstrip('/')}/"), folder, "name").alias("loc"))
+    entries = listed.select(F.lit("sitemap_index.xml").alias("path"), F.col("loc").alias("ordinal"), F.concat(F.lit("<sitemap><loc>"), _xml(F.col("loc")), F.lit("</loc></sitemap>")).alias("value"))
+    write_named(entries, path, URLSET.format("sitemapindex"), "\n", "\n</sitemapindex>\n")
 
 
 def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
@@ -93,7 +114,9 @@ def registry_json(documents: DataFrame, version: str = "1") -> DataFrame:
 
 
 def write_registry(documents: DataFrame, path: str, version: str = "1") -> None:
-    registry_json(documents, version).write.mode("overwrite").text(path)
+    """The registry as the file path."""
+    root, _, name = path.rpartition("/")
+    write_named(registry_json(documents, version).select(F.lit(name).alias("path"), F.lit(0).alias("ordinal"), "value"), root or ".")
 
 
 def write_index(index: Index, path: str, buckets: int = 16) -> Index:

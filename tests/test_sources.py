@@ -1,8 +1,12 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import index as I
 from quillspark.operators import pages as P
 from quillspark.sources import corpus as C
+from quillspark.sources.named import write_named
 
 
 def test_read_tree(spark, tmp_path):
@@ -25,19 +29,48 @@ def test_read_tree(spark, tmp_path):
 
 
 def test_written_manifests_and_sitemaps_read_back(spark, tmp_path):
-    manifest = spark.createDataFrame([("a", 0, "z.html"), ("a", 1, "b.html"), ("b", 0, "q.html")], "collection string, ordinal int, page string")
+    manifest = spark.createDataFrame([("a", 0, "z.html"), ("a", 1, 'b"\n.html'), ("b", 0, "q.html")], "collection string, ordinal int, page string")
+    (tmp_path / "m" / "a").mkdir(parents=True)
+    (tmp_path / "m" / "a" / "z.html").write_text("page")
+    (tmp_path / "m" / "a" / "pages.json").write_text("old")
     C.write_manifests(manifest, str(tmp_path / "m"))
-    read = C.read_manifests(spark, str(tmp_path / "m"), "part-*")
-    assert sorted((r.collection, r.ordinal, r.page) for r in read.collect()) == [("a", 0, "z.html"), ("a", 1, "b.html"), ("b", 0, "q.html")]
-    sitemap = manifest.select("collection", F.concat(F.lit("https://h/"), "page").alias("loc"), F.to_date(F.lit("2025-05-17")).alias("lastmod"))
-    C.write_sitemaps(sitemap, str(tmp_path / "s"), "https://h/x/")
-    listed = {r.loc for r in C.read_sitemap_index(spark, str(tmp_path / "s" / "index")).collect()}
-    assert listed and all((tmp_path / "s" / loc.removeprefix("https://h/x/")).is_file() for loc in listed) and {loc.split("=")[1].split("/")[0] for loc in listed} == {"a", "b"}
-    assert {r.collection for r in C.read_sitemaps(spark, str(tmp_path / "s" / "sitemaps"), "part-*").collect()} == {"a", "b"}
-    assert {r.loc for r in C.read_sitemaps(spark, str(tmp_path / "s" / "sitemaps"), "part-*").collect()} == {"https://h/z.html", "https://h/b.html", "https://h/q.html"}
+    assert sorted(str(f.relative_to(tmp_path / "m")) for f in (tmp_path / "m").rglob("*") if f.is_file() and f.suffix != ".crc") == ["a/pages.json", "a/z.html", "b/pages.json"]
+    assert json.loads((tmp_path / "m" / "a" / "pages.json").read_text()) == ["z.html", 'b"\n.html']
+    assert sorted((r.collection, r.ordinal, r.page) for r in C.read_manifests(spark, str(tmp_path / "m")).collect()) == [("a", 0, "z.html"), ("a", 1, 'b"\n.html'), ("b", 0, "q.html")]
+    sitemap = spark.range(60).select(F.when(F.col("id") < 50, "a b").otherwise("c").alias("collection"), F.concat(F.lit("https://h/?x=1&y="), "id").alias("loc"), F.to_date(F.lit("2025-05-17")).alias("lastmod"))
+    C.write_sitemaps(sitemap, str(tmp_path / "s"), "https://h/x/", most=20, dealt=15)
+    listed = {r.loc.removeprefix("https://h/x/") for r in C.read_sitemap_index(spark, str(tmp_path / "s" / "sitemap_index.xml")).collect()}
+    assert {"a%20b/sitemap.xml", "a%20b/sitemap-2.xml", "c/sitemap.xml"} <= listed and len(listed) in (4, 5)
+    assert all((tmp_path / "s" / loc.replace("%20", " ")).is_file() for loc in listed)
+    read = C.read_sitemaps(spark, str(tmp_path / "s")).collect()
+    assert sorted(map(tuple, read)) == sorted(map(tuple, sitemap.collect()))
     docs = spark.createDataFrame([(1, "JA"), (2, "ja"), (3, None)], "doc_id long, lang string")
-    C.write_registry(docs, str(tmp_path / "r"))
-    assert {r.lang: r.page_count for r in C.read_registry(spark, str(tmp_path / "r")).collect()} == {"ja": 2, "unknown": 1}
+    C.write_registry(docs, str(tmp_path / "r.json"))
+    assert (tmp_path / "r.json").is_file()
+    assert {r.lang: r.page_count for r in C.read_registry(spark, str(tmp_path / "r.json")).collect()} == {"ja": 2, "unknown": 1}
+
+
+def test_named_files(spark, tmp_path):
+    root = tmp_path / "n"
+    found = lambda: {str(f.relative_to(root)): f.read_text() for f in root.rglob("*") if f.is_file()}
+    rows = spark.createDataFrame([("x/y.txt", 1, "é"), ("x/y.txt", 0, None), ("x/y.txt", 2, "c"), ("z", 0, "")], "path string, ordinal int, value string").repartition(4)
+    write_named(rows, str(root), "<", ",", ">", overwrite=False)
+    assert found() == {"x/y.txt": "<,é,c>", "z": "<>"}
+    more = spark.createDataFrame([("new", 0, "n"), ("z", 0, "2")], "path string, ordinal int, value string")
+    with pytest.raises(Exception, match="there already"):
+        write_named(more, str(root), overwrite=False)
+    assert found() == {"x/y.txt": "<,é,c>", "z": "<>"}  # nothing of the refused job
+    for bad in (None, "", "/abs", "../up", "a//b", "a/"):
+        with pytest.raises(Exception, match="name of a file"):
+            write_named(more.union(spark.createDataFrame([(bad, 0, "v")], more.schema)), str(root))
+    failing = more.withColumn("value", F.when(F.col("path") == "z", F.raise_error(F.lit("broken"))).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="broken"):
+        write_named(failing, str(root))
+    assert found() == {"x/y.txt": "<,é,c>", "z": "<>"}
+    write_named(more, str(root))
+    assert found() == {"x/y.txt": "<,é,c>", "z": "2", "new": "n"}
+    write_named(more.filter("false"), str(root))
+    assert len(found()) == 3 and sorted(f.name for f in root.iterdir()) == ["new", "x", "z"]
 
 
 def test_index_round_trip_reads_only_wanted_terms(spark, tmp_path):
