@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.operators.pages import page_links
+from quillspark.operators.search import counted
 
 KEY = ["collection", "page"]
 
@@ -90,6 +92,26 @@ def boilerplate_lines(pages: DataFrame, min_docs: int, key: str = "page_id", htm
     return pages.select(key, F.explode(lines).alias("line")).groupBy("line").agg(F.count_distinct(key).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
 
 
+def boilerplate_blocks(pages: DataFrame, min_docs: int, key: str = "page_id", html: str = "html") -> DataFrame:
+    """block, n_lines, n_docs: runs of neighbouring lines that at least min_docs pages have as a whole, with their lines joined by line feeds. key is unique.
+
+    A run is as long as its page has lines that min_docs pages have, one after the other; lines are trimmed, blank ones don't count, and a page
+    counts a run once. Lines are counted by a hash first, so that only those of frequent hashes travel as text.
+    """
+    lines = F.filter(F.transform(F.split(html, "\n"), X.trim_ws), lambda x: x != "")
+    once = pages.select(F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))).alias("digest"))
+    digests = counted(once.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("digest"))
+    placed = pages.select(key, F.posexplode(lines).alias("at", "line")).withColumn("digest", F.xxhash64("line")).join(digests, "digest", "left_semi")
+    texts = pages.select(F.explode(F.array_distinct(lines)).alias("line")).withColumn("digest", F.xxhash64("line")).join(digests, "digest", "left_semi")
+    frequent = texts.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("line")
+    held = placed.join(counted(frequent), "line", "left_semi").select(key, "at", "line")
+    run = F.col("at") - F.row_number().over(Window.partitionBy(key).orderBy("at"))  # a page's rows: all steps up to the count of runs share this shuffle
+    runs = held.withColumn("run", run).groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("rows"))
+    blocks = runs.select(key, F.size("rows").cast("long").alias("n_lines"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("block")).withColumn("digest", F.sha2("block", 256))
+    blocks = blocks.groupBy(key, "digest").agg(F.first("block").alias("block"), F.first("n_lines").alias("n_lines"))
+    return blocks.groupBy("digest").agg(F.first("block").alias("block"), F.first("n_lines").alias("n_lines"), F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs).drop("digest")
+
+
 def duplicate_pages(pages: DataFrame, path: str = "path", html: str = "html") -> DataFrame:
     """digest, n, keeper (the least path) of pages that occur more than once."""
     return pages.groupBy(F.sha2(html, 256).alias("digest")).agg(F.count("*").alias("n"), F.min(path).alias("keeper")).filter("n > 1")
@@ -128,6 +150,26 @@ def neighbours(manifest: DataFrame, chunk: int = 10_000) -> DataFrame:
     return near.select(*manifest.columns, F.coalesce("prev", "_before").alias("prev"), F.coalesce("next", "_after").alias("next"))
 
 
+#: What links to the neighbours and to the contents say, by which footers are read.
+PREVIOUS, NEXT, CONTENTS = r"(?i)前の|\bprev", r"(?i)次の|\bnext\b", r"(?i)目次|\bindex\b|\bcontents\b"
+
+
+def footers(pages: DataFrame, previous: str = PREVIOUS, following: str = NEXT, contents: str = CONTENTS) -> DataFrame:
+    """collection, page, declared_prev, declared_next: the neighbours that a page's own links name, as audit_navigation reads them. pages: collection, page, html.
+
+    A link's role is told by what it says; of a role's links the last one counts, as navigation ends a page. Addresses are resolved from the page, so
+    one in another collection is no neighbour's name (it has the collection before it). A page that names only its contents has null for both;
+    one without any such link has no row.
+    """
+    role = F.when(F.col("anchor_text").rlike(previous), "prev").when(F.col("anchor_text").rlike(following), "next").when(F.col("anchor_text").rlike(contents), "contents")
+    links = page_links(pages.withColumn("_of", F.struct(*KEY)), key="_of").select("_of.*", "ordinal", "href", role.alias("role")).filter("role is not null")
+    whole = X.resolve_url(F.concat(F.lit("/"), "collection", F.lit("/"), "page"), F.regexp_replace("href", "[?#].*$", ""))
+    own = F.concat(F.lit("/"), "collection", F.lit("/"))
+    name = X.decoded_path(F.when(whole.startswith(own), F.substr(whole, F.length(own) + 1)).otherwise(F.substr(whole, F.lit(2))))
+    last = lambda kind: F.max(F.when(F.col("role") == kind, F.struct("ordinal", "name")))["name"]
+    return links.withColumn("name", name).groupBy(*KEY).agg(last("prev").alias("declared_prev"), last("next").alias("declared_next"))
+
+
 def audit_navigation(manifest: DataFrame, footers: DataFrame) -> DataFrame:
     """collection, page, prev, next, declared_prev, declared_next, agrees. footers: collection, page, declared_prev, declared_next."""
     joined = neighbours(manifest).join(footers, KEY)

@@ -69,3 +69,34 @@ def test_set_operations(spark):
     a, b = man(spark).select("collection", "page"), man(spark).select("collection", "page").filter("page <> 'x.html'")
     assert W.union_site(a, b).count() == 7
     assert [r.page for r in W.site_difference(a, b).collect()] == ["x.html"] and W.site_common(a, b).count() == 3
+
+
+SCRIPT = "<script>\n  var n = 1;\n\n  scroll(n);\n</script>"
+
+
+def test_boilerplate_blocks(spark):
+    pages = [("p1", f"own 1\n{SCRIPT}\nown 2"), ("p2", f"{SCRIPT}\nfoot"), ("p3", f"own 3\n{SCRIPT}\nown 4\nfoot\n{SCRIPT}"), ("p4", "foot\nown 5\nfoot"), ("p5", "foot"), ("p6", "  "), ("p7", None), ("p8", SCRIPT)]
+    pages = spark.createDataFrame(pages, "path string, html string")
+    script = "<script>\nvar n = 1;\nscroll(n);\n</script>"
+    got = lambda n: {(r.block, r.n_lines, r.n_docs) for r in W.boilerplate_blocks(pages, n, key="path").collect()}
+    assert got(2) == {(script, 4, 3), ("foot", 1, 2)}  # alone in p1, p3 and p8; with foot behind or before it in p2 and p3, which are runs of one page
+    assert (f"{script}\nfoot", 5, 1) in got(1) and got(9) == set()
+    assert W.boilerplate_blocks(pages.filter("false"), 1, key="path").count() == 0
+
+
+NAVIGATION = '<div><hr/><p><a href="index.html">目次に戻る</a></p>{}</div>'
+
+
+def test_footers_of_pages(spark):
+    links = [
+        ("a", "x.html", NAVIGATION.format('<p><a href="y%20z.html">次のページに進む</a></p>')),
+        ("a", "y z.html", '<a href="no.html">前の章</a> text ' + NAVIGATION.format('<p><a href="x.html#top">前のページに戻る</a></p><p><a href="../a/w.html">Next page</a></p>')),
+        ("a", "w.html", NAVIGATION.format('<p><a href="../b/q.html">prev</a></p>')),
+        ("b", "q.html", NAVIGATION.format("")),
+        ("b", "plain.html", '<a href="x.html">x</a>'),
+        ("b", "none.html", None),
+    ]
+    pages = spark.createDataFrame(links, "collection string, page string, html string")
+    read = W.footers(pages)
+    assert {(r.page, r.declared_prev, r.declared_next) for r in read.collect()} == {("x.html", None, "y z.html"), ("y z.html", "x.html", "w.html"), ("w.html", "b/q.html", None), ("q.html", None, None)}
+    assert {(r.page, r.agrees) for r in W.audit_navigation(man(spark), read).collect()} == {("x.html", True), ("y z.html", True), ("w.html", False), ("q.html", True)}
