@@ -122,12 +122,12 @@ def write_registry(documents: DataFrame, path: str, version: str = "1") -> None:
 def write_index(index: Index, path: str, buckets: int = 16) -> Index:
     """Stores an index as Parquet and returns it as stored: postings and term statistics by language and a bucket of the term.
 
-    A dictionary of the terms is stored by their first character and sorted, for prefixes. A search reads only its terms' buckets. Rows are dealt by bucket and a salt of the document, so a very frequent term
-    is spread over several files. Statistics are made from the stored postings, not from the texts once more.
+    A dictionary of the terms is stored by their first character and sorted, for prefixes. A search reads only its terms' buckets. Rows are dealt by bucket, and a bucket is split where it is
+    measured to be larger than spark.sql.adaptive.advisoryPartitionSizeInBytes, so a very frequent term is spread over as many files as it needs. Statistics are made from the stored postings, not from the texts once more.
     """
     spark = index.postings.sparkSession
     kept = ["lang", "term_bucket"]
-    salted = index.postings.withColumn("term_bucket", X.term_bucket(F.col("term"), buckets)).repartition(*kept, F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    salted = index.postings.withColumn("term_bucket", X.term_bucket(F.col("term"), buckets)).hint("rebalance", *kept)
     salted.sortWithinPartitions(*kept, "term", "doc_id").write.mode("overwrite").partitionBy(*kept).parquet(f"{path}/postings")
     lengths = spark.read.parquet(f"{path}/postings").select("lang", "doc_id", "length").distinct().groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     stats = term_stats(spark.read.parquet(f"{path}/postings"), lengths).withColumn("term_bucket", X.term_bucket(F.col("term"), buckets))

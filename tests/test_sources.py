@@ -148,3 +148,20 @@ def test_small_tables_are_dealt_out(spark, tmp_path):
     assert read_table(spark, str(tmp_path / "small")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert sorted(r.id for r in read_table(spark, str(tmp_path / "small")).collect()) == list(range(100))
     assert read_table(spark, str(tmp_path / "parts")).count() == 100
+
+
+def test_frequent_terms_are_split_by_their_size(spark, tmp_path):
+    docs = spark.range(20_000).repartition(16).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat_ws(" ", F.lit("common"), F.concat(F.lit("w"), F.col("id") % 50)).alias("content"))
+    key, kept = "spark.sql.adaptive.advisoryPartitionSizeInBytes", {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a bucket is split between the tasks that made it, of which a small table has only one
+    for size in ("4k", "64m"):
+        spark.conf.set(key, size)
+        try:
+            index = C.write_index(I.build_index(docs), str(tmp_path / size), buckets=2)
+        finally:
+            spark.conf.unset(key)
+        hot = index.postings.filter("term = 'common'").groupBy(F.input_file_name().alias("file")).count().collect()
+        kept[size] = sorted(r["count"] for r in hot)
+        assert sum(kept[size]) == 20_000 and index.postings.count() == 40_000
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(kept["64m"]) == 1 and len(kept["4k"]) > 2 and kept["4k"][-1] < 15_000
