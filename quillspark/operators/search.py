@@ -20,6 +20,8 @@ from quillspark.sources.stored import stored
 
 #: Rows of a small side that are broadcast at most, and of values by key that meet in one row; both are counted.
 MOST_ROWS = 100_000
+#: Postings of a batch of queries that are read at once, as candidates of the rarest terms cost more than they save; this changes no hit.
+FEW_POSTINGS = 1 << 22
 #: Bits of a set of pairs that is broadcast at most: 32 MB.
 MOST_BITS = 1 << 28
 #: Queries without term and selection that meet the documents at a time.
@@ -111,6 +113,7 @@ def match_index(queries: DataFrame, index: Index, prefixes: str | None = None, c
 
     complete: for what needs all terms of a query (score, match_phrase). Queries with a term that no document has give no rows. Of the others the
     postings of the rarest term are read first and kept as a table; of the other terms' postings only those in its documents are returned, or few more (see among).
+    Where the statistics count no more than FEW_POSTINGS in all, all of them are returned.
     """
     terms = query_terms(queries)
     if prefixes:
@@ -130,8 +133,10 @@ def match_index(queries: DataFrame, index: Index, prefixes: str | None = None, c
         return postings_of(wanted)
     wanted = stored(wanted)
     first = rarest_terms(wanted)
-    led = counted(first)
-    rarest = stored(postings_of(wanted.join(led, ["query_id", "ordinal"], "left_semi")))
+    held = wanted.join(counted(first.select("query_id")), "query_id", "left_semi")
+    if (held.agg(F.sum("df")).first()[0] or 0) <= FEW_POSTINGS:
+        return postings_of(held)
+    rarest = stored(postings_of(wanted.join(counted(first), ["query_id", "ordinal"], "left_semi")))
     others = wanted.join(counted(first.filter("n_terms > 1").select("query_id", F.col("ordinal").alias("first"))), "query_id").filter("ordinal <> first").drop("first")
     return rarest.unionByName(among(postings_of(others), rarest.select("query_id", "doc_id").distinct()))
 

@@ -203,6 +203,8 @@ def test_rarest_term_first_finds_the_same(spark, monkeypatch, prefixes, most_row
     index = I.build_index(spark.createDataFrame(RARE_DOCS, "doc_id long, lang string, content string"))
     queries = S.drop_empty_queries(S.prepare_queries(spark.createDataFrame(RARE_ASKED, "query_id long, term string")))
     among = S.among
+    assert sorted(S.score(S.match_index(queries, index, prefixes, complete=True)).select("query_id", "doc_id").collect()) == sorted(S.score(S.match_index(queries, index, prefixes)).select("query_id", "doc_id").collect())
+    monkeypatch.setattr(S, "FEW_POSTINGS", 0)
     monkeypatch.setattr(S, "among", lambda rows, pairs: among(rows, pairs, most_rows, most_bits))
     every, few = (S.match_index(queries, index, prefixes, complete=c) for c in (False, True))
     rows = lambda m: {(r.query_id, r.doc_id): round(r.score, 9) for r in S.score(m).collect()}
