@@ -21,6 +21,8 @@ class Index:
     buckets: int | None = None
     cjk: bool = False
     dictionary: DataFrame | None = None  # lang, term, and head_bucket where it is stored; without it the statistics' terms are it
+    corpus: DataFrame | None = None  # corpus_stats of the documents, for what stores the index
+    facets: DataFrame | None = None  # filter, value, n over all documents, where they are stored
 
 
 def language() -> Column:
@@ -104,5 +106,5 @@ def with_merge_filter(membership: DataFrame, documents: DataFrame, filters: dict
 
 def build_index(documents: DataFrame, content: str = "content", cjk: bool = False) -> Index:
     """The index of documents (doc_id, lang, content, perhaps filters), as a plan; sources.corpus stores it."""
-    postings = build_postings(documents, content, cjk)
-    return Index(postings, term_stats(postings, corpus_stats(documents, content, cjk)), facet_membership(documents) if "filters" in documents.columns else None, documents, cjk=cjk)
+    postings, corpus = build_postings(documents, content, cjk), corpus_stats(documents, content, cjk)
+    return Index(postings, term_stats(postings, corpus), facet_membership(documents) if "filters" in documents.columns else None, documents, cjk=cjk, corpus=corpus)

@@ -24,6 +24,8 @@ MOST_ROWS = 100_000
 FEW_POSTINGS = 1 << 22
 #: Bits of a set of pairs that is broadcast at most: 32 MB.
 MOST_BITS = 1 << 28
+#: Names of facets, and values of them, that are written into the scan of a membership at most.
+MOST_LISTED = 1000
 #: Queries without term and selection that meet the documents at a time.
 OPEN_AT_ONCE = 1000
 
@@ -221,10 +223,23 @@ def selections(queries: DataFrame) -> DataFrame:
     return keyed.select("query_id", "filter", F.explode("values").alias("value")).distinct()
 
 
+def selected_membership(membership: DataFrame, selection: DataFrame) -> DataFrame:
+    """The rows of membership whose facet has a value that some query selects.
+
+    Up to MOST_LISTED names and values, which are counted, are written into the scan: of a stored membership only the named facets' files and, as these
+    are sorted, the row groups of the values are read. Whatever their number, the join with them decides.
+    """
+    for name in ("filter", "value"):
+        listed = [r[0] for r in selection.select(name).distinct().limit(MOST_LISTED + 1).collect()]
+        if len(listed) <= MOST_LISTED:
+            membership = membership.filter(F.col(name).isin(listed))
+    return membership.join(counted(selection.select("filter", "value").distinct()), ["filter", "value"], "left_semi")
+
+
 def filter_hits(hits: DataFrame, membership: DataFrame, selection: DataFrame) -> DataFrame:
     """Hits whose document has, for each selected facet, one of its selected values. Hits of queries without a selection stay."""
     wanted = selection.groupBy("query_id").agg(F.count_distinct("filter").alias("wanted"))
-    met = hits.select("query_id", "doc_id").distinct().join(membership, "doc_id").join(selection, ["query_id", "filter", "value"], "left_semi")
+    met = hits.select("query_id", "doc_id").distinct().join(selected_membership(membership, selection), "doc_id").join(selection, ["query_id", "filter", "value"], "left_semi")
     met = met.groupBy("query_id", "doc_id").agg(F.count_distinct("filter").alias("met"))
     joined = hits.join(wanted, "query_id", "left").join(met, ["query_id", "doc_id"], "left")
     return joined.filter(F.col("wanted").isNull() | (F.col("met") == F.col("wanted"))).select(*hits.columns)
@@ -239,23 +254,26 @@ def browse(queries: DataFrame, documents: DataFrame, membership: DataFrame) -> D
     empty = queries.filter("term is null")
     picked = selections(empty)
     n = picked.groupBy("query_id").agg(F.count_distinct("filter").alias("wanted"))
-    met = membership.join(picked, ["filter", "value"]).groupBy("query_id", "doc_id").agg(F.count_distinct("filter").alias("met")).join(n, "query_id").filter("met = wanted")
+    met = selected_membership(membership, picked).join(picked, ["filter", "value"]).groupBy("query_id", "doc_id").agg(F.count_distinct("filter").alias("met")).join(n, "query_id").filter("met = wanted")
     open_ = empty.select("query_id").distinct().join(n, "query_id", "left_anti")
     bundles = max(1, -(-open_.count() // OPEN_AT_ONCE))
     bundled = open_.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(bundles)).cast("int").alias("bundle")).agg(F.collect_list("query_id").alias("ids"))
-    everything = documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))).alias("bundle")).join(counted(bundled), "bundle").select(F.explode("ids").alias("query_id"), "doc_id")
+    everything = documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))).alias("bundle")).join(counted(bundled, MOST_ROWS // OPEN_AT_ONCE), "bundle").select(F.explode("ids").alias("query_id"), "doc_id")
     return met.select("query_id", "doc_id", F.lit(0.0).alias("score")).unionByName(everything.select("query_id", "doc_id", F.lit(0.0).alias("score")))
 
 
-def facet_counts(hits: DataFrame, membership: DataFrame, vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, filter, value, n: documents among the hits, for every known value, 0 included. vocabulary: filter, value.
+def facet_counts(hits: DataFrame, membership: DataFrame, vocabulary: DataFrame, queries: DataFrame, filters: Sequence[str] | None = None) -> DataFrame:
+    """query_id, filter, value, n: documents among the hits, for every known value, 0 included. vocabulary: filter, value. filters: the facets
+    that are shown, without which all are; of a stored membership only theirs are read.
 
     The result has a row for each query and value; values are dealt to the queries in rows of about a thousand.
     """
+    if filters is not None:
+        membership, vocabulary = (x.filter(F.col("filter").isin(list(filters))) for x in (membership, vocabulary))
     counts = hits.select("query_id", "doc_id").distinct().join(membership, "doc_id").groupBy("query_id", "filter", "value").agg(F.count("*").alias("n"))
     bundles = max(1, -(-vocabulary.count() // OPEN_AT_ONCE))
     known = vocabulary.groupBy(F.pmod(F.xxhash64("filter", "value"), F.lit(bundles)).cast("int").alias("bundle")).agg(F.collect_set(F.struct("filter", "value")).alias("known"))
-    asked = queries.select("query_id").distinct().select("query_id", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))).alias("bundle")).join(counted(known), "bundle")
+    asked = queries.select("query_id").distinct().select("query_id", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))).alias("bundle")).join(counted(known, MOST_ROWS // OPEN_AT_ONCE), "bundle")
     frame = asked.select("query_id", F.explode("known").alias("k")).select("query_id", "k.filter", "k.value")
     return frame.join(counts, ["query_id", "filter", "value"], "left").select("query_id", "filter", "value", F.coalesce("n", F.lit(0)).alias("n"))
 

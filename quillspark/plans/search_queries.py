@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,20 +35,21 @@ def asked(spark, d, whole: bool = False) -> DataFrame:
 
 #: Documents a term bucket of the index, and the most buckets; the layout changes no result.
 BUCKET_DOCS, MOST_BUCKETS = 50_000, 4096
-_INDEXES: dict[tuple[str, str], tuple[str, int]] = {}
+_INDEXES: dict[tuple[str, str, int | None], tuple[str, int]] = {}
 
 
 def index_of(spark, d) -> I.Index:
-    """The stored index of the documents; an application builds it once and searches it from then on."""
-    key = (spark.sparkContext.applicationId, d)
+    """The stored index of the documents; an application builds it once and searches it as long as the table's files stay as they are."""
+    file = F.col("_metadata")
+    files = spark.read.parquet(f"{d}/documents.parquet").select(file["file_path"].alias("p"), file["file_size"].alias("n"), file["file_modification_time"].alias("t")).distinct()
+    key = (spark.sparkContext.applicationId, d, files.agg(F.bit_xor(F.xxhash64("p", "n", "t"))).first()[0])
     if key not in _INDEXES:
-        docs, path = corpus(spark, d).select("doc_id", "lang", "content"), new_path(spark, "index")
+        docs, path = corpus(spark, d).select("doc_id", "lang", "content", "filters"), new_path(spark, "index")
         buckets = max(2, min(MOST_BUCKETS, docs.count() // BUCKET_DOCS))
-        built = I.build_index(docs)
-        C.write_index(I.Index(built.postings, built.stats), path, buckets)
+        C.write_index(replace(I.build_index(docs), documents=None), path, buckets)
         _INDEXES[key] = path, buckets
     path, buckets = _INDEXES[key]
-    return C.read_index(spark, path, buckets=buckets, membership=False, documents=False)
+    return C.read_index(spark, path, buckets=buckets, documents=False)
 
 
 def prepared(spark, d, whole: bool) -> DataFrame:
@@ -166,7 +169,7 @@ _F01 = f"WITH {sql.HITS} SELECT query_id, doc_id, round(score, 6) AS score FROM
 
 @query(_F01, sql.whole(_F01))
 def f01_filter_hits(spark, d, whole=False):
-    hits = S.filter_hits(found(spark, d, whole=whole), I.facet_membership(corpus(spark, d)), chosen(asked(spark, d)))
+    hits = S.filter_hits(found(spark, d, whole=whole), index_of(spark, d).membership, chosen(asked(spark, d)))
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -174,7 +177,7 @@ def f01_filter_hits(spark, d, whole=False):
 def f02_filter_only(spark, d):
     filters = F.create_map(F.lit("lang"), F.array(*map(F.lit, LANGS)), F.lit("source"), F.array(*map(F.lit, SOURCES)))
     queries = asked(spark, d).select("query_id", F.lit(None).cast("string").alias("term"), filters.alias("filters"))
-    return S.browse(queries, corpus(spark, d), I.facet_membership(corpus(spark, d)))
+    return S.browse(queries, corpus(spark, d), index_of(spark, d).membership)
 
 
 @query(f"SELECT conv_id, turn, {sql.norm('text')} AS term_norm FROM conversations WHERE {sql.norm('text')} <> ''")
@@ -189,9 +192,9 @@ counted AS (SELECT query_id, filter, value, count(*) AS n FROM hits JOIN member
 facets AS (SELECT query_id, filter, value, coalesce(n, 0) AS n FROM frame LEFT JOIN counted USING (query_id, filter, value))"""
 
 
-def _facets(spark, d, whole=False):
-    membership = I.facet_membership(corpus(spark, d))
-    return S.facet_counts(found(spark, d, whole=whole), membership, membership.select("filter", "value").distinct(), asked(spark, d))
+def _facets(spark, d, whole=False, filters=None):
+    index = index_of(spark, d)
+    return S.facet_counts(found(spark, d, whole=whole), index.membership, index.facets, asked(spark, d), filters)
 
 
 _A04 = f"{_FACETS} SELECT * FROM facets"
@@ -202,6 +205,12 @@ def a04_facet_counts(spark, d, whole=False):
     return _facets(spark, d, whole)
 
 
+@query(sql.whole(f"{_FACETS} SELECT * FROM facets WHERE filter = 'source'"))
+def a04_asked_facets(spark, d):
+    """Counts of one facet; of the stored membership only its files are read."""
+    return _facets(spark, d, True, ["source"])
+
+
 _F05 = f"{_FACETS} SELECT * FROM facets WHERE n > 0 OR (filter = 'lang' AND value IN ('en', 'de')) OR (filter = 'source' AND value IN ('src0', 'src1', 'src2'))"
 
 
@@ -233,7 +242,7 @@ FROM benchmark LEFT JOIN hits ON query_id = item_id LEFT JOIN documents ON docum
 @query(_A05, sql.whole(_A05))
 def a05_result_counts(spark, d, whole=False):
     hits = found(spark, d, whole=whole)
-    return S.result_counts(hits, S.filter_hits(hits, I.facet_membership(corpus(spark, d)), chosen(asked(spark, d))), asked(spark, d))
+    return S.result_counts(hits, S.filter_hits(hits, index_of(spark, d).membership, chosen(asked(spark, d))), asked(spark, d))
 
 
 _T02 = f"WITH {sql.HITS} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY source DESC, doc_id)::INTEGER AS rank FROM hits JOIN documents USING (doc_id)"

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import text as X
 from quillspark.operators.index import Index, term_stats
+from quillspark.operators.search import all_facets
 from quillspark.sources.named import write_named
 
 REGISTRY = "struct<version:string,languages:map<string,struct<hash:string,wasm:string,page_count:int>>>"
@@ -123,24 +124,30 @@ def write_index(index: Index, path: str, buckets: int = 16) -> Index:
     """Stores an index as Parquet and returns it as stored: postings and term statistics by language and a bucket of the term.
 
     A dictionary of the terms is stored by their first character and sorted, for prefixes. A search reads only its terms' buckets. Rows are dealt by bucket, and a bucket is split where it is
-    measured to be larger than spark.sql.adaptive.advisoryPartitionSizeInBytes, so a very frequent term is spread over as many files as it needs. Statistics are made from the stored postings, not from the texts once more.
+    measured to be larger than spark.sql.adaptive.advisoryPartitionSizeInBytes, so a very frequent term is spread over as many files as it needs. Frequencies of terms are counted in the stored postings.
+    Facet membership is stored by facet, in files sorted by value and document, with the values' counts as a small table of their own: a search reads only the facets that it asks for.
     """
     spark = index.postings.sparkSession
     kept = ["lang", "term_bucket"]
     salted = index.postings.withColumn("term_bucket", X.term_bucket(F.col("term"), buckets)).hint("rebalance", *kept)
     salted.sortWithinPartitions(*kept, "term", "doc_id").write.mode("overwrite").partitionBy(*kept).parquet(f"{path}/postings")
-    lengths = spark.read.parquet(f"{path}/postings").select("lang", "doc_id", "length").distinct().groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    stats = term_stats(spark.read.parquet(f"{path}/postings"), lengths).withColumn("term_bucket", X.term_bucket(F.col("term"), buckets))
+    stats = term_stats(spark.read.parquet(f"{path}/postings"), index.corpus).withColumn("term_bucket", X.term_bucket(F.col("term"), buckets))
     stats.repartition(*kept).write.mode("overwrite").partitionBy(*kept).parquet(f"{path}/stats")
     heads = spark.read.parquet(f"{path}/stats").select("lang", "term").withColumn("head_bucket", X.head_bucket(F.col("term"), buckets))
     heads.repartition("lang", "head_bucket").sortWithinPartitions("lang", "head_bucket", "term").write.mode("overwrite").partitionBy("lang", "head_bucket").parquet(f"{path}/dictionary")
     if index.membership is not None:
-        index.membership.write.mode("overwrite").parquet(f"{path}/membership")
+        index.membership.hint("rebalance", "filter").sortWithinPartitions("filter", "value", "doc_id").write.mode("overwrite").partitionBy("filter").parquet(f"{path}/membership")
+        all_facets(_membership(spark, path)).write.mode("overwrite").parquet(f"{path}/facets")
     if index.documents is not None:
         index.documents.write.mode("overwrite").parquet(f"{path}/documents")
     return read_index(spark, path, buckets=buckets, membership=index.membership is not None, documents=index.documents is not None, cjk=index.cjk)
 
 
+def _membership(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([spark.read.parquet(f"{path}/postings").schema["doc_id"], T.StructField("value", T.StringType()), T.StructField("filter", T.StringType())])
+    return spark.read.schema(schema).parquet(f"{path}/membership").select("doc_id", "filter", "value")  # names of facets are text, whatever they look like
+
+
 def read_index(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = 16, membership: bool = True, documents: bool = True, cjk: bool = False) -> Index:
     """The index in path; with terms, only the postings' and statistics' buckets that hold them are read."""
 
@@ -151,7 +158,8 @@ def read_index(spark: SparkSession, path: str, terms: list[str] | None = None, b
         wanted = spark.createDataFrame([(t,) for t in terms], "t string").select(X.term_bucket(F.col("t"), buckets)).distinct().collect() if terms else []
         return rows.filter(F.col("term_bucket").isin([r[0] for r in wanted])).filter(F.col("term").isin(terms))
 
-    return Index(part("postings"), part("stats"), spark.read.parquet(f"{path}/membership") if membership else None, spark.read.parquet(f"{path}/documents") if documents else None, buckets, cjk, spark.read.parquet(f"{path}/dictionary"))
+    whole = lambda name, wanted: spark.read.parquet(f"{path}/{name}") if wanted else None
+    return Index(part("postings"), part("stats"), _membership(spark, path) if membership else None, whole("documents", documents), buckets, cjk, whole("dictionary", True), facets=whole("facets", membership))
 
 
 def page_table(pages: DataFrame) -> DataFrame:

@@ -227,3 +227,45 @@ def test_among_keeps_every_pair(spark):
         got = S.among(rows, pairs, most_rows, most_bits)
         assert got.columns == rows.columns and wanted <= {r.doc_id for r in got.collect()} and got.count() <= most
     assert S.among(rows, pairs.filter("false")).count() == 0
+
+
+def test_stored_facets_are_read_by_name_and_value(spark, tmp_path):
+    from quillspark.sources import corpus as C
+
+    rows = [(i, "en", "the word", {"7": [str(i % 3)], "kind": [f"k{i % 2}", "all"], "page size": ["a/b"] if i == 5 else []}) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, content string, filters map<string, array<string>>")
+    index = I.build_index(docs)
+    held = C.write_index(index, str(tmp_path / "index"), buckets=2)
+    row = lambda df: sorted(map(tuple, df.select("doc_id", "filter", "value").collect()))
+    assert row(held.membership) == row(index.membership) and dict(held.membership.dtypes)["filter"] == "string"
+    assert {(r.filter, r.value, r.n) for r in held.facets.collect()} == {(r.filter, r.value, r.n) for r in S.all_facets(index.membership).collect()}
+    queries = spark.createDataFrame([(1, "the", {"7": ["1", "nowhere"], "kind": ["k0"]}), (2, "word", {"page size": ["a/b"]}), (3, "the", {}), (4, None, {"kind": ["k1"]})], "query_id long, term string, filters map<string, array<string>>")
+    pairs = lambda out: {(r.query_id, r.doc_id) for r in out["hits"].collect()}
+    want = {(1, i) for i in range(40) if i % 3 == 1 and i % 2 == 0} | {(2, 5)} | {(3, i) for i in range(40)} | {(4, i) for i in range(1, 40, 2)}
+    assert pairs(S.search(queries, held)) == pairs(S.search(queries, index)) == want
+    few = S.selected_membership(held.membership, S.selections(queries.filter("query_id = 1")))
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "page size" not in line)
+    assert "PartitionFilters: [filter" in scan and "kind" in scan.split("PartitionFilters")[1] and "PushedFilters: [In(value" in scan
+    assert {r.filter for r in few.collect()} == {"7", "kind"} and few.count() == sum(i % 3 == 1 for i in range(40)) + 20
+    hits = S.search(queries, held)["unfiltered"]
+    counts = S.facet_counts(hits, held.membership, held.facets, queries, ["kind"])
+    assert {(r.query_id, r.value): r.n for r in counts.collect() if r.query_id < 3} == {(q, v): n for q in (1, 2) for v, n in (("k0", 20), ("k1", 20), ("all", 40))}
+    assert "filter" in counts._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1]
+
+
+def test_more_selected_values_than_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_LISTED", 1)
+    membership = spark.createDataFrame([(1, "f", "a"), (2, "f", "b"), (3, "g", "a"), (4, None, "a")], "doc_id long, filter string, value string")
+    selection = spark.createDataFrame([(1, "f", "a"), (1, "f", "c")], "query_id long, filter string, value string")
+    assert [r.doc_id for r in S.selected_membership(membership, selection).collect()] == [1]
+    assert S.selected_membership(membership, selection.filter("false")).count() == 0
+
+
+def test_index_without_facets_of_any_document(spark, tmp_path):
+    from quillspark.sources import corpus as C
+
+    docs = spark.createDataFrame([(1, "en", "a", {})], "doc_id long, lang string, content string, filters map<string, array<string>>")
+    held = C.write_index(I.build_index(docs), str(tmp_path / "index"), buckets=2)
+    assert held.membership.count() == held.facets.count() == 0
+    assert S.search(ask(spark, "a"), held)["hits"].count() == 1
