@@ -86,10 +86,22 @@ def index_vs_collections(site_index: DataFrame, manifest: DataFrame) -> DataFram
     return a.join(b, "collection", "full_outer").select("collection", _state("_a", "_b", "both", "index_only", "manifest_only").alias("state"))
 
 
+def _lines(html: str):
+    return F.filter(F.transform(F.split(html, "\n"), X.trim_ws), lambda x: x != "")
+
+
+def _frequent(pages: DataFrame, lines, min_docs: int) -> DataFrame:
+    """digest: the hashes of lines that at least min_docs rows have."""
+    once = pages.select(F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))).alias("digest"))
+    return counted(once.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("digest"))
+
+
 def boilerplate_lines(pages: DataFrame, min_docs: int, key: str = "page_id", html: str = "html") -> DataFrame:
-    """line, n_docs: trimmed lines of the markup that at least min_docs pages have. A page counts a line once."""
-    lines = F.array_distinct(F.filter(F.transform(F.split(html, "\n"), X.trim_ws), lambda x: x != ""))
-    return pages.select(key, F.explode(lines).alias("line")).groupBy("line").agg(F.count_distinct(key).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    """line, n_docs: trimmed lines of the markup that at least min_docs pages have. A page counts a line once. Lines are counted by a
+    hash first, so that only those of frequent hashes travel as text."""
+    lines = F.array_distinct(_lines(html))
+    rows = pages.select(key, F.explode(lines).alias("line")).withColumn("digest", F.xxhash64("line")).join(_frequent(pages, lines, min_docs), "digest", "left_semi")
+    return rows.groupBy("line").agg(F.count_distinct(key).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
 
 
 def boilerplate_blocks(pages: DataFrame, min_docs: int, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -98,9 +110,8 @@ def boilerplate_blocks(pages: DataFrame, min_docs: int, key: str = "page_id", ht
     A run is as long as its page has lines that min_docs pages have, one after the other; lines are trimmed, blank ones don't count, and a page
     counts a run once. Lines are counted by a hash first, so that only those of frequent hashes travel as text.
     """
-    lines = F.filter(F.transform(F.split(html, "\n"), X.trim_ws), lambda x: x != "")
-    once = pages.select(F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))).alias("digest"))
-    digests = counted(once.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("digest"))
+    lines = _lines(html)
+    digests = _frequent(pages, lines, min_docs)
     placed = pages.select(key, F.posexplode(lines).alias("at", "line")).withColumn("digest", F.xxhash64("line")).join(digests, "digest", "left_semi")
     texts = pages.select(F.explode(F.array_distinct(lines)).alias("line")).withColumn("digest", F.xxhash64("line")).join(digests, "digest", "left_semi")
     frequent = texts.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("line")

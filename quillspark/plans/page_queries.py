@@ -116,7 +116,7 @@ def p14_query_params(spark, d):
     return table(spark, d, "pages").select("page_id", X.with_param(url, "random", "1").alias("scrolled"), X.query_param(url, "page").alias("first"), F.size(X.query_params(X.with_param(url, "page", "9"), "page")).alias("n"))
 
 
-_P16 = """SELECT doc_id, '/' || source || '?hl=' || array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], '&hl=') || '#x' AS marked, '/' || source || '#s' || doc_id AS anchored FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z]+')) > 0"""
+_P16 = """SELECT doc_id, '/' || source || CASE WHEN regexp_matches(text, '[A-Za-z]') THEN '?hl=' || array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], '&hl=') ELSE '' END || '#x' AS marked, '/' || source || '#s' || doc_id AS anchored FROM documents"""
 
 
 @query(_P16, _P16.replace("[1:2]", ""))
@@ -125,8 +125,7 @@ def p16_highlight_url(spark, d, whole=False):
     found = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     term = F.array_join(found if whole else F.slice(found, 1, 2), " ")
     url = F.concat(F.lit("/"), "source", F.lit("#x"))
-    docs = table(spark, d, "documents").filter(F.size(found) > 0)
-    return docs.select("doc_id", X.highlight_url(url, term, "hl").alias("marked"), X.anchor_url(F.concat("source", F.lit("#x")), F.concat(F.lit("s"), F.col("doc_id").cast("string"))).alias("anchored"))
+    return table(spark, d, "documents").select("doc_id", X.highlight_url(url, term, "hl").alias("marked"), X.anchor_url(F.concat("source", F.lit("#x")), F.concat(F.lit("s"), F.col("doc_id").cast("string"))).alias("anchored"))
 
 
 @query(f"SELECT page_id, substr(p, 1, 2)::INTEGER AS book, substr(p, 3, 2)::INTEGER AS unit, substr(p, 5, 2)::INTEGER AS item, substr(p, 7, 4)::INTEGER AS start_page, (page_id // 10) || ',' || (page_id % 10) || ',3' AS section FROM (SELECT page_id, {sql.PAGE} AS p FROM pages)")

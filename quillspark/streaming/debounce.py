@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,15 +16,30 @@ from quillspark.sources.stored import stored
 GAP_MS = 300
 
 
+#: Microseconds of a piece of time, by which the requests of one user are spread.
+PIECE = 60_000_000
+_NEVER = 1 << 62  # microseconds
+
+
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def debounce(events: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """Batch: user_id, ts, event_id, term of events after which the user is quiet for over gap_ms.
 
-    Of events at one time the largest event_id counts. A newer event at exactly gap_ms supersedes, as in a session window.
+    Of events at one time the largest event_id counts. A newer event at exactly gap_ms supersedes, as in a session window. Events without a time are none.
+
+    Time is cut into pieces of the gap's length. Only the last event of a user's piece can stay, and only the first of the next piece can supersede it, so
+    pieces are added up before they are shuffled, and the events of one busy user (or of none) are spread by time.
     """
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    following = F.lead("ts").over(order)
-    quiet = following > F.col("ts") + F.make_dt_interval(secs=F.lit(gap_ms / 1000))
-    return events.withColumn("_emit", following.isNull() | quiet).filter("_emit").select("user_id", "ts", "event_id", "term")
+    gap = int(gap_ms * 1000)
+    pieces = events.filter("ts is not null").withColumn("_piece", F.floor(_micros("ts") / max(gap, 1)))
+    ends = pieces.groupBy("user_id", "_piece").agg(F.max(F.struct("ts", "event_id", "term")).alias("last"), F.min("ts").alias("first"))
+    both = ends.select("user_id", F.explode(F.array(F.struct("_piece", "last", F.lit(None).cast(ends.schema["first"].dataType).alias("next")), F.struct((F.col("_piece") - 1).alias("_piece"), F.lit(None).cast(ends.schema["last"].dataType).alias("last"), F.col("first").alias("next")))).alias("e"))
+    met = both.groupBy("user_id", "e._piece").agg(F.max("e.last").alias("last"), F.min("e.next").alias("next")).filter("last is not null")
+    quiet = F.col("next").isNull() | (_micros("next") - _micros("last.ts") > gap)
+    return met.filter(quiet).select("user_id", "last.ts", "last.event_id", "last.term")
 
 
 def debounce_stream(events: DataFrame, gap_ms: int = GAP_MS, lateness: str = "10 seconds") -> DataFrame:
@@ -38,13 +53,15 @@ def latest_wins(requests: DataFrame) -> DataFrame:
     """Batch: requests (user_id, request_id, issued_at, completed_at) that finished before the user issued a newer one.
 
     Newer is later in the order of issued_at and request_id. A request that was never completed (null) is never kept, but supersedes.
-    """
-    order = Window.partitionBy("user_id").orderBy("issued_at", "request_id")
-    newer = F.lead("issued_at").over(order)
-    return requests.withColumn("_keep", F.col("completed_at").isNotNull() & (newer.isNull() | (newer > F.col("completed_at")))).filter("_keep").drop("_keep")
-
 
-_NEVER = 1 << 62  # microseconds
+    A user's requests are put in order minute by minute, and each minute is told when the next one with a request begins, so a busy user's requests are spread by time.
+    """
+    pieces = requests.withColumn("_piece", F.coalesce(F.floor(_micros("issued_at") / PIECE), F.lit(-_NEVER)))  # without a time: before all others
+    starts = pieces.groupBy("user_id", "_piece").agg(F.min("issued_at").alias("issued_at"))
+    told = starts.withColumn("_piece", F.lag("_piece").over(Window.partitionBy("user_id").orderBy("_piece"))).filter("_piece is not null")
+    rows = pieces.withColumn("_own", F.lit(True)).unionByName(told.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    newer = F.lead("issued_at").over(Window.partitionBy("user_id", "_piece").orderBy("issued_at", "request_id"))
+    return rows.withColumn("_newer", newer).filter(F.col("_own") & F.col("completed_at").isNotNull() & (F.col("_newer").isNull() | (F.col("_newer") > F.col("completed_at")))).select(*requests.columns)
 
 
 def decide(held: list[list], passed: int) -> tuple[list[list], list[list]]:

@@ -121,3 +121,33 @@ def test_debounced_search_in_micro_batches(spark, tmp_path):
     want = [(r.query_id, r.doc_id) for r in S.search(kept, I.build_index(docs))["hits"].collect()]
     assert sorted(seen) == sorted(want) == [(2, 1), (3, 1), (3, 2), (4, 3), (5, 3)]
     assert len(versions) > 1
+
+
+def test_batches_of_busy_users_equal_a_plain_version(spark):
+    import random
+
+    draw = random.Random(5)
+    rows, i = [], 0
+    for user in [None, *range(30)]:
+        for _ in range(400 if user is None else draw.randint(1, 40)):
+            i += 1
+            rows.append((i, user, draw.choice([0, 59_700, 119_900, 3_600_000]) + draw.choice([0, 100, 300, 301, 600]) * draw.randint(0, 9), draw.choice([None, 0, 5, 400, 90_000, 4_000_000])))
+    at = lambda ms: START + timedelta(milliseconds=ms)
+    typed = spark.createDataFrame([(i, u, at(ms), str(i)) for i, u, ms, _ in rows] + [(0, 0, None, "untimed")], "event_id long, user_id long, ts timestamp, term string").repartition(5)
+    requests = spark.createDataFrame([(u, i, at(ms), None if c is None else at(ms + c), "x") for i, u, ms, c in rows], "user_id long, request_id long, issued_at timestamp, completed_at timestamp, more string").repartition(5)
+    stays, wins = {0: set(), 1: set(), 300: set(), 2500: set()}, set()
+    for user in [None, *range(30)]:
+        own = sorted((ms, i, c) for i, u, ms, c in rows if u == user)
+        for (ms, i, c), later in zip(own, [x[0] for x in own[1:]] + [None]):
+            for gap in stays:
+                if later is None or later - ms > gap:
+                    stays[gap].add(i)
+            if c is not None and (later is None or later > ms + c):
+                wins.add(i)
+    for gap, want in stays.items():
+        got = R.debounce(typed, gap).collect()
+        assert {r.event_id for r in got} == want and len(got) == len(want) and all(r.term == str(r.event_id) for r in got)
+    got = R.latest_wins(requests)
+    assert got.columns == requests.columns and sorted(r.request_id for r in got.collect()) == sorted(wins)
+    untimed = spark.createDataFrame([(1, 1, None, at(5)), (1, 2, at(3), at(4)), (2, 3, None, at(1))], "user_id long, request_id long, issued_at timestamp, completed_at timestamp")
+    assert sorted(r.request_id for r in R.latest_wins(untimed).collect()) == [2, 3]
