@@ -124,14 +124,14 @@ def write_index(index: Index, path: str, buckets: int = 16) -> Index:
     """Stores an index as Parquet and returns it as stored: postings and term statistics by language and a bucket of the term.
 
     A dictionary of the terms is stored by their first character and sorted, for prefixes. A search reads only its terms' buckets. Rows are dealt by bucket, and a bucket is split where it is
-    measured to be larger than spark.sql.adaptive.advisoryPartitionSizeInBytes, so a very frequent term is spread over as many files as it needs. Frequencies of terms are counted in the stored postings.
+    measured to be larger than spark.sql.adaptive.advisoryPartitionSizeInBytes, so a very frequent term is spread over as many files as it needs. Statistics are made from the stored postings, as cutting the texts into words once more costs more.
     Facet membership is stored by facet, in files sorted by value and document, with the values' counts as a small table of their own: a search reads only the facets that it asks for.
     """
     spark = index.postings.sparkSession
     kept = ["lang", "term_bucket"]
     salted = index.postings.withColumn("term_bucket", X.term_bucket(F.col("term"), buckets)).hint("rebalance", *kept)
     salted.sortWithinPartitions(*kept, "term", "doc_id").write.mode("overwrite").partitionBy(*kept).parquet(f"{path}/postings")
-    stats = term_stats(spark.read.parquet(f"{path}/postings"), index.corpus).withColumn("term_bucket", X.term_bucket(F.col("term"), buckets))
+    stats = term_stats(spark.read.parquet(f"{path}/postings")).withColumn("term_bucket", X.term_bucket(F.col("term"), buckets))
     stats.repartition(*kept).write.mode("overwrite").partitionBy(*kept).parquet(f"{path}/stats")
     heads = spark.read.parquet(f"{path}/stats").select("lang", "term").withColumn("head_bucket", X.head_bucket(F.col("term"), buckets))
     heads.repartition("lang", "head_bucket").sortWithinPartitions("lang", "head_bucket", "term").write.mode("overwrite").partitionBy("lang", "head_bucket").parquet(f"{path}/dictionary")
