@@ -79,14 +79,21 @@ def tokens(rows: DataFrame, key: str, content: str) -> DataFrame:
     return rows.select(key, F.posexplode(X.words(F.col(content))).alias("location", "word"))
 
 
-def page_anchors(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, ordinal, element, id, text, location (words before the heading in the visible text) of the headings. Of the texts, only headings are shuffled."""
+def heading_text(markup: Column) -> Column:
+    return X.trim_ws(X.decode_entities(X.strip_tags(markup)))
+
+
+def page_anchors(pages: DataFrame, key: str = "page_id", html: str = "html", text: Callable[[Column], Column] = heading_text) -> DataFrame:
+    """key, ordinal, element, id, text, location (words before the heading in the visible text) of the headings. Of the texts, only headings are shuffled.
+
+    text: what is shown of a heading's markup; as a rule without tags, entities decoded.
+    """
     head = r"(?is)^<(h[1-6])\b([^>]*)>(.*?)</\1\s*>"
 
     def piece(p: Column) -> Column:
         return F.struct(
             F.size(F.filter(X.words(X.body_text(p)), lambda w: w != "")).alias("size"), p.rlike(r"(?i)^<h[1-6]\b").alias("heading"), F.lower(F.regexp_extract(p, head, 1)).alias("element"),
-            F.regexp_extract(F.regexp_extract(p, head, 2), r"""(?i)\bid\s*=\s*["']([^"']*)""", 1).alias("id"), X.trim_ws(X.decode_entities(X.strip_tags(F.regexp_extract(p, head, 3)))).alias("text"),
+            F.regexp_extract(F.regexp_extract(p, head, 2), r"""(?i)\bid\s*=\s*["']([^"']*)""", 1).alias("id"), text(F.regexp_extract(p, head, 3)).alias("text"),
         )
 
     cut = F.split(F.regexp_replace(F.col(html), X.HIDDEN, ""), r"(?i)(?=<h[1-6]\b)")

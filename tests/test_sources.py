@@ -124,6 +124,20 @@ def test_page_rows(spark):
     assert [(r.volume, r.src_page, str(r.date)) for r in cited] == [(52, 304, "None"), (12, 258, "1962-10-03"), (19, 22, "1988-05-04")]
 
 
+def test_headings_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from quillspark.plans import page_queries  # noqa: F401  they enter themselves
+    from quillspark.plans.registry import ORACLES, QUERIES
+
+    markup = [(1, "<p>a</p><h1>x = &quot;1&quot; &amp; <b>y</b></h1>z"), (2, "<h2> &nbsp; </h2>"), (3, "<h1>&amp;lt;</h1>"), (4, "none")]
+    spark.createDataFrame([(i, "u", x) for i, x in markup], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        for name in ("p36_page_anchors", "f04_heading_anchors"):
+            assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(c.execute(ORACLES[name]).fetchall())
+
+
 def test_stored_tables_and_scratch(spark):
     from quillspark.sources.stored import new_path, scratch, shared_folder, stored
 
