@@ -57,6 +57,17 @@ def test_collocations(spark, how):
     assert len(got) > 60
 
 
+def test_longer_phrases_need_frequent_parts(spark):
+    docs = spark.createDataFrame([("en", "a b c d x b c x c d x a b")], "lang string, text string")
+    block = C.Block(docs.mapInArrow(C._cut(1 << 20), C._BLOCK).toPandas().iloc[0])
+    sent = {n: [block.phrase(p, n) for p in places] for n, places in block.candidates([None, None])}
+    assert len(sent[3]) == 11
+    prints = lambda n, *phrases: np.sort([block.fingerprints(np.array([p]), n)[0] for p in range(14 - n) if block.phrase(p, n) in phrases])
+    known = [prints(1, "a", "b", "c", "d"), prints(2, "a b", "b c", "c d"), prints(3, "a b c")]
+    sent = {n: [block.phrase(p, n) for p in places] for n, places in block.candidates(known)}
+    assert sent[3] == ["a b c", "b c d"] and sent[4] == []  # all pairs of "a b c d" are frequent, but not "b c d"
+
+
 def test_no_phrases(spark):
     docs = spark.createDataFrame([(1, "a b c", "en")], "doc_id long, text string, lang string")
     assert C.collocations(docs).count() == 0
