@@ -248,14 +248,21 @@ def filter_hits(hits: DataFrame, membership: DataFrame, selection: DataFrame) ->
 def browse(queries: DataFrame, documents: DataFrame, membership: DataFrame) -> DataFrame:
     """query_id, doc_id, score 0 of the queries with a null term: all documents that pass their filters.
 
-    The documents of a selection come through membership; only queries without a selection return all of them: these
-    are put into rows of a thousand, and each of those rows, which are as few, meets every document.
+    The documents of a selection are found through membership, once for all queries that select the same, and then meet those queries, which are put into
+    rows of a thousand: what is shuffled grows with the documents and the different selections, not with the queries. Only queries without a selection
+    return all documents: these are put into rows of a thousand too, and each of those rows, which are as few, meets every document.
     """
     empty = queries.filter("term is null")
-    picked = selections(empty)
-    n = picked.groupBy("query_id").agg(F.count_distinct("filter").alias("wanted"))
-    met = selected_membership(membership, picked).join(picked, ["filter", "value"]).groupBy("query_id", "doc_id").agg(F.count_distinct("filter").alias("met")).join(n, "query_id").filter("met = wanted")
-    open_ = empty.select("query_id").distinct().join(n, "query_id", "left_anti")
+    asked = selections(empty).groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("filter", "value"))).alias("picked"))
+    n = asked.limit(MOST_ROWS + 1).count()
+    ones = asked.groupBy("picked").agg(F.min("query_id").alias("one"))  # the first of the queries that select the same
+    alike = asked.join(ones, "picked").groupBy("one", F.pmod(F.xxhash64("query_id"), F.lit(1 + n // OPEN_AT_ONCE)).alias("bundle")).agg(F.collect_list("query_id").alias("ids"))
+    wanted = F.size(F.array_distinct(F.transform("picked", lambda s: s["filter"])))
+    picked = ones.select("one", wanted.alias("wanted"), F.explode("picked").alias("s")).select("one", "wanted", "s.*")
+    met = selected_membership(membership, picked).join(counted(picked), ["filter", "value"]).groupBy("one", "wanted", "doc_id").agg(F.count_distinct("filter").alias("met")).filter("met = wanted")
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own, as the few rows here become many
+    met = met.repartition(parts, "doc_id").join(F.broadcast(alike) if n <= MOST_ROWS else alike, "one").select(F.explode("ids").alias("query_id"), "doc_id")
+    open_ = empty.select("query_id").distinct().join(asked, "query_id", "left_anti")
     bundles = max(1, -(-open_.count() // OPEN_AT_ONCE))
     bundled = open_.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(bundles)).cast("int").alias("bundle")).agg(F.collect_list("query_id").alias("ids"))
     everything = documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))).alias("bundle")).join(counted(bundled, MOST_ROWS // OPEN_AT_ONCE), "bundle").select(F.explode("ids").alias("query_id"), "doc_id")

@@ -87,6 +87,25 @@ def test_null_term_without_selection_returns_everything(spark, built):
     assert S.browse(many.filter("false"), docs, member).count() == 0
 
 
+def test_queries_that_select_the_same_meet_the_documents_once(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.create_map(F.lit("lang"), F.array(F.when(F.col("id") % 2 == 0, "en").otherwise("de")), F.lit("tag"), F.array((F.col("id") % 5).cast("string"), F.lit("all"))).alias("filters"))
+    picks = [{"lang": ["en"], "tag": ["1", "2", "all"]}, {"tag": ["2", "1"]}, {"lang": ["de", "en"]}, {"lang": ["fr"]}]
+    queries = spark.createDataFrame([(i, None, picks[i % 4]) for i in range(3000)], "query_id long, term string, filters map<string,array<string>>")
+    rows = S.browse(queries, docs, I.facet_membership(docs))
+    of = lambda i: {0: set(range(0, 40, 2)), 1: {d for d in range(40) if d % 5 in (1, 2)}, 2: set(range(40)), 3: set()}[i % 4]
+    found = rows.groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).collect()
+    assert {r.query_id: r.docs for r in found} == {i: sorted(of(i)) for i in range(3000) if of(i)}
+    shuffled = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query_id" not in shuffled.split("Generate explode(ids")[0] and "Aggregate [one" in shuffled
+
+
+def test_filters_alone_build_no_index(spark, tmp_path, monkeypatch):
+    from quillspark.plans import search_queries as Q
+
+    monkeypatch.setattr(Q, "index_of", lambda *a: pytest.fail("an index was asked for"))
+    assert Q.f02_filter_only(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_order_pages_and_merging(spark):
     hits = spark.createDataFrame([(1, d, s) for d, s in ((1, 1.0), (2, 3.0), (3, 3.0), (4, 2.0))], "query_id long, doc_id long, score double")
     ranked = S.rank(hits)
