@@ -52,7 +52,7 @@ class NamedFilesWriter(DataSourceWriter):
         files, root = opened(self.root)
         folder = posixpath.join(root, self.staging, uuid.uuid4().hex)
         files.create_dir(folder, recursive=True)
-        path = out = None
+        path = out = last = None
         try:
             for row in iterator:
                 value = (row.value or "").encode()
@@ -64,7 +64,9 @@ class NamedFilesWriter(DataSourceWriter):
                     target = posixpath.join(folder, path)
                     if files.get_file_info(target).type != fs.FileType.NotFound:
                         raise ValueError(f"rows of {path!r} don't follow each other")
-                    files.create_dir(posixpath.dirname(target), recursive=True)
+                    if posixpath.dirname(target) != last:
+                        last = posixpath.dirname(target)
+                        files.create_dir(last, recursive=True)
                     out = files.open_output_stream(target)
                     out.write(self.head + value)
                 else:
@@ -86,7 +88,9 @@ class NamedFilesWriter(DataSourceWriter):
                     raise FileExistsError(f"{taken[0]} is there already; overwrite replaces it")
             with ThreadPoolExecutor(MOVES) as pool:
                 for names in self._named(files, folders):
-                    list(pool.map(lambda n: self._move(files, n[0], posixpath.join(root, n[1])), names))
+                    for folder in {posixpath.dirname(t) for _, t in names}:  # once for all of its files
+                        files.create_dir(posixpath.join(root, folder), recursive=True)
+                    list(pool.map(lambda n: files.move(n[0], posixpath.join(root, n[1])), names))
         finally:
             self._clear(files, root)
 
@@ -105,10 +109,6 @@ class NamedFilesWriter(DataSourceWriter):
                     names = []
         yield names
 
-    def _move(self, files: fs.FileSystem, source: str, target: str) -> None:
-        files.create_dir(posixpath.dirname(target), recursive=True)
-        files.move(source, target)
-
     def _clear(self, files: fs.FileSystem, root: str) -> None:
         staging = posixpath.join(root, self.staging)
         if files.get_file_info(staging).type == fs.FileType.Directory:

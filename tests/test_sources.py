@@ -179,3 +179,10 @@ def test_frequent_terms_are_split_by_their_size(spark, tmp_path):
         assert sum(kept[size]) == 20_000 and index.postings.count() == 40_000
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(kept["64m"]) == 1 and len(kept["4k"]) > 2 and kept["4k"][-1] < 15_000
+
+
+def test_pages_are_written_as_files_of_their_names(spark, tmp_path):
+    rows = [("a.example", "1.html", "x\n"), ("a.example", "2.html", ""), ("b.example", "1.html", "é\n\ny"), ("", "3.html", "z")]
+    C.write_html(spark.createDataFrame(rows, "collection string, page string, html string"), f"file://{tmp_path}/tree")
+    assert (tmp_path / "tree/collection=a.example/1.html").read_text() == "x\n\n" and not list((tmp_path / "tree").rglob("*.crc"))
+    assert sorted((r.collection, r.page, r.html) for r in C.read_html(spark, f"{tmp_path}/tree").collect()) == sorted((c, p, h + "\n") for c, p, h in rows)
