@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 ZWSP = "\u200b"
 #: White space as browsers' scripts see it: Java's \s lacks the no-break, ideographic and other Unicode spaces.
 WS = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The same class for Java alone, which asks first whether a character is none of the letters and signs between, and so passes over most of a text at one test.
+BLANK = rf"[[^!-\x{{9F}}\x{{A1}}-\x{{167F}}\x{{3001}}-\x{{FEFE}}]&&{WS}]"
 #: Punctuation that is deleted from a search term (fixed values).
 TERM_PUNCTUATION = r"""[.`~!@#$%^&*(){}\[\]\\|:;'",<>/?-]"""
 PUNCTUATION = ".`~!@#$%^&*(){}[]\\|:;'\",<>/?-"
@@ -25,7 +27,7 @@ def col(c: str | Column) -> Column:
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
 
 
 # --- markup ---------------------------------------------------------------------------------------
@@ -258,7 +260,7 @@ def citation_date(s: Column) -> Column:
 
 def words(content: Column) -> Column:
     """Array of words by position: split at U+200B where the content has it, else at white space."""
-    return F.when(F.contains(content, F.lit(ZWSP)), F.split(content, ZWSP)).otherwise(F.split(content, rf"{WS}+"))
+    return F.when(F.contains(content, F.lit(ZWSP)), F.split(content, ZWSP)).otherwise(F.split(content, rf"{BLANK}+"))
 
 
 def clean_content(content: Column) -> Column:
@@ -272,13 +274,13 @@ def escape_content(content: Column) -> Column:
 def normalize_term(term: Column) -> Column:
     """Lower case, trimmed, without punctuation, runs of two or more spaces as one."""
     bare = F.regexp_replace(trim_ws(F.lower(term)), TERM_PUNCTUATION, "")
-    return trim_ws(F.regexp_replace(bare, rf"{WS}{{2,}}", " "))
+    return trim_ws(F.regexp_replace(bare, rf"{BLANK}{{2,}}", " "))
 
 
 def index_words(content: Column) -> Column:
     """words(content), each under normalize_term; without regular expressions where words can't hold white space."""
     spaced = F.transform(F.split(content, ZWSP), normalize_term)
-    plain = F.transform(F.split(F.lower(content), rf"{WS}+"), lambda w: F.translate(w, PUNCTUATION, ""))
+    plain = F.transform(F.split(F.lower(content), rf"{BLANK}+"), lambda w: F.translate(w, PUNCTUATION, ""))
     return F.when(F.contains(content, F.lit(ZWSP)), spaced).otherwise(plain)
 
 

@@ -26,6 +26,13 @@ def test_all_terms_phrases_and_empty_queries(spark, built):
     assert {r.query_id: r.unfiltered for r in out["counts"].collect()} == {0: 2, 1: 1, 2: 0, 3: 0, 4: 3}
 
 
+def test_postings_come_in_runs_by_language_and_term(spark):
+    docs = spark.createDataFrame([(i, ("en", "de", None)[i % 3], "zeta Alpha 中 zeta. é alpha") for i in range(30)], "doc_id long, lang string, content string").coalesce(1)
+    rows = [(r.lang, r.term.encode(), r.doc_id) for r in I.build_postings(docs).collect()]
+    assert rows == sorted(rows) and len(rows) == 120
+    assert {tuple(r.locations) for r in I.build_postings(docs).filter("term = 'zeta'").collect()} == {(0, 3)}
+
+
 def test_repeated_words_in_phrases(spark, built):
     docs = spark.createDataFrame([(1, "en", "a a b"), (2, "en", "a b")], "doc_id long, lang string, content string")
     matches = S.match_terms(S.prepare_queries(ask(spark, '"a a"')), I.build_postings(docs))

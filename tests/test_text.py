@@ -148,3 +148,8 @@ def test_nested_blocks(spark):
     got = {r.i: r.d for r in df.select("i", X.strip_boilerplate(F.col("t")).alias("d")).collect()}
     assert [got[i] for i in range(len(pages))] == [plain_blocks(p) for p in pages]
     assert got[300] == "body"
+
+
+def test_blanks_are_the_white_space_class(spark):
+    letters = spark.createDataFrame([(chr(i),) for i in [*range(1, 0xD800), *range(0xE000, 0x10400)]], "c string")
+    assert letters.filter(F.col("c").rlike(X.BLANK) != F.col("c").rlike(X.WS)).count() == 0 and letters.filter(F.col("c").rlike(X.BLANK)).count() == 25
