@@ -77,9 +77,13 @@ def _numeric_entity(text: Column, entity: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named entities of the list and numeric ones decoded; & last, so that nothing is decoded twice. A number that is no character stays as it is."""
+    return F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit("&")), _decoded(t)).otherwise(t))[0]  # bound once, as the text is an expression itself
+
+
+def _decoded(text: Column) -> Column:
     found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit("&#(?:[0-9]+|[xX][0-9A-Fa-f]+);"), F.lit(0)))
     numeric = lambda t: F.when(F.contains(t, F.lit("&#")), F.aggregate(found(t), t, _numeric_entity)).otherwise(t)
-    text = F.transform(F.array(text), numeric)[0]  # bound once, as the text is an expression itself
+    text = F.transform(F.array(text), numeric)[0]
     for name, value in (*ENTITIES[:-1], ("&#38;", "&"), ("&#x26;", "&"), ENTITIES[-1]):
         text = F.replace(text, F.lit(name), F.lit(value))
     return text

@@ -90,9 +90,11 @@ def page_anchors(pages: DataFrame, key: str = "page_id", html: str = "html", tex
     """
     head = r"(?is)^<(h[1-6])\b([^>]*)>(.*?)</\1\s*>"
 
+    bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  what is used twice is worked out once
+
     def piece(p: Column) -> Column:
         return F.struct(
-            F.size(F.filter(X.words(X.body_text(p)), lambda w: w != "")).alias("size"), p.rlike(r"(?i)^<h[1-6]\b").alias("heading"), F.lower(F.regexp_extract(p, head, 1)).alias("element"),
+            bound(X.body_text(p), lambda t: F.size(F.filter(X.words(t), lambda w: w != ""))).alias("size"), p.rlike(r"(?i)^<h[1-6]\b").alias("heading"), F.lower(F.regexp_extract(p, head, 1)).alias("element"),
             F.regexp_extract(F.regexp_extract(p, head, 2), r"""(?i)\bid\s*=\s*["']([^"']*)""", 1).alias("id"), text(F.regexp_extract(p, head, 3)).alias("text"),
         )
 
