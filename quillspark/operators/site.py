@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.operators.pages import page_links
 from quillspark.operators.search import counted
+from quillspark.sources.stored import stored
 
 KEY = ["collection", "page"]
 
@@ -91,9 +92,9 @@ def _lines(html: str):
 
 
 def _frequent(pages: DataFrame, lines, min_docs: int) -> DataFrame:
-    """digest: the hashes of lines that at least min_docs rows have."""
+    """digest: the hashes of lines that at least min_docs rows have, kept as a table, as it is counted and met more than once."""
     once = pages.select(F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))).alias("digest"))
-    return counted(once.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("digest"))
+    return counted(stored(once.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("digest")))
 
 
 def boilerplate_lines(pages: DataFrame, min_docs: int, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -115,7 +116,7 @@ def boilerplate_blocks(pages: DataFrame, min_docs: int, key: str = "page_id", ht
     placed = pages.select(key, F.posexplode(lines).alias("at", "line")).withColumn("digest", F.xxhash64("line")).join(digests, "digest", "left_semi")
     texts = pages.select(F.explode(F.array_distinct(lines)).alias("line")).withColumn("digest", F.xxhash64("line")).join(digests, "digest", "left_semi")
     frequent = texts.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("line")
-    held = placed.join(counted(frequent), "line", "left_semi").select(key, "at", "line")
+    held = placed.join(counted(stored(frequent)), "line", "left_semi").select(key, "at", "line")
     run = F.col("at") - F.row_number().over(Window.partitionBy(key).orderBy("at"))  # a page's rows: all steps up to the count of runs share this shuffle
     runs = held.withColumn("run", run).groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("rows"))
     blocks = runs.select(key, F.size("rows").cast("long").alias("n_lines"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("block")).withColumn("digest", F.sha2("block", 256))

@@ -100,3 +100,10 @@ def test_footers_of_pages(spark):
     read = W.footers(pages)
     assert {(r.page, r.declared_prev, r.declared_next) for r in read.collect()} == {("x.html", None, "y z.html"), ("y z.html", "x.html", "w.html"), ("w.html", "b/q.html", None), ("q.html", None, None)}
     assert {(r.page, r.agrees) for r in W.audit_navigation(man(spark), read).collect()} == {("x.html", True), ("y z.html", True), ("w.html", False), ("q.html", True)}
+
+
+def test_blocks_read_the_pages_three_times(spark, tmp_path):
+    spark.createDataFrame([(i, "a\n b\nc") for i in range(4)], "page_id long, html string").write.parquet(str(tmp_path / "p"))
+    blocks = W.boilerplate_blocks(spark.read.parquet(str(tmp_path / "p")), 3)
+    assert [(r.block, r.n_docs) for r in blocks.collect()] == [("a\nb\nc", 4)]
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("Relation [page_id") == 1  # the others made the tables it meets
