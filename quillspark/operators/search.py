@@ -192,7 +192,8 @@ def match_phrase(matches: DataFrame) -> DataFrame:
 def score(matches: DataFrame, stats: DataFrame | None = None, lengths: DataFrame | None = None, ranking: Ranking = Ranking()) -> DataFrame:  # noqa: B008
     """query_id, doc_id, score, of documents with all terms (and the phrase of an exact query), in one pass over the matches.
 
-    stats: term_stats, and lengths: doc_id, length; each is needed only where the matches don't have it already. Only exact queries' locations are gathered, those of one document.
+    stats: term_stats, and lengths: doc_id, length; each is needed only where the matches don't have it already. Matches without locations are of queries none of
+    which is exact. Only exact queries' locations are gathered, those of one document.
     """
     k, b = ranking.term_saturation, ranking.page_length
     rows = matches if "df" in matches.columns else matches.join(stats, ["lang", "term"])
@@ -201,6 +202,12 @@ def score(matches: DataFrame, stats: DataFrame | None = None, lengths: DataFrame
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("length") / F.col("mean_length")))
     gain = (F.pow("similarity", F.lit(float(ranking.term_similarity))) if "similarity" in rows.columns else F.lit(1.0)) * idf * (ranking.term_frequency * tf + (1 - ranking.term_frequency))
+    if "locations" not in rows.columns:  # no phrase is asked for: numbers alone are added up
+        gained = rows.select("query_id", "doc_id", "ordinal", "n_terms", gain.alias("gain"))
+        if "similarity" in rows.columns:
+            gained = gained.groupBy("query_id", "doc_id", "ordinal").agg(F.max("gain").alias("gain"), F.max("n_terms").alias("n_terms"))
+        summed = gained.groupBy("query_id", "doc_id").agg(F.sum("gain").alias("score"), F.count("*").alias("n") if "similarity" in rows.columns else F.count_distinct("ordinal").alias("n"), F.max("n_terms").alias("of"))
+        return summed.filter("n = of").select("query_id", "doc_id", "score")
     placed = "part" in rows.columns
     starts = F.transform("locations", lambda x: x - F.col("offset")) if placed else F.when(F.col("exact"), F.transform("locations", lambda x: x - F.col("ordinal")))
     at = F.when(starts.isNotNull(), F.struct((F.col("part") if placed else F.lit(0)).alias("part"), starts.alias("starts")))
