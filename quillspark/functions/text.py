@@ -292,6 +292,10 @@ def index_words(content: Column) -> Column:
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\x{30FC}"
 
 
+#: A text of common letters of those alone, which are one code point and have no case, with spaces and line feeds.
+LETTERS = r"\A[\x{4E00}-\x{9FA5}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{30FC}\x{AC00}-\x{D7A3} \n]*\z"
+
+
 def segmented(content: Column) -> Column:
     """content with U+200B between its units: every CJK letter, and every other run between white space and those.
 
