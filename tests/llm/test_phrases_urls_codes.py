@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -68,6 +69,17 @@ def test_longer_phrases_need_frequent_parts(spark):
     assert sent[3] == ["a b c", "b c d"] and sent[4] == []  # all pairs of "a b c d" are frequent, but not "b c d"
 
 
+def test_beyond_the_broadcast_phrases_are_told_by_their_words(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", "a b a. c b a"), ("de", "a b")], "lang string, text string").coalesce(1)
+    rows = docs.mapInArrow(C._cut(1 << 20), C._BLOCK).toPandas()
+    hashed = C.xxhash.xxh64_intdigest
+    monkeypatch.setattr(C.xxhash, "xxh64_intdigest", lambda x, seed=0: 7 if isinstance(x, bytes) else hashed(x, seed))  # words of one hash: no fingerprint tells their phrases apart
+    monkeypatch.setattr(C, "PHRASES_AT_ONCE", 2)
+    told = pd.concat(C._told(64, [None] * 5)(iter([rows])))
+    got = sorted(zip(told["lang"], told["phrase"], told["n"]))
+    assert got == [("de", "a", 1), ("de", "a b", 1), ("de", "b", 1), ("en", "a", 3), ("en", "a b", 1), ("en", "a b a", 1), ("en", "b", 2), ("en", "b a", 2), ("en", "c", 1), ("en", "c b", 1), ("en", "c b a", 1)]
+
+
 def test_no_phrases(spark):
     docs = spark.createDataFrame([(1, "a b c", "en")], "doc_id long, text string, lang string")
     assert C.collocations(docs).count() == 0
